@@ -43,31 +43,27 @@ def with_joined_list(
 ) -> DataFrame:
     """Add a sorted, joined text list per lead, NULL when it has no values.
 
-    ``leads`` is already cut to the reported rows, so lists are only built for
-    those, and a limited ``leads`` is small enough for Catalyst to broadcast.
-    Repeated values collapse before they are gathered; ``first`` keeps the
-    first n values, again before gathering. ``residual`` is a further condition
-    over lead columns and ``source`` columns.
-
-    The leads enter twice (once joined, once as they are, so that none is lost)
-    with the same columns, which lets Spark reuse the shuffles below them.
+    Every lead key occurs in ``source`` (leads are made from it), so an inner
+    join keeps all leads. ``leads`` is already cut to the reported rows: lists are
+    only built for those, and Catalyst broadcasts a limited ``leads``. Repeated
+    values collapse before they are gathered; ``first`` keeps the first n values,
+    again before gathering. ``residual`` is a further condition over lead columns
+    and ``source`` columns.
     """
     lead_columns = leads.columns
     renamed = [F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)]
     extra = [name for name in source.columns if residual and name not in lead_columns and name != value]
-    candidates = source.filter(F.col(value).isNotNull()).select(*renamed, F.col(value).alias("_v"), *extra)
     match = F.lit(True)
     for i, key in enumerate(keys):
         match = match & F.col(f"_k{i}").eqNullSafe(leads[key])
-    values = candidates.join(leads, match)
+    values = source.select(*renamed, F.col(value).alias("_v"), *extra).join(leads, match)
     if residual:
         values = values.filter(residual)
     values = values.select(*lead_columns, "_v")
     if distinct:
         values = values.distinct()
     if first is not None:
-        window = Window.partitionBy(*keys).orderBy("_v")
-        values = values.withColumn("_nth", F.row_number().over(window)).filter(F.col("_nth") <= first).drop("_nth")
-    everything = values.unionByName(leads.withColumn("_v", F.lit(None).cast(values.schema["_v"].dataType)))
+        window = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+        values = values.withColumn("_nth", F.row_number().over(window)).filter(F.col("_nth") <= first)
     gathered = F.array_join(F.array_sort(F.collect_list("_v")), separator)
-    return everything.groupBy(*lead_columns).agg(F.when(F.count("_v") > 0, gathered).alias(alias))
+    return values.groupBy(*lead_columns).agg(F.when(F.count("_v") > 0, gathered).alias(alias))

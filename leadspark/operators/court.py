@@ -113,8 +113,9 @@ def gift_from_litigant_or_counsel(
         "value_low", "value_high", "match_type", "report_url", "url",
     ]
     order = ["match_type", "date_filed", "case_id", "matched_name", "report_year", "benefit_source"]
+    # Names per case and interests are distinct and cases unique, so no match occurs twice.
     return top(
-        matches.select(*columns).distinct(),
+        matches.select(*columns),
         [F.col(name).asc_nulls_last() for name in [*order, *[name for name in columns if name not in order]]],
         limit,
     )

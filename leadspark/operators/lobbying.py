@@ -189,6 +189,7 @@ def revolving_door_candidates(
             "registration_id", F.coalesce("client_name", "registrant_name").alias("represented")
         ),
         "registration_id",
+        "left",
     )
     return with_joined_list(leads, filings, ["lobbyist_id"], "represented", "lobbied_for").orderBy(*order)
 
@@ -288,7 +289,7 @@ def issue_concentration_shifts(
     """Shifts in spend (without money: registrants) per issue from one quarter to the next."""
     checks.number("min_delta_pct", min_delta_pct, 0, 100_000)
     checks.row_limit(limit)
-    areas = F.transform(F.split("issue_area", r"\|"), F.trim)
+    areas = F.transform(F.split("issue_area", r"\|"), lambda area: F.trim(area))
     issues = lobbying_registrations.filter("issue_area IS NOT NULL").select(
         "register",
         "registrant_id",
@@ -737,45 +738,39 @@ def foreign_clients(
 CONTAINED_NAME_LENGTH = 6
 
 
-def _same_institution(former_keys: DataFrame, institutions: DataFrame) -> DataFrame:
+def _same_institution(former_keys: DataFrame, contacted_keys: DataFrame) -> DataFrame:
     """Pairs (registrant, former institution, contacted institution) that are equal or contain each other.
 
     A name of six or more characters lies in another only if the other holds its
     first six characters, so containment joins on (registrant, six characters)
     and then checks the whole names; no registrant's names are all paired.
     """
+    start = CONTAINED_NAME_LENGTH
 
     def pieces(text: Column) -> Column:
-        last = F.greatest(F.length(text) - (CONTAINED_NAME_LENGTH - 1), F.lit(1))
+        last = F.greatest(F.length(text) - (start - 1), F.lit(1))
         return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda n: F.substring(text, n, F.lit(CONTAINED_NAME_LENGTH)))
+            F.transform(F.sequence(F.lit(1), last), lambda n: F.substring(text, n, F.lit(start)))
         )
 
-    start = CONTAINED_NAME_LENGTH
-    contacted_key = F.lower(F.trim("institution"))
-    contacted = institutions.withColumn("contacted_key", contacted_key)
-    equal = former_keys.join(
-        contacted.withColumnRenamed("contacted_key", "former_key"), ["registrant_id", "former_key"]
-    ).select("registrant_id", "former_key", "institution")
-    former_in_contacted = (
-        former_keys.filter(F.length("former_key") >= start)
-        .withColumn("_piece", F.substring("former_key", 1, start))
-        .join(
-            contacted.withColumn("_piece", F.explode(pieces(F.lower("institution")))), ["registrant_id", "_piece"]
-        )
-        .filter(F.lower("institution").contains(F.col("former_key")))
-        .select("registrant_id", "former_key", "institution")
-    )
-    contacted_in_former = (
-        contacted.filter(F.length(F.trim("institution")) >= start)
-        .withColumn("_piece", F.substring("contacted_key", 1, start))
-        .join(
-            former_keys.withColumn("_piece", F.explode(pieces(F.col("former_key")))), ["registrant_id", "_piece"]
+    def contained(short: DataFrame, short_key: str, long: DataFrame, long_key: str) -> DataFrame:
+        return (
+            short.filter(F.length(short_key) >= start)
+            .withColumn("_piece", F.substring(short_key, 1, start))
+            .join(long.withColumn("_piece", F.explode(pieces(F.col(long_key)))), ["registrant_id", "_piece"])
+            .filter(F.col(long_key).contains(F.col(short_key)))
+            .select("registrant_id", "former_key", "contacted_key")
         )
-        .filter(F.col("former_key").contains(F.col("contacted_key")))
-        .select("registrant_id", "former_key", "institution")
+
+    equal = former_keys.withColumn("contacted_key", F.col("former_key")).join(
+        contacted_keys, ["registrant_id", "contacted_key"], "left_semi"
+    )
+    return (
+        equal.select("registrant_id", "former_key", "contacted_key")
+        .unionByName(contained(former_keys, "former_key", contacted_keys, "contacted_key"))
+        .unionByName(contained(contacted_keys, "contacted_key", former_keys, "former_key"))
+        .distinct()
     )
-    return equal.unionByName(former_in_contacted).unionByName(contacted_in_former).distinct()
 
 
 def former_official_lobbies_former_institution(
@@ -786,39 +781,87 @@ def former_official_lobbies_former_institution(
     max_days_after_leaving: int = 1825,
     limit: int | None = 200,
 ) -> DataFrame:
-    """Contacts of a registrant with an institution where one of its lobbyists held office."""
+    """Contacts of a registrant with an institution where one of its lobbyists held office.
+
+    Contacts are counted once per registrant, institution and leaving date; all
+    lobbyists who share these (often: no known date) share the count. Only a
+    lobbyist with several leaving dates from one institution is counted again,
+    over the contacts inside any of the windows.
+    """
     checks.integer("max_days_after_leaving", max_days_after_leaving, 0, 36_500)
     checks.row_limit(limit)
     former = (
         lobbyists.filter(F.length(F.trim(F.coalesce("former_office_institution", F.lit("")))) >= 3)
         .join(lobbying_registrations.select("registration_id", "registrant_id"), "registration_id")
         .filter("registrant_id IS NOT NULL")
-        .select(
-            "lobbyist_id",
-            "name",
-            "former_public_office",
-            "former_office_institution",
-            "former_office_end",
-            "registrant_id",
-            F.lower(F.trim("former_office_institution")).alias("former_key"),
-        )
-        .distinct()
+        .groupBy("lobbyist_id", "former_office_institution", "registrant_id", "former_office_end")
+        .agg(F.min("name").alias("name"), F.min("former_public_office").alias("former_public_office"))
+        .withColumn("former_key", F.lower(F.trim("former_office_institution")))
     )
     contacts = lobbying_contacts.filter("registrant_id IS NOT NULL AND institution IS NOT NULL").select(
-        "registrant_id", "registrant_name", "institution", "contact_id", "contact_date", "official_name"
+        "registrant_id",
+        "registrant_name",
+        "institution",
+        F.lower(F.trim("institution")).alias("contacted_key"),
+        "contact_id",
+        "contact_date",
+        "official_name",
     )
     pairs = _same_institution(
         former.select("registrant_id", "former_key").distinct(),
-        contacts.select("registrant_id", "institution").distinct(),
+        contacts.select("registrant_id", "contacted_key").distinct(),
+    )
+    meetings = contacts.groupBy("registrant_id", "contacted_key", "contact_id", "contact_date").agg(
+        F.min("registrant_name").alias("registrant_name"), F.min("institution").alias("institution")
+    )
+    left_on = F.col("former_office_end")
+    term = ["registrant_id", "former_key", "former_office_end"]
+    evidence = (
+        former.select(*term)
+        .distinct()
+        .join(pairs, ["registrant_id", "former_key"])
+        .join(meetings, ["registrant_id", "contacted_key"])
+        .filter(left_on.isNull() | F.datediff("contact_date", left_on).between(0, max_days_after_leaving))
+        .groupBy(*term, "contacted_key")
+        .agg(
+            F.min("registrant_name").alias("registrant_name"),
+            F.min("institution").alias("institution"),
+            F.count_distinct("contact_id").alias("term_contacts"),
+            F.min("contact_date").alias("first_contact"),
+            F.max("contact_date").alias("last_contact"),
+        )
+        .withColumnRenamed("former_office_end", "_end")
     )
-    since_leaving = F.datediff("contact_date", "former_office_end")
-    matches = (
-        pairs.join(contacts, ["registrant_id", "institution"])
-        .join(former, ["registrant_id", "former_key"])
-        .filter(F.col("former_office_end").isNull() | since_leaving.between(0, max_days_after_leaving))
-        .withColumn("institution_key", F.lower(F.trim("institution")))
+    lead_key = ["lobbyist_id", "former_office_institution", "registrant_id", "contacted_key"]
+    matched = (
+        former.join(evidence, ["registrant_id", "former_key"])
+        .filter(left_on.eqNullSafe(F.col("_end")))
+        .groupBy(*lead_key, "former_key")
+        .agg(
+            F.min("name").alias("name"),
+            F.min("former_public_office").alias("former_public_office"),
+            F.max("former_office_end").alias("former_office_end"),
+            F.max(left_on.isNull()).alias("_any_time"),
+            F.array_sort(F.collect_set("former_office_end")).alias("_ends"),
+            F.min("registrant_name").alias("registrant_name"),
+            F.min("institution").alias("contacted_institution"),
+            F.max("term_contacts").alias("term_contacts"),
+            F.min("first_contact").alias("first_contact"),
+            F.max("last_contact").alias("last_contact"),
+        )
+    )
+    # An unknown leaving date admits every contact, so its count covers the other terms.
+    several = (~F.col("_any_time")) & (F.size("_ends") > 1)
+    ends = ["registrant_id", "contacted_key", "_ends"]
+    counted_again = (
+        matched.filter(several)
+        .select(*ends)
+        .distinct()
+        .join(meetings, ["registrant_id", "contacted_key"])
+        .filter(F.exists("_ends", lambda end: F.datediff("contact_date", end).between(0, max_days_after_leaving)))
+        .groupBy(*ends)
+        .agg(F.count_distinct("contact_id").alias("all_contacts"))
     )
-    keys = ["lobbyist_id", "former_office_institution", "registrant_id", "institution_key"]
     order = [
         F.col("contacts").desc(),
         F.col("days_from_leaving_to_first_contact").asc_nulls_last(),
@@ -828,25 +871,24 @@ def former_official_lobbies_former_institution(
         F.col("contacted_institution"),
     ]
     leads = top(
-        matches.groupBy(*keys)
-        .agg(
-            F.min("name").alias("name"),
-            F.min("former_public_office").alias("former_public_office"),
-            F.max("former_office_end").alias("former_office_end"),
-            F.min("registrant_name").alias("registrant_name"),
-            F.min("institution").alias("contacted_institution"),
-            F.count_distinct("contact_id").alias("contacts"),
-            F.min("contact_date").alias("first_contact"),
-            F.max("contact_date").alias("last_contact"),
-        )
+        matched.join(counted_again, ends, "left")
+        .withColumn("contacts", F.when(several, F.col("all_contacts")).otherwise(F.col("term_contacts")))
         .withColumn(
             "days_from_leaving_to_first_contact", F.datediff("first_contact", "former_office_end").cast("long")
-        ),
+        )
+        .drop("term_contacts", "all_contacts"),
         order,
         limit,
     )
+    officials = contacts.select("registrant_id", "contacted_key", "contact_date", "official_name")
+    within = (
+        "_any_time OR exists(_ends, leaving -> "
+        f"datediff(contact_date, leaving) BETWEEN 0 AND {max_days_after_leaving})"
+    )
     return (
-        with_joined_list(leads, matches, keys, "official_name", "officials")
+        with_joined_list(
+            leads, officials, ["registrant_id", "contacted_key"], "official_name", "officials", residual=within
+        )
         .select(
             "lobbyist_id", "name", "former_public_office", "former_office_institution", "former_office_end",
             "registrant_id", "registrant_name", "contacted_institution", "contacts", "first_contact",

@@ -181,12 +181,14 @@ BINDINGS: dict[str, str] = {
                     WHEN l_partkey % 12 = 7 THEN 'Not Applicable'
                     WHEN l_partkey % 12 = 8 THEN NULL
                     ELSE 'Judiciary health analyst' END AS former_public_office,
-               CASE WHEN l_partkey % 6 = 0 THEN ' Ministry of Signup '
-                    WHEN l_partkey % 6 = 1 THEN 'the great ministry of click and more'
-                    WHEN l_partkey % 6 = 2 THEN 'error'
-                    WHEN l_partkey % 6 = 3 THEN 'Ministry'
-                    WHEN l_partkey % 6 = 4 THEN 'ab' END AS former_office_institution,
-               CASE WHEN l_partkey % 5 <> 0 THEN DATE '2017-06-01' + CAST(l_partkey % 2400 AS INT) END AS former_office_end
+               CASE WHEN l_suppkey % 6 = 0 THEN ' Ministry of Signup '
+                    WHEN l_suppkey % 6 = 1 THEN 'the great ministry of click and more'
+                    WHEN l_suppkey % 6 = 2 THEN 'error'
+                    WHEN l_suppkey % 6 = 3 THEN 'Ministry'
+                    WHEN l_suppkey % 6 = 4 THEN 'ab' END AS former_office_institution,
+               CASE WHEN l_suppkey % 5 = 0 THEN NULL
+                    WHEN l_linenumber = 6 THEN DATE '2024-01-20'
+                    ELSE DATE '2017-06-01' + CAST(l_suppkey % 97 * 24 AS INT) END AS former_office_end
         FROM {lineitem}""",
     "lobbying_contacts": """
         SELECT 'T' || CAST(event_id - event_id % 2 AS STRING) AS contact_id,
