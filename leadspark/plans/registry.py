@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadspark.functions import checks
 from leadspark.operators import campaign_finance, companies, court, lobbying, parliamentary, procurement, statistical
 from leadspark.sources.contracts import contract_schema, load_contract, map_roles
 
@@ -74,6 +75,7 @@ def _any_table(id: str, run: Callable[..., DataFrame], roles: str, title: str, d
         category="anomaly",
         severity="medium",
         roles=names,
+        version="1.1.0",
         types={name: _ROLE_TYPES[name] for name in names},
         minimum_coverage={name: 0.75 for name in names},
         relevance=0.8,
@@ -398,11 +400,13 @@ def run_detectors(
     requests: Sequence[Mapping[str, object]],
     *,
     provenance: Mapping[str, str] | None = None,
+    max_output_rows: int | None = None,
 ) -> DataFrame:
     """Leads of up to ten detectors as one DataFrame.
 
     A request is ``{"id": …, "fields": …, "columns": …, "parameters": …}``.
-    Every detector stays one lazy plan; Spark runs them as branches of a union.
+    Spark runs the detectors as branches of a union. ``max_output_rows`` keeps
+    the first rows of every detector in its own order.
     """
     from leadspark.plans.leads import to_leads
 
@@ -424,5 +428,7 @@ def run_detectors(
             columns=request.get("columns"),
             parameters=request.get("parameters"),
         )
+        if max_output_rows is not None:
+            rows = rows.limit(checks.integer("max_output_rows", max_output_rows, 1, 1000))
         leads.append(to_leads(rows, detector(id), provenance=provenance))
     return reduce(DataFrame.unionByName, leads)
