@@ -99,53 +99,21 @@ def us_activities(filings: DataFrame) -> DataFrame:
 def us_lobbyists(filings: DataFrame) -> DataFrame:
     """One row per filing, person and covered position, over all activities of the filing.
 
-    Repeats are dropped inside each filing's own record, so nothing is shuffled.
+    The first spelling of a name stays when person and position repeat.
     """
-    person = F.transform(
-        F.flatten(
-            F.transform(
-                F.coalesce("lobbying_activities", F.array().cast(filings.schema["lobbying_activities"].dataType)),
-                lambda activity: F.coalesce(
-                    activity["lobbyists"],
-                    F.array().cast(
-                        filings.schema["lobbying_activities"].dataType.elementType["lobbyists"].dataType
-                    ),
-                ),
-            )
-        ),
-        lambda entry: F.struct(
-            entry["lobbyist"]["id"].alias("id"),
-            F.nullif(F.trim(entry["covered_position"]), F.lit("")).alias("position"),
-            F.nullif(
-                F.concat_ws(
-                    " ",
-                    F.nullif(entry["lobbyist"]["first_name"], F.lit("")),
-                    F.nullif(entry["lobbyist"]["last_name"], F.lit("")),
-                ),
-                F.lit(""),
-            ).alias("name"),
-        ),
-    )
-    # The first spelling of a name stays when person and position repeat.
-    first_of_each = F.aggregate(
-        person,
-        F.array().cast("array<struct<id:string,position:string,name:string>>"),
-        lambda kept, entry: F.when(
-            F.exists(
-                kept,
-                lambda known: known["id"].eqNullSafe(entry["id"]) & known["position"].eqNullSafe(entry["position"]),
-            ),
-            kept,
-        ).otherwise(F.concat(kept, F.array(entry))),
+    named = (
+        filings.select("filing_uuid", F.posexplode("lobbying_activities").alias("n", "a"))
+        .select("filing_uuid", "n", F.posexplode("a.lobbyists").alias("m", "entry"))
+        .select(
+            F.col("filing_uuid").alias("registration_id"),
+            F.col("entry.lobbyist.id").alias("lobbyist_id"),
+            text("entry.covered_position").alias("former_public_office"),
+            F.struct("n", "m").alias("place"),
+            joined("entry.lobbyist.first_name", "entry.lobbyist.last_name").alias("name"),
+        )
     )
-    rows = filings.select("filing_uuid", F.explode(first_of_each).alias("p"))
     return as_contract(
-        rows.select(
-            F.col("filing_uuid").alias("registration_id"),
-            F.col("p.id").alias("lobbyist_id"),
-            F.col("p.name").alias("name"),
-            F.col("p.position").alias("former_public_office"),
-        ),
+        named.groupBy("registration_id", "lobbyist_id", "former_public_office").agg(F.min_by("name", "place").alias("name")),
         "lobbyists",
     )
 
