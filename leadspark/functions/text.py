@@ -108,7 +108,7 @@ def redact_text(value: Column | str) -> Column:
     return text
 
 
-def decimal_round(value: Column, places: int) -> Column:
+def decimal_round(value: Column | str, places: int) -> Column:
     """Binary rounding, as SQL engines without decimal text rounding do it (1.005 -> 1.0)."""
     scale = float(10**places)
-    return F.round(value * F.lit(scale), 0) / F.lit(scale)
+    return F.round(column(value) * F.lit(scale), 0) / F.lit(scale)

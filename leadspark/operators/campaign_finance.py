@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadspark.functions import checks
 from leadspark.functions.ordered import day_number, distinct_in_forward_window
 from leadspark.functions.relational import first_per_key, top, with_joined_list
-from leadspark.functions.text import EMPLOYER_STOP_WORDS, blank_to_null, postcode_key, upper_trim
+from leadspark.functions.text import EMPLOYER_STOP_WORDS, blank_to_null, decimal_round, postcode_key, upper_trim
 
 
 def maxed_donor_clusters(
@@ -170,7 +170,7 @@ def new_recipient_single_funder(
             "total_amount",
             F.col("largest.donor_name").alias("top_donor"),
             F.col("largest.donor_amount").alias("top_donor_amount"),
-            F.round(share, 4).alias("top_share"),
+            decimal_round(share, 4).alias("top_share"),
         ),
         [F.col("total_amount").desc(), F.col("recipient_id")],
         limit,

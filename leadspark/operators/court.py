@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.relational import top
-from leadspark.functions.text import name_key, word_prefixes
+from leadspark.functions.text import decimal_round, name_key, word_prefixes
 
 # Fixed value: parties that appear in so many cases that they say nothing.
 GOVERNMENT_PARTIES = (
@@ -232,7 +232,7 @@ def long_pending_cases(
     )
     if civil_only:
         pending = pending.filter("nature_of_suit IS NOT NULL")
-    pending = pending.withColumn("years_pending", F.round(age, 2))
+    pending = pending.withColumn("years_pending", decimal_round(age, 2))
     order = [F.col("years_pending").desc(), F.col("case_id").asc_nulls_last()]
     per_judge = pending.groupBy(F.col("court_id").alias("_court"), F.col("judge_id").alias("_judge")).agg(
         F.count(F.lit(1)).alias("judge_long_pending")
@@ -297,7 +297,7 @@ def repeat_party_before_judge(
     repeated = (
         per_judge.withColumn("party_cases", F.sum("cases_before_judge").over(in_court))
         .filter((F.col("party_cases") >= min_cases) & (share >= float(min_share)))
-        .withColumn("judge_share", F.round(share, 4))
+        .withColumn("judge_share", decimal_round(share, 4))
     )
     judges = cases.groupBy("court_id").agg(F.count_distinct("judge_id").alias("judges_in_court"))
     return top(
@@ -359,7 +359,7 @@ def single_judge_concentration(
             "judge_name",
             "judge_cases",
             "total_cases",
-            F.round(share, 4).alias("judge_share"),
+            decimal_round(share, 4).alias("judge_share"),
             "judges_in_market",
             "first_filed",
             "last_filed",

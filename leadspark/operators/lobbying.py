@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.relational import top, with_joined_list
-from leadspark.functions.text import contains_any, registrant_key, upper_trim
+from leadspark.functions.text import contains_any, decimal_round, registrant_key, upper_trim
 
 # Committee name fragments in a former office, first match wins.
 COMMITTEE_PHRASES = (
@@ -316,13 +316,13 @@ def issue_concentration_shifts(
         "prior_registrants",
         F.when(
             F.col("prior_registrants") > 0,
-            F.round(100.0 * (F.col("registrants") - F.col("prior_registrants")) / F.col("prior_registrants"), 1),
+            decimal_round(100.0 * (F.col("registrants") - F.col("prior_registrants")) / F.col("prior_registrants"), 1),
         ).alias("registrants_delta_pct"),
         "total_spend",
         "prior_spend",
         F.when(
             F.col("prior_spend") > 0,
-            F.round(100.0 * (F.col("total_spend") - F.col("prior_spend")) / F.col("prior_spend"), 1),
+            decimal_round(100.0 * (F.col("total_spend") - F.col("prior_spend")) / F.col("prior_spend"), 1),
         ).alias("spend_delta_pct"),
     )
     by_money = (F.col("prior_spend") > 0) & (F.abs("spend_delta_pct") >= min_delta_pct)
@@ -941,8 +941,8 @@ def contact_bursts(
             "contacts",
             "total_contacts",
             "active_months",
-            F.round(mean, 2).alias("mean_per_month"),
-            F.round(ratio, 2).alias("burst_ratio"),
+            decimal_round(mean, 2).alias("mean_per_month"),
+            decimal_round(ratio, 2).alias("burst_ratio"),
         ),
         order,
         limit,

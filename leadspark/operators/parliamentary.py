@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.relational import top
-from leadspark.functions.text import split_list
+from leadspark.functions.text import decimal_round, split_list
 
 
 def _names(parl_members: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def absence_outlier(
             F.nullif("chamber_key", F.lit("")).alias("chamber"),
             "votings",
             "absences",
-            F.round("rate", 4).alias("absence_rate"),
-            F.round("median", 4).alias("median_rate"),
+            decimal_round("rate", 4).alias("absence_rate"),
+            decimal_round("median", 4).alias("median_rate"),
         ),
         [
             F.col("absence_rate").desc(),
@@ -154,7 +154,7 @@ def group_rebellion_rate(
             F.col("latest.group_at_vote").alias("latest_group"),
             "votes_compared",
             "rebellions",
-            F.round("rate", 4).alias("rebellion_rate"),
+            decimal_round("rate", 4).alias("rebellion_rate"),
         ),
         [
             F.col("rebellion_rate").desc(),
@@ -216,9 +216,9 @@ def rebellion_rise(
             "period_start",
             "previous_votes_compared",
             "votes_compared",
-            F.round("previous_rate", 4).alias("previous_rate"),
-            F.round("rate", 4).alias("rate"),
-            F.round(F.col("rate") - F.col("previous_rate"), 4).alias("increase"),
+            decimal_round("previous_rate", 4).alias("previous_rate"),
+            decimal_round("rate", 4).alias("rate"),
+            decimal_round(F.col("rate") - F.col("previous_rate"), 4).alias("increase"),
         ),
         [
             F.col("increase").desc(),

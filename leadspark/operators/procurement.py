@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.relational import one_row, top, with_joined_list
+from leadspark.functions.text import decimal_round
 
 COMPETITIVE_METHODS = ("open", "selective")
 NON_OPEN_METHODS = ("limited", "direct")
@@ -120,8 +121,8 @@ def non_open_procedure_share(
         "processes",
         "unknown_method_processes",
         "non_open_processes",
-        F.round("share", 4).alias("non_open_share"),
-        F.round(fence, 4).alias("iqr_upper_fence"),
+        decimal_round("share", 4).alias("non_open_share"),
+        decimal_round(fence, 4).alias("iqr_upper_fence"),
         (F.col("share") >= fence).alias("above_iqr_fence"),
     )
 
@@ -201,7 +202,7 @@ def supplier_share_outlier(
             F.nullif("currency_key", F.lit("")).alias("currency"),
             "supplier_value",
             "market_value",
-            F.round(share, 4).alias("supplier_share"),
+            decimal_round(share, 4).alias("supplier_share"),
             "supplier_awards",
             "market_awards",
             "market_suppliers",
@@ -255,7 +256,7 @@ def value_growth_after_award(
             "award_value",
             "final_value",
             growth.alias("value_increase"),
-            F.round(F.col("final_value") / F.col("award_value"), 4).alias("growth_ratio"),
+            decimal_round(F.col("final_value") / F.col("award_value"), 4).alias("growth_ratio"),
             "currency",
             "award_date",
         ),
