@@ -76,7 +76,13 @@ def with_preceding_rows(
 
 
 def distinct_in_forward_window(
-    df: DataFrame, keys: Sequence[str], day: str, member: str, window_days: int
+    df: DataFrame,
+    keys: Sequence[str],
+    day: str,
+    member: str,
+    window_days: int,
+    *,
+    anchors: DataFrame | None = None,
 ) -> DataFrame:
     """Per key and anchor day: how many distinct members occur in [day, day + window].
 
@@ -84,7 +90,8 @@ def distinct_in_forward_window(
     days are turned into disjoint anchor spans, each span into a +1 and a -1,
     and the marks are summed per key and day. No self-join, and no set of
     members is held anywhere; after the sum a key holds at most one row per
-    calendar day, whatever its size was. Returns every marked day with ``_members``.
+    calendar day, whatever its size was. Returns every marked day with
+    ``_members``; ``anchors`` (keys and day) adds days without any member.
     """
     days = df.select(*keys, member, day).distinct()
     per_member = Window.partitionBy(*keys, member).orderBy(day)
@@ -107,6 +114,33 @@ def distinct_in_forward_window(
             )
         ).alias("_mark"),
     ).filter("_mark.day IS NOT NULL")
-    changes = marks.groupBy(*keys, F.col("_mark.day").alias(day)).agg(F.sum("_mark.change").alias("_change"))
+    marks = marks.select(*keys, F.col("_mark.day").alias(day), F.col("_mark.change").alias("_change"))
+    if anchors is not None:
+        marks = marks.unionByName(anchors.select(*keys, day, F.lit(0).alias("_change")))
+    changes = marks.groupBy(*keys, day).agg(F.sum("_change").alias("_change"))
     running = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     return changes.select(*keys, day, F.sum("_change").over(running).alias("_members"))
+
+
+def nearest_days(df: DataFrame, anchors: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """Per anchor (keys and day): the first day of ``df`` on or after it, and the last on or before it.
+
+    An as-of join as two running aggregates over the union; a key holds at most
+    two rows per calendar day.
+    """
+    both = (
+        df.select(*keys, day, F.lit(True).alias("_seen"), F.lit(False).alias("_anchor"))
+        .unionByName(anchors.select(*keys, day, F.lit(False).alias("_seen"), F.lit(True).alias("_anchor")))
+        .groupBy(*keys, day)
+        .agg(F.max("_seen").alias("_seen"), F.max("_anchor").alias("_anchor"))
+    )
+    seen_day = F.when(F.col("_seen"), F.col(day))
+    whole = Window.partitionBy(*keys)
+    ascending = whole.orderBy(F.col(day)).rowsBetween(Window.unboundedPreceding, 0)
+    descending = whole.orderBy(F.col(day).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        both.withColumn("_next", F.min(seen_day).over(descending))
+        .withColumn("_previous", F.max(seen_day).over(ascending))
+        .filter("_anchor")
+        .select(*keys, day, "_next", "_previous")
+    )

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
+from leadspark.functions.ordered import day_number, distinct_in_forward_window, nearest_days
 from leadspark.functions.relational import top, with_joined_list
 from leadspark.functions.text import contains_any, decimal_round, registrant_key, upper_trim
+from leadspark.session import cut_lineage
 
 # Committee name fragments in a former office, first match wins.
 COMMITTEE_PHRASES = (
@@ -811,37 +813,69 @@ def former_official_lobbies_former_institution(
         former.select("registrant_id", "former_key").distinct(),
         contacts.select("registrant_id", "contacted_key").distinct(),
     )
-    meetings = contacts.groupBy("registrant_id", "contacted_key", "contact_id", "contact_date").agg(
+    place = ["registrant_id", "contacted_key"]
+    labels = contacts.groupBy(*place).agg(
         F.min("registrant_name").alias("registrant_name"), F.min("institution").alias("institution")
     )
-    left_on = F.col("former_office_end")
-    term = ["registrant_id", "former_key", "former_office_end"]
-    evidence = (
-        former.select(*term)
+    dated = contacts.filter("contact_date IS NOT NULL").select(
+        *place, "contact_id", day_number("contact_date").alias("day")
+    )
+    # Written once: five branches below read it.
+    terms = cut_lineage(
+        former.select("registrant_id", "former_key", "former_office_end")
         .distinct()
         .join(pairs, ["registrant_id", "former_key"])
-        .join(meetings, ["registrant_id", "contacted_key"])
-        .filter(left_on.isNull() | F.datediff("contact_date", left_on).between(0, max_days_after_leaving))
-        .groupBy(*term, "contacted_key")
-        .agg(
-            F.min("registrant_name").alias("registrant_name"),
-            F.min("institution").alias("institution"),
-            F.count_distinct("contact_id").alias("term_contacts"),
-            F.min("contact_date").alias("first_contact"),
-            F.max("contact_date").alias("last_contact"),
+        .select(*place, "former_key", "former_office_end", day_number("former_office_end").alias("day"))
+    )
+    # Contacts in [leaving, leaving + window] come from a running count per calendar day, and the
+    # first and last of them from the nearest contact days: terms never meet single contacts.
+    leaving = terms.filter("day IS NOT NULL").select(*place, "day").distinct()
+    counts = distinct_in_forward_window(dated, place, "day", "contact_id", max_days_after_leaving, anchors=leaving)
+    end_of_window = leaving.select(*place, (F.col("day") + max_days_after_leaving).alias("day"))
+    nearest = nearest_days(dated, leaving.unionByName(end_of_window).distinct(), place, "day")
+    after_leaving = (
+        leaving.join(counts, [*place, "day"])
+        .join(nearest.select(*place, "day", F.col("_next").alias("first_day")), [*place, "day"])
+        .join(
+            nearest.select(
+                *place, (F.col("day") - max_days_after_leaving).alias("day"), F.col("_previous").alias("last_day")
+            ),
+            [*place, "day"],
+        )
+        .filter("_members > 0")
+    )
+    whenever = contacts.groupBy(*place).agg(
+        F.count_distinct("contact_id").alias("_members"),
+        F.min(day_number("contact_date")).alias("first_day"),
+        F.max(day_number("contact_date")).alias("last_day"),
+    )
+    evidence = (
+        terms.filter("day IS NOT NULL")
+        .join(after_leaving, [*place, "day"])
+        .drop("day")
+        .unionByName(terms.filter("day IS NULL").join(whenever, place).drop("day"))
+        .join(labels, place)
+        .select(
+            *place,
+            "former_key",
+            F.col("former_office_end").alias("_end"),
+            "registrant_name",
+            "institution",
+            F.col("_members").alias("term_contacts"),
+            F.date_from_unix_date("first_day").alias("first_contact"),
+            F.date_from_unix_date("last_day").alias("last_contact"),
         )
-        .withColumnRenamed("former_office_end", "_end")
     )
     lead_key = ["lobbyist_id", "former_office_institution", "registrant_id", "contacted_key"]
     matched = (
         former.join(evidence, ["registrant_id", "former_key"])
-        .filter(left_on.eqNullSafe(F.col("_end")))
+        .filter(F.col("former_office_end").eqNullSafe(F.col("_end")))
         .groupBy(*lead_key, "former_key")
         .agg(
             F.min("name").alias("name"),
             F.min("former_public_office").alias("former_public_office"),
             F.max("former_office_end").alias("former_office_end"),
-            F.max(left_on.isNull()).alias("_any_time"),
+            F.max(F.col("former_office_end").isNull()).alias("_any_time"),
             F.array_sort(F.collect_set("former_office_end")).alias("_ends"),
             F.min("registrant_name").alias("registrant_name"),
             F.min("institution").alias("contacted_institution"),
@@ -852,15 +886,22 @@ def former_official_lobbies_former_institution(
     )
     # An unknown leaving date admits every contact, so its count covers the other terms.
     several = (~F.col("_any_time")) & (F.size("_ends") > 1)
-    ends = ["registrant_id", "contacted_key", "_ends"]
+    ends = [*place, "_ends"]
+    # One row per contact with its days, at most one per calendar day.
+    meetings = dated.groupBy(*place, "contact_id").agg(F.collect_set("day").alias("_days"))
     counted_again = (
         matched.filter(several)
         .select(*ends)
         .distinct()
-        .join(meetings, ["registrant_id", "contacted_key"])
-        .filter(F.exists("_ends", lambda end: F.datediff("contact_date", end).between(0, max_days_after_leaving)))
+        .join(meetings, place)
+        .filter(
+            F.exists(
+                "_days",
+                lambda day: F.exists("_ends", lambda end: (day - day_number(end)).between(0, max_days_after_leaving)),
+            )
+        )
         .groupBy(*ends)
-        .agg(F.count_distinct("contact_id").alias("all_contacts"))
+        .agg(F.count("contact_id").alias("all_contacts"))
     )
     order = [
         F.col("contacts").desc(),

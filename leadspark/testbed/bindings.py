@@ -187,7 +187,7 @@ BINDINGS: dict[str, str] = {
                     WHEN l_suppkey % 6 = 3 THEN 'Ministry'
                     WHEN l_suppkey % 6 = 4 THEN 'ab' END AS former_office_institution,
                CASE WHEN l_suppkey % 5 = 0 THEN NULL
-                    WHEN l_linenumber = 6 THEN DATE '2024-01-20'
+                    WHEN l_suppkey % 13 = 0 AND l_linenumber = 6 THEN DATE '2024-01-20'
                     ELSE DATE '2017-06-01' + CAST(l_suppkey % 97 * 24 AS INT) END AS former_office_end
         FROM {lineitem}""",
     "lobbying_contacts": """
