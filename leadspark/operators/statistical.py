@@ -33,15 +33,20 @@ def zscore_outliers(df: DataFrame, *, z_threshold: float = 3.0) -> DataFrame:
     """
     checks.number("z_threshold", z_threshold, 0.5, 100.0)
     rows = df.select("id", F.col("amount").cast("double").alias("amount")).filter("amount IS NOT NULL")
-    stats = one_row(
-        rows.agg(
-            F.avg("amount").alias("mean"),
-            F.stddev_pop("amount").alias("sd"),
-            F.count("amount").alias("n"),
-            F.sum("amount").alias("total"),
-            F.sum(F.col("amount") * F.col("amount")).alias("squares"),
-        )
+    # One struct column, so the plan holds the subquery once per use of the struct and not per field.
+    rows = rows.withColumn(
+        "_all",
+        one_row(
+            rows.agg(
+                F.avg("amount").alias("mean"),
+                F.stddev_pop("amount").alias("sd"),
+                F.count("amount").alias("n"),
+                F.sum("amount").alias("total"),
+                F.sum(F.col("amount") * F.col("amount")).alias("squares"),
+            )
+        ),
     )
+    stats = F.col("_all")
     amount, others = F.col("amount"), stats["n"] - 1
     mean_of_others = F.try_divide(stats["total"] - amount, others)
     variance_of_others = F.try_divide(stats["squares"] - amount * amount, others) - F.pow(mean_of_others, F.lit(2.0))
