@@ -144,3 +144,38 @@ def nearest_days(df: DataFrame, anchors: DataFrame, keys: Sequence[str], day: st
         .filter("_anchor")
         .select(*keys, day, "_next", "_previous")
     )
+
+
+def with_previous_row(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], columns: Sequence[str]
+) -> DataFrame:
+    """Columns of the row before each row of its key, as ``_previous`` (NULL for the first row).
+
+    ``bucket`` is a coarse non-decreasing function of the order (a year, say). Rows
+    are ordered per key and bucket, so a hot key is spread over its buckets; the
+    first row of a bucket takes the last row of the key's bucket before, found
+    among one row per key and bucket.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_row", F.struct(*columns))
+    place = [*keys, "_bucket"]
+    within = Window.partitionBy(*place).orderBy(*order)
+    numbered = rows.withColumn("_nth", F.row_number().over(within)).withColumn("_before", F.lag("_row").over(within))
+    backwards = Window.partitionBy(*place).orderBy(*[_reversed(column) for column in order])
+    last_rows = rows.withColumn("_last", F.row_number().over(backwards)).filter("_last = 1")
+    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = last_rows.select(
+        *[F.col(name).alias(f"_c_{name}") for name in place], F.lag("_row").over(over_buckets).alias("_carried")
+    )
+    match = F.lit(True)
+    for name in place:
+        match = match & F.col(name).eqNullSafe(F.col(f"_c_{name}"))
+    return (
+        numbered.join(carried, match, "left")
+        .withColumn("_previous", F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_before")))
+        .select(*df.columns, "_previous")
+    )
+
+
+def _reversed(column: Column) -> Column:
+    """Descending order of a plain column, NULL first (the reverse of ascending with NULL last)."""
+    return column.desc_nulls_first()

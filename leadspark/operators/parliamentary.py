@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
+from leadspark.functions.ordered import with_previous_row
 from leadspark.functions.relational import top
 from leadspark.functions.text import decimal_round, split_list
 
@@ -257,18 +258,22 @@ def group_switch(
         )
         .distinct()
     )
-    in_term = Window.partitionBy("parliament", "member_id", "term_key").orderBy(
-        F.col("start_date"), F.col("end_date").asc_nulls_last(), F.col("org_key"), F.col("org_name")
+    # The end date sorts with NULL last; a filled column keeps the order plain.
+    ordered = with_previous_row(
+        spans.withColumn("_end", F.coalesce("end_date", F.lit("9999-12-31").cast("date"))),
+        ["parliament", "member_id", "term_key"],
+        F.year("start_date"),
+        [F.col(name) for name in ("start_date", "_end", "org_key", "org_name")],
+        ["org_key", "org_name", "end_date"],
     )
-    moves = spans.select(
+    moves = ordered.filter(F.col("_previous.org_key") != F.col("org_key")).select(
         "parliament",
         "member_id",
-        F.lag("org_name").over(in_term).alias("from_org"),
+        F.col("_previous.org_name").alias("from_org"),
         F.col("org_name").alias("to_org"),
-        F.lag("end_date").over(in_term).alias("from_end"),
+        F.col("_previous.end_date").alias("from_end"),
         F.col("start_date").alias("switch_date"),
-        (F.lag("org_key").over(in_term) != F.col("org_key")).alias("moved"),
-    ).filter("moved")
+    )
     return top(
         moves.join(_names(parl_members), ["parliament", "member_id"], "left").select(
             "member_id", "name", "parliament", "from_org", "to_org", "from_end", "switch_date"

@@ -660,11 +660,13 @@ def test_group_switch(spark):
         span("a", "Red", "2020-01-01", "2020-06-01"), span("a", "Red", "2020-01-01", "2020-06-01"), span("a", "Blue", "2020-06-02"),
         span("b", "Red", "2020-01-01", "2020-06-01"), span("b", " red", "2020-06-02"),
         span("c", "Red", "2020-01-01"), span("c", "Blue", "2024-01-01", term="2"),
+        span("f", "Red", "2020-01-01", "2022-12-31"), span("f", "Blue", "2023-01-01"), span("f", "Blue", "2023-03-01"),
         span("e", "Red", "2020-01-01", kind="party"), span("e", "Blue", "2021-01-01", kind="party"),
     ]
     found = parliamentary.group_switch(members(spark, "a"), table(spark, "parl_affiliations", spans))
     assert rows(found, "member_id", "from_org", "to_org", "from_end", "switch_date") == [
-        ("a", "Red", "Blue", d("2020-06-01"), d("2020-06-02"))
+        ("f", "Red", "Blue", d("2022-12-31"), d("2023-01-01")),
+        ("a", "Red", "Blue", d("2020-06-01"), d("2020-06-02")),
     ]
 
 
