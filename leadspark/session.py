@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", *, app: str = "leadspark", shuffle_par
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -34,18 +36,15 @@ def local_session(cores: int | str = "*", *, app: str = "leadspark", shuffle_par
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without one (local tests) gets a folder of its own.
+    The folder must be one that every executor shares; the library never
+    chooses one itself (:func:`local_session` sets one for local sessions).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
-            configured = tempfile.mkdtemp(prefix="spark-")
+            raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
         context.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
