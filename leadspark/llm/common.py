@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# Functions of this subpackage travel to the executors with their code: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["leadspark.llm"])
+
 # A batch is cut so that its texts stay under this many bytes (one longer text is a batch alone).
 BATCH_BYTES = 8_000_000
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadspark.llm.common import read
+from leadspark.llm.packing import pack
+from leadspark.llm.substring_dedup import kept_digest, remove_repeated_windows
 from leadspark.llm.token_counts import token_counts
 
 
@@ -20,8 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), _vocabulary(), end_id=2, window=4096)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digest(remove_repeated_windows(read(spark, sf_dir, "documents"), width=35))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 LLM_ORACLES: dict[str, str] = {}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import regex
 
@@ -32,7 +31,6 @@ def pieces(chunk: str) -> list[str]:
     return PIECES.findall(composed.lower())
 
 
-@lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -41,9 +39,8 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> dict:
-    """The parsed file, read once in each Python worker."""
+    """The parsed file."""
     with open(path, encoding="utf-8") as file:
         return json.load(file)
 
