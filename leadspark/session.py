@@ -36,15 +36,17 @@ def local_session(cores: int | str = "*", *, app: str = "leadspark", shuffle_par
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder must be one that every executor shares; the library never
-    chooses one itself (:func:`local_session` sets one for local sessions).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
+            configured = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
