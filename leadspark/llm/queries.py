@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadspark.llm.common import read
 from leadspark.llm.packing import pack
+from leadspark.llm.quality_rules import quality_rules
+from leadspark.llm.secret_scan import secret_spans, span_digest
 from leadspark.llm.substring_dedup import kept_digest, remove_repeated_windows
 from leadspark.llm.token_counts import token_counts
+from leadspark.llm.url_filter import Rule, canonical_url, filter_urls, url_host, url_path
 
 
 def _vocabulary() -> str:
@@ -22,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), _vocabulary(), end_id=2, window=4096)
 
@@ -30,10 +38,62 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeated_windows(read(spark, sf_dir, "documents"), width=35))
 
 
+# The rules of the contract.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed: every address that a campaign link (utm_source) of the pages leads to."""
+    pages = read(spark, sf_dir, "pages")
+    address = canonical_url(url_host(F.col("url")), url_path(F.col("url")))
+    listed = pages.where(F.col("url").contains("utm_source=")).select(address.alias("canonical"))
+    return filter_urls(pages, listed, URL_RULES)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secret_spans(read(spark, sf_dir, "documents")))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op8_secret_scan": op8_secret_scan,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+_URL_SQL = r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+        coalesce(contains(url, 'utm_source='), false) AS campaign
+    FROM pages
+), addressed AS (
+    SELECT *, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(path, '/+$', '') END AS address FROM parts
+), rules(rule_host, rule_path, says) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        arg_max(says, length(rule_host || rule_path)) AS says
+    FROM addressed JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id
+), listed AS (
+    SELECT DISTINCT address FROM addressed WHERE campaign AND address <> ''
+)
+SELECT a.page_id, a.host, a.path, f.rule,
+    coalesce(f.says, CASE WHEN l.address IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM addressed a LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l USING (address)
+"""
+
+LLM_ORACLES: dict[str, str] = {"op6_url_filter": _URL_SQL}
