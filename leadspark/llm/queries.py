@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.llm.common import read
+from leadspark.llm.decontaminate import contamination, item_digest
 from leadspark.llm.packing import pack
 from leadspark.llm.quality_rules import quality_rules
 from leadspark.llm.secret_scan import secret_spans, span_digest
@@ -56,6 +57,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, URL_RULES)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), length=10))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_spans(read(spark, sf_dir, "documents")))
 
@@ -66,6 +71,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
 }
 
@@ -96,4 +102,36 @@ SELECT a.page_id, a.host, a.path, f.rule,
 FROM addressed a LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l USING (address)
 """
 
-LLM_ORACLES: dict[str, str] = {"op6_url_filter": _URL_SQL}
+_CONTAMINATION_SQL = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_starts AS (
+    SELECT item, w, least(len(w), 10) AS k, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i
+    FROM item_words WHERE len(w) > 0
+), item_windows AS (
+    SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS words FROM item_starts
+), doc_starts AS (
+    SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+    FROM split, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k
+), met AS (
+    SELECT doc_id, i, d.k, item FROM doc_starts d
+    JOIN item_windows b ON b.k = d.k AND b.words = array_to_string(d.w[d.i : d.i + d.k - 1], ' ')
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM met) GROUP BY doc_id
+), held AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split s LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+LLM_ORACLES: dict[str, str] = {"op6_url_filter": _URL_SQL, "op7_decontamination": _CONTAMINATION_SQL}
