@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.llm.common import read
 from leadspark.llm.decontaminate import contamination, item_digest
+from leadspark.llm.near_dedup import near_components
 from leadspark.llm.packing import pack
 from leadspark.llm.quality_rules import quality_rules
 from leadspark.llm.secret_scan import secret_spans, span_digest
@@ -65,6 +66,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_spans(read(spark, sf_dir, "documents")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -73,6 +78,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 _URL_SQL = r"""

@@ -82,6 +82,14 @@ def bloom_blocks(urls: DataFrame, blocks: int, column: str = "canonical") -> Dat
     return masked.groupBy("_block").agg(*[F.bit_or(f"_mask{i}").alias(f"_bits{i}") for i in range(_LANES)])
 
 
+def bloom_hit(rows: DataFrame, filter_: DataFrame, blocks: int, column: str) -> DataFrame:
+    """The rows whose ``column`` may be in the filter of :func:`bloom_blocks`."""
+    met = rows.withColumn("_block", _block(F.col(column), blocks)).join(filter_, "_block")
+    for lane, mask in enumerate(_masks(F.col(column))):
+        met = met.where(F.col(f"_bits{lane}").bitwiseAND(mask) == mask)
+    return met
+
+
 def filter_urls(
     pages: DataFrame,
     listed: DataFrame,
