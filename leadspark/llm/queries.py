@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.llm.common import read
 from leadspark.llm.decontaminate import contamination, item_digest
+from leadspark.llm.language_id import identify
 from leadspark.llm.near_dedup import near_components
 from leadspark.llm.packing import pack
 from leadspark.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"), sample_per_language=600)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), _vocabulary(), end_id=2, window=4096)
 
@@ -73,6 +78,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
