@@ -12,6 +12,7 @@ from leadspark.llm.decontaminate import contamination, item_digest
 from leadspark.llm.language_id import identify
 from leadspark.llm.near_dedup import near_components
 from leadspark.llm.packing import pack
+from leadspark.llm.quality_knn import quality_scores
 from leadspark.llm.quality_rules import quality_rules
 from leadspark.llm.secret_scan import secret_spans, span_digest
 from leadspark.llm.substring_dedup import kept_digest, remove_repeated_windows
@@ -75,6 +76,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), voters=2400)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +90,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality_knn": op10_quality_knn,
 }
 
 _URL_SQL = r"""
