@@ -30,7 +30,10 @@ BLOCK_ROWS = 512
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w]+")
 _RUNS = re.compile(r"(.)\1+")
-REPEATED, REPEATED_LINE = "<repeated>", "<repeated line>"
+# Shares of a text (of chunks that repeat the one before, of lines met before, of chunks in capitals) are terms by level.
+TRAITS = ("repeated", "repeated line", "capitals")
+LEVELS = (0.02, 0.1, 0.3)
+TRAIT_COUNT = 64
 
 
 def _bucket(term: str) -> int:
@@ -45,10 +48,11 @@ def _shape(chunk: str) -> str:
     return _RUNS.sub(r"\1", kinds)[:8]
 
 
-def chunk_terms(chunk: str) -> tuple[int, int, int]:
-    """Buckets of a chunk's word, of its shape, and of the marks in it (runs of marks as they stand)."""
+def chunk_terms(chunk: str) -> tuple[int, int, int, int]:
+    """Buckets of a chunk's word, of its shape, and of the marks in it (as they stand); 1 if it is in capitals."""
     word = "".join(_LETTERS.findall(chunk.lower()))
-    return _bucket(word), _bucket("shape " + _shape(chunk)), _bucket("marks " + "".join(_MARKS.findall(chunk))[:8])
+    marks = "".join(_MARKS.findall(chunk))[:8]
+    return _bucket(word), _bucket("shape " + _shape(chunk)), _bucket("marks " + marks), int(chunk.isupper())
 
 
 class Terms:
@@ -56,9 +60,8 @@ class Terms:
 
     def __init__(self):
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, 3), np.int32)
-        self.again = _bucket(REPEATED)
-        self.line = _bucket(REPEATED_LINE)
+        self.table = np.zeros((0, 4), np.int32)
+        self.traits = [[_bucket(f"<{trait} {level}>") for level in LEVELS] for trait in TRAITS]
 
     def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         split = [(text or "").split() for text in texts]
@@ -73,13 +76,16 @@ class Terms:
         found = []
         for text, chunks in zip(texts, split, strict=True):
             at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-            again = int(np.count_nonzero(at[1:] == at[:-1]))
-            lines = (text or "").split("\n")
-            lines = [line for line in lines if line] if len(lines) > 1 else []
-            repeats = len(lines) - len(set(lines))
-            counts = np.bincount(self.table[at].ravel(), minlength=BUCKETS)
-            counts[self.again] += again
-            counts[self.line] += repeats
+            rows = self.table[at]
+            counts = np.bincount(rows[:, :3].ravel(), minlength=BUCKETS)
+            if chunks:
+                lines = [line for line in text.split("\n") if line]
+                again = np.count_nonzero(at[1:] == at[:-1]) / len(chunks)
+                shares = (again, 1 - len(set(lines)) / max(1, len(lines)), rows[:, 3].mean())
+                for share, buckets in zip(shares, self.traits, strict=True):
+                    level = int(np.searchsorted(LEVELS, share, side="right"))
+                    if level:
+                        counts[buckets[level - 1]] += TRAIT_COUNT
             held = np.flatnonzero(counts)
             found.append((held, counts[held]))
         return found
