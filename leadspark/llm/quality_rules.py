@@ -9,6 +9,9 @@ all work on a text happens in its own row.
 
 from __future__ import annotations
 
+import zlib
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,24 +127,37 @@ def _array(values: list[float]) -> str:
     return "array(" + ", ".join(f"{value!r}D" for value in values) + ")"
 
 
-def _distance(present: str, reference: str) -> str:
-    """Jensen-Shannon distance of a histogram from a reference.
+def _texts(values: list[str | None]) -> str:
+    shown = ["NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return f"array({', '.join(shown)})"
 
-    ``present`` holds (place in the reference, share) of what occurs. What does
-    not occur adds half its reference share, which is one minus the rest.
-    """
-    q = f"element_at({reference}, h.at)"
-    term = f"h.p * log2(2 * h.p / (h.p + {q})) + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / (h.p + {q})) ELSE 0D END"
-    total = (
-        f"aggregate({present}, struct(0D AS s, 1D AS rest), "
-        f"(a, h) -> struct(a.s + {term} AS s, a.rest - {q} AS rest), a -> a.s + a.rest)"
-    )
-    return f"sqrt(greatest(0D, {total}) / 2)"
+
+def _slots(words: list[str]) -> list[str | None]:
+    """The words by crc32 modulo the smallest size (from twice their number on) that parts them all."""
+    size = 2 * len(words) + 1
+    while len({zlib.crc32(word.encode()) % size for word in words}) < len(words):
+        size += 1
+    slots: list[str | None] = [None] * size
+    for word in words:
+        slots[zlib.crc32(word.encode()) % size] = word
+    return slots
 
 
 def _nearest(present: str, references: list[list[float]]) -> str:
-    each = f"array({', '.join(map(_array, references))})"
-    return _let(present, "hist", f"array_min(transform({each}, r -> {_distance('hist', 'r')}))")
+    """The least Jensen-Shannon distance of a histogram from the references.
+
+    ``present`` holds (place in the reference, share) of what occurs. With
+    f(x) = x log2 x the squared distance is 1 + (sum f(p) + f(q) - f(p + q)) / 2,
+    and what does not occur adds nothing to the sum.
+    """
+    each = ", ".join(
+        f"struct({_array(q)} AS q, {_array([x * log2(x) if x else 0.0 for x in q])} AS f)" for q in references
+    )
+    both = "(h.p + r.q[h.at - 1])"
+    sums = f"aggregate(hist, 0D, (s, h) -> s + r.f[h.at - 1] - {both} * log2({both}))"
+    own = "aggregate(hist, 0D, (s, h) -> s + h.p * log2(h.p))"
+    least = f"{own} + array_min(transform(array({each}), r -> {sums}))"
+    return _let(present, "hist", f"sqrt(greatest(0D, 1D + ({least}) / 2))")
 
 
 def _verdict(rows: DataFrame, references, limits: dict) -> DataFrame:
@@ -159,27 +175,42 @@ def _verdict(rows: DataFrame, references, limits: dict) -> DataFrame:
         "_class_distance",
         F.expr(f"CASE WHEN n_words >= {limits['min_words_classes']} THEN {_nearest(present, classes)} END"),
     )
-    listed = "array(" + ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) + ")"
-    found = (
-        f"array_sort(transform(array_remove(split(lower(_text), '{_WORD_BREAK}', -1), ''), "
-        f"w -> coalesce(nullif(array_position({listed}, w), 0L), {len(words) + 1}L)))"
+    slots = _slots(words)
+    # A word is common if its slot holds it; only the common ones are looked up in the list.
+    common = (
+        f"filter(words, w -> coalesce(get({_texts(slots)}, "
+        f"CAST(crc32(CAST(w AS BINARY)) % {len(slots)} AS INT)) = w, false))"
     )
+    places = f"array_sort(transform({common}, w -> array_position({_texts(words)}, w)))"
     # In the sorted places a new value begins a run; the next beginning (or the end) closes it.
     runs = (
         "filter(transform(sequence(0, size(places)), i -> CASE WHEN i = 0 OR i = size(places) "
         "OR places[i] <> places[i - 1] THEN i END), i -> i IS NOT NULL)"
     )
     hist = (
-        "transform(slice(begins, 1, size(begins) - 1), (b, k) -> struct(CAST(places[b] AS INT) AS at, "
-        "CAST(begins[k + 1] - b AS DOUBLE) / size(places) AS p))"
+        "concat(transform(slice(begins, 1, size(begins) - 1), (b, k) -> struct(CAST(places[b] AS INT) AS at, "
+        "CAST(begins[k + 1] - b AS DOUBLE) / size(words) AS p)), "
+        f"array(struct({len(words) + 1} AS at, CAST(size(words) - size(places) AS DOUBLE) / size(words) AS p)))"
     )
-    present = _let(found, "places", f"CASE WHEN size(places) = 0 THEN NULL ELSE {_let(runs, 'begins', hist)} END")
+    present = f"filter({_let(runs, 'begins', hist)}, h -> h.p > 0)"
+    # Without a common word there is one run, of no length.
+    present = f"CASE WHEN size(words) > 0 THEN {_let(places, 'places', present)} END"
+    present = _let(f"array_remove(split(lower(_text), '{_WORD_BREAK}', -1), '')", "words", present)
     return rows.withColumn(
         "_word_distance",
         F.expr(f"CASE WHEN n_words >= {limits['min_words_common']} THEN {_nearest(present, shares)} END"),
     )
 
 
+def _computed(rows: DataFrame, carried: list[str], made: list) -> DataFrame:
+    """``rows`` with new columns that later steps refer to, never compute again.
+
+    A projection would be merged into filters and projections above it, and its
+    expressions evaluated once for every use; a generator of one row is not.
+    """
+    return rows.select(*carried, F.inline(F.array(F.struct(*made))))
+
+
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
@@ -210,13 +241,14 @@ def judge(
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")).withColumn(
         "_words", F.expr(f"coalesce(array_remove(split(_text, '{_BREAK}', -1), ''), array())")
     )
-    rows = rows.select("_row", "_text", *[F.expr(sql).alias(name) for name, sql in _base("_text", "_words").items()])
+    rows = _computed(rows, ["_row", "_text"], [F.expr(q).alias(name) for name, q in _base("_text", "_words").items()])
     failed: Column = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = _verdict(rows.withColumn("base_failed", failed), references, limits)
     far = (F.coalesce("_class_distance", F.lit(0.0)) > max_class_distance) | (
         F.coalesce("_word_distance", F.lit(0.0)) > max_word_distance
     )
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select("_row", *BASE_COLUMNS)
+    kept = (~F.col("base_failed") & ~far).alias("kept")
+    return _computed(rows, ["_row"], [*BASE_COLUMNS[:-1], kept])
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **parameters) -> DataFrame:
