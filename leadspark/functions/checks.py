@@ -19,6 +19,12 @@ def integer(name: str, value, low: int, high: int) -> int:
     return value
 
 
+def at_least(name: str, value, low: int) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < low:
+        raise ParameterError(f"{name} must be an integer of at least {low}")
+    return value
+
+
 def text(name: str, value, longest: int) -> str:
     if not isinstance(value, str) or len(value) > longest:
         raise ParameterError(f"{name} must be text of at most {longest} characters")
@@ -26,5 +32,5 @@ def text(name: str, value, longest: int) -> str:
 
 
 def row_limit(value: int | None) -> int | None:
-    """``None`` reports every lead; the bound is the same for all detectors."""
-    return None if value is None else integer("limit", value, 1, 1000)
+    """``None`` reports every lead; a number is the caller's own top-k."""
+    return None if value is None else at_least("limit", value, 1)

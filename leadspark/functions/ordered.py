@@ -177,5 +177,5 @@ def with_previous_row(
 
 
 def _reversed(column: Column) -> Column:
-    """Descending order of a plain column, NULL first (the reverse of ascending with NULL last)."""
-    return column.desc_nulls_first()
+    """Descending order of a plain column, NULL last (the reverse of ascending, which has NULL first)."""
+    return column.desc_nulls_last()

@@ -18,7 +18,7 @@ def maxed_donor_clusters(
     near_limit_ratio: float = 0.9,
     window_days: int = 7,
     min_donors: int = 3,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Several donors with one employer or postcode who each give near the limit within a few days."""
     checks.number("limit_amount", limit_amount, 1, 100_000_000)
@@ -111,7 +111,7 @@ def new_recipient_single_funder(
     max_age_days: int = 90,
     min_top_share: float = 0.9,
     min_total: float = 10000,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Recently registered recipients whose early money nearly all came from one donor."""
     checks.integer("max_age_days", max_age_days, 1, 3650)
@@ -183,7 +183,7 @@ def structured_gifts(
     threshold: float = 11180,
     window_days: int = 30,
     min_gifts: int = 3,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Gifts from one donor, each under a threshold, that together reach it within a window."""
     checks.number("threshold", threshold, 1, 100_000_000)

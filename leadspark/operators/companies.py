@@ -17,9 +17,11 @@ SECRECY_JURISDICTIONS = (
     "XK|BN|GU|MH|MC|AS|MV|TT|VU|GM|LR|AG|AO|MS"
 )
 
+PRUNING_ROUNDS = 2
+
 
 def circular_control(
-    company_controllers: DataFrame, *, max_depth: int = 6, limit: int | None = 200
+    company_controllers: DataFrame, *, max_depth: int = 6, limit: int | None = None
 ) -> DataFrame:
     """Companies that control themselves through a chain of at most ``max_depth`` companies.
 
@@ -47,17 +49,13 @@ def circular_control(
         F.lit(1).alias("cycle_length"),
         F.concat_ws(" > ", "child", "parent").alias("cycle_path"),
     )
-    # A company outside every cycle is pruned as soon as one side of it is bare. Pruning only
-    # saves work, so it stops when a round no longer removes a tenth of the edges.
+    # A company outside every cycle is pruned when one side of it is bare. Pruning only saves
+    # work: a fixed number of rounds takes the loose ends off.
     core = cut_lineage(edges.filter("child <> parent"))
-    size = core.count()
-    for _ in range(max_depth):
+    for _ in range(PRUNING_ROUNDS):
         controlled = core.select(F.col("child").alias("parent")).distinct()
         controlling = core.select(F.col("parent").alias("child")).distinct()
         core = cut_lineage(core.join(controlled, "parent", "left_semi").join(controlling, "child", "left_semi"))
-        size, before = core.count(), size
-        if size > 0.9 * before:
-            break
 
     found = loops
     walks = core.join(loops.select(F.col("start").alias("child")), "child", "left_anti").select(
@@ -98,7 +96,7 @@ def circular_control(
     )
 
 
-def frequent_name_changes(companies: DataFrame, *, min_previous_names: int = 6, limit: int | None = 200) -> DataFrame:
+def frequent_name_changes(companies: DataFrame, *, min_previous_names: int = 6, limit: int | None = None) -> DataFrame:
     """Companies that changed their registered name many times."""
     checks.integer("min_previous_names", min_previous_names, 1, 1000)
     checks.row_limit(limit)
@@ -134,7 +132,7 @@ def prolific_officer(
     *,
     min_companies: int = 100,
     exclude_roles: str = "REVI|REGN",
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Officers or controllers with current positions in many companies."""
     checks.integer("min_companies", min_companies, 2, 1_000_000)
@@ -176,7 +174,7 @@ def prolific_officer(
     ).orderBy(*order)
 
 
-def rapid_dissolution(companies: DataFrame, *, max_days: int = 365, limit: int | None = 200) -> DataFrame:
+def rapid_dissolution(companies: DataFrame, *, max_days: int = 365, limit: int | None = None) -> DataFrame:
     """Companies dissolved soon after incorporation."""
     checks.integer("max_days", max_days, 0, 3650)
     checks.row_limit(limit)
@@ -208,7 +206,7 @@ def secrecy_jurisdiction_controller(
     companies: DataFrame,
     *,
     jurisdictions: str = SECRECY_JURISDICTIONS,
-    limit: int | None = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     """Companies controlled by a legal entity from another, secretive country."""
     checks.text("jurisdictions", jurisdictions, 1000)
@@ -253,7 +251,7 @@ def secrecy_jurisdiction_controller(
     )
 
 
-def shared_registered_address(companies: DataFrame, *, min_companies: int = 50, limit: int | None = 200) -> DataFrame:
+def shared_registered_address(companies: DataFrame, *, min_companies: int = 50, limit: int | None = None) -> DataFrame:
     """Addresses at which many companies are registered, whatever the spelling."""
     checks.integer("min_companies", min_companies, 2, 1_000_000)
     checks.row_limit(limit)

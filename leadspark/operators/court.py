@@ -63,7 +63,7 @@ def gift_from_litigant_or_counsel(
     *,
     min_name_length: int = 4,
     year_slack: int = 2,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Gifts or paid trips from a party, counsel or law firm in a case of the receiving judge."""
     checks.integer("min_name_length", min_name_length, 1, 50)
@@ -128,7 +128,7 @@ def judge_holds_party_stock(
     *,
     min_name_length: int = 4,
     year_slack: int = 1,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Cases of a judge who discloses an investment in a party around the years of the case."""
     checks.integer("min_name_length", min_name_length, 1, 50)
@@ -198,7 +198,7 @@ def long_pending_cases(
     min_years: float = 3,
     as_of_date: str = "",
     civil_only: int = 1,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Cases still open many years after filing, with the number of them per judge."""
     checks.number("min_years", min_years, 0, 100)
@@ -257,7 +257,7 @@ def repeat_party_before_judge(
     min_share: float = 0.75,
     party_role: str = "plaintiff",
     exclude_pattern: str = GOVERNMENT_PARTIES,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Parties whose cases in a court nearly all went to one judge."""
     checks.integer("min_cases", min_cases, 2, 100_000)
@@ -317,7 +317,7 @@ def repeat_party_before_judge(
 
 
 def single_judge_concentration(
-    court_cases: DataFrame, *, min_cases: int = 10, min_share: float = 0.9, limit: int | None = 200
+    court_cases: DataFrame, *, min_cases: int = 10, min_share: float = 0.9, limit: int | None = None
 ) -> DataFrame:
     """Courts or divisions in which one judge gets nearly all cases of one kind."""
     checks.integer("min_cases", min_cases, 1, 1_000_000)

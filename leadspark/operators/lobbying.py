@@ -64,7 +64,7 @@ def _recent() -> Column:
 
 
 def spending_spikes(
-    lobbying_registrations: DataFrame, *, min_spend: float = 50_000, min_z_abs: float = 2.0, limit: int | None = 200
+    lobbying_registrations: DataFrame, *, min_spend: float = 50_000, min_z_abs: float = 2.0, limit: int | None = None
 ) -> DataFrame:
     """Periods in which a registrant's spend jumps against its previous four periods."""
     checks.number("min_spend", min_spend, 0, 1_000_000_000)
@@ -114,7 +114,7 @@ def spending_spikes(
 
 
 def missing_spend_filings(
-    lobbying_registrations: DataFrame, *, min_filings: int = 4, limit: int | None = 200
+    lobbying_registrations: DataFrame, *, min_filings: int = 4, limit: int | None = None
 ) -> DataFrame:
     """Registrants with repeated reports without money, in a kind of report that normally has it."""
     checks.integer("min_filings", min_filings, 1, 1000)
@@ -166,7 +166,7 @@ def missing_spend_filings(
 
 
 def revolving_door_candidates(
-    lobbyists: DataFrame, lobbying_registrations: DataFrame, *, limit: int | None = 500
+    lobbyists: DataFrame, lobbying_registrations: DataFrame, *, limit: int | None = None
 ) -> DataFrame:
     """Lobbyists with a former public office, and whom they lobby for now."""
     checks.row_limit(limit)
@@ -197,7 +197,7 @@ def revolving_door_candidates(
 
 
 def foreign_filings(
-    lobbying_registrations: DataFrame, lobbying_foreign_entities: DataFrame, *, limit: int | None = 500
+    lobbying_registrations: DataFrame, lobbying_foreign_entities: DataFrame, *, limit: int | None = None
 ) -> DataFrame:
     """Filings that list a foreign entity with an interest in the lobbying."""
     checks.row_limit(limit)
@@ -236,7 +236,7 @@ def _client_reports(lobbying_registrations: DataFrame) -> DataFrame:
 
 
 def single_client_juggernauts(
-    lobbying_registrations: DataFrame, *, min_total_spend: float = 250_000, limit: int | None = 200
+    lobbying_registrations: DataFrame, *, min_total_spend: float = 250_000, limit: int | None = None
 ) -> DataFrame:
     """Consultants with one or two clients and a high total spend."""
     checks.number("min_total_spend", min_total_spend, 0, 10_000_000_000)
@@ -264,7 +264,7 @@ def single_client_juggernauts(
     return with_joined_list(leads, reports, ["register", "registrant_id"], "client_name", "clients").orderBy(*order)
 
 
-def pac_contribution_flow(political_contributions: DataFrame, *, limit: int | None = 500) -> DataFrame:
+def pac_contribution_flow(political_contributions: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Contributions summed per payee and honoree."""
     checks.row_limit(limit)
     return top(
@@ -286,7 +286,7 @@ def pac_contribution_flow(political_contributions: DataFrame, *, limit: int | No
 
 
 def issue_concentration_shifts(
-    lobbying_registrations: DataFrame, *, min_delta_pct: float = 25, limit: int | None = 500
+    lobbying_registrations: DataFrame, *, min_delta_pct: float = 25, limit: int | None = None
 ) -> DataFrame:
     """Shifts in spend (without money: registrants) per issue from one quarter to the next."""
     checks.number("min_delta_pct", min_delta_pct, 0, 100_000)
@@ -352,7 +352,7 @@ def issue_concentration_shifts(
 
 
 def new_registrant_surge(
-    lobbying_registrations: DataFrame, *, lookback_days: int = 183, limit: int | None = 200
+    lobbying_registrations: DataFrame, *, lookback_days: int = 183, limit: int | None = None
 ) -> DataFrame:
     """Registrants first seen in the latest days of their register."""
     checks.integer("lookback_days", lookback_days, 1, 3660)
@@ -444,7 +444,7 @@ def shell_pattern_filings(
     lobbying_activities: DataFrame,
     *,
     min_score: int = 2,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Filings with several text signs of a self-styled sovereign or shell client."""
     checks.integer("min_score", min_score, 1, 6)
@@ -505,7 +505,7 @@ def fara_gap_narrowed(
     lobbying_activities: DataFrame,
     foreign_agent_registrants: DataFrame,
     *,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Filings with signs of foreign interest by a registrant missing from the foreign agent list."""
     checks.row_limit(limit)
@@ -564,7 +564,7 @@ def revolving_door_committee_match(
     lobbying_registrations: DataFrame,
     lobbying_activities: DataFrame,
     *,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Lobbyists who now lobby on the issues of the committee they worked for."""
     checks.row_limit(limit)
@@ -624,7 +624,7 @@ def committee_say_vs_pay(
     *,
     target_committee: str = "finance",
     client_pattern: str = "%apollo%",
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Lobbying for a client by former committee staff, next to what the committee's members publish about it."""
     checks.text("target_committee", target_committee, 200)
@@ -687,7 +687,7 @@ def committee_say_vs_pay(
 
 
 def foreign_clients(
-    lobbying_registrations: DataFrame, *, home_countries: str = "", limit: int | None = 500
+    lobbying_registrations: DataFrame, *, home_countries: str = "", limit: int | None = None
 ) -> DataFrame:
     """Registrations for interests outside the register's home countries.
 
@@ -781,7 +781,7 @@ def former_official_lobbies_former_institution(
     lobbying_contacts: DataFrame,
     *,
     max_days_after_leaving: int = 1825,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Contacts of a registrant with an institution where one of its lobbyists held office.
 
@@ -940,7 +940,7 @@ def former_official_lobbies_former_institution(
 
 
 def contact_bursts(
-    lobbying_contacts: DataFrame, *, min_contacts: int = 5, min_ratio: float = 3.0, limit: int | None = 200
+    lobbying_contacts: DataFrame, *, min_contacts: int = 5, min_ratio: float = 3.0, limit: int | None = None
 ) -> DataFrame:
     """Months in which contacts of a registrant with an institution jump above their usual rate."""
     checks.integer("min_contacts", min_contacts, 1, 10_000)

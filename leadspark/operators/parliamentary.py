@@ -23,7 +23,7 @@ def absence_outlier(
     min_votings: int = 50,
     ratio: float = 2.0,
     min_rate: float = 0.1,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Members absent far more often than the median member of their chamber."""
     checks.integer("min_votings", min_votings, 1, 100_000)
@@ -125,7 +125,7 @@ def group_rebellion_rate(
     min_group_size: int = 3,
     min_votes: int = 50,
     min_rate: float = 0.1,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Members who often vote against the line of their own group."""
     checks.text("unattached_groups", unattached_groups, 200)
@@ -176,7 +176,7 @@ def rebellion_rise(
     min_group_size: int = 3,
     min_votes_per_period: int = 30,
     min_increase: float = 0.2,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Members whose share of votes against their group's line jumps from one quarter to the next."""
     checks.text("unattached_groups", unattached_groups, 200)
@@ -236,7 +236,7 @@ def group_switch(
     parl_affiliations: DataFrame,
     *,
     affiliation_type: str = "group",
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Moves of a member from one group or party to another within a term."""
     checks.text("affiliation_type", affiliation_type, 20)
@@ -258,12 +258,12 @@ def group_switch(
         )
         .distinct()
     )
-    # The end date sorts with NULL last; a filled column keeps the order plain.
+    # The end date sorts with NULL last: an open end is later than any date.
     ordered = with_previous_row(
-        spans.withColumn("_end", F.coalesce("end_date", F.lit("9999-12-31").cast("date"))),
+        spans.withColumn("_open", F.col("end_date").isNull()),
         ["parliament", "member_id", "term_key"],
         F.year("start_date"),
-        [F.col(name) for name in ("start_date", "_end", "org_key", "org_name")],
+        [F.col(name) for name in ("start_date", "_open", "end_date", "org_key", "org_name")],
         ["org_key", "org_name", "end_date"],
     )
     moves = ordered.filter(F.col("_previous.org_key") != F.col("org_key")).select(
@@ -296,7 +296,7 @@ def outside_interests_load(
     *,
     min_paid: int = 10,
     min_income: float = 100_000,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Members with many paid outside mandates or a high declared outside income."""
     checks.integer("min_paid", min_paid, 1, 1000)

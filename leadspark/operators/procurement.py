@@ -13,7 +13,7 @@ COMPETITIVE_METHODS = ("open", "selective")
 NON_OPEN_METHODS = ("limited", "direct")
 
 
-def single_bid_competitive(procurement_processes: DataFrame, *, limit: int | None = 200) -> DataFrame:
+def single_bid_competitive(procurement_processes: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Competitive processes with exactly one bid."""
     checks.row_limit(limit)
     return top(
@@ -36,7 +36,7 @@ def single_bid_competitive(procurement_processes: DataFrame, *, limit: int | Non
 
 
 def short_submission_period(
-    procurement_processes: DataFrame, *, min_days: int = 10, limit: int | None = 200
+    procurement_processes: DataFrame, *, min_days: int = 10, limit: int | None = None
 ) -> DataFrame:
     """Competitive processes (or of unknown method) that gave bidders only a few days."""
     checks.integer("min_days", min_days, 1, 365)
@@ -78,7 +78,7 @@ def short_submission_period(
 
 
 def non_open_procedure_share(
-    procurement_processes: DataFrame, *, min_processes: int = 5, min_share: float = 0.3, limit: int | None = 200
+    procurement_processes: DataFrame, *, min_processes: int = 5, min_share: float = 0.3, limit: int | None = None
 ) -> DataFrame:
     """Buyers with a high share of limited or direct procedures, next to the IQR fence of all buyers."""
     checks.integer("min_processes", min_processes, 1, 100_000)
@@ -133,7 +133,7 @@ def supplier_share_outlier(
     *,
     min_awards: int = 5,
     min_share: float = 0.4,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Suppliers that win a high share of one buyer's award value in a year and market."""
     checks.integer("min_awards", min_awards, 1, 100_000)
@@ -226,7 +226,7 @@ def value_growth_after_award(
     *,
     min_growth: float = 0.2,
     min_increase: float = 0,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Awards whose final value exceeds the awarded value by a ratio and an amount."""
     checks.number("min_growth", min_growth, 0, 1000)

@@ -8,14 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadspark.functions.checks import integer
+from leadspark.functions.checks import at_least
 from leadspark.functions.relational import top
 from leadspark.functions.text import SENSITIVE_COLUMN, redact_text
 from leadspark.plans.registry import Detector
 
 REDACTED = "[redacted]"
-# A run reports at most this many rows of a detector.
-MAX_OUTPUT_ROWS = 1000
 
 
 def is_sensitive(name: str) -> bool:
@@ -106,15 +104,16 @@ def leads_with_evidence(
     run_id: str,
     detector_hash: str = "",
     order: Sequence[Column] | None = None,
-    max_output_rows: int = MAX_OUTPUT_ROWS,
+    max_output_rows: int | None = None,
     run_date: str | None = None,
 ) -> DataFrame:
     """Leads of one run over one prepared table, ranked, with a statement and evidence references.
 
     ``order`` is the detector's own order; without it leads rank by candidate.
-    A run reports its first ``max_output_rows`` rows, which bounds the ranking.
+    All rows are ranked; ``max_output_rows`` keeps the first ones only.
     """
-    integer("max_output_rows", max_output_rows, 1, MAX_OUTPUT_ROWS)
+    if max_output_rows is not None:
+        at_least("max_output_rows", max_output_rows, 1)
     candidate = _candidate(rows)
     order = list(order or [candidate])
     rows = top(rows, order, max_output_rows)

@@ -11,7 +11,6 @@ from leadspark.functions import checks
 from leadspark.plans.registry import Detector
 
 COVERAGE_TOLERANCE = 1e-12
-MAX_RECOMMENDED = 10
 
 
 def requirement_rows(spark, detectors: Mapping[str, Detector]) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +56,7 @@ def match_detectors(profile: DataFrame, detectors: DataFrame, requirements: Data
     table, and profile rows meet them by equality on the field name.
     """
     satisfied = (
-        profile.join(F.broadcast(requirements), "field")
+        profile.join(requirements, "field")
         .withColumn("coverage", 1.0 - F.coalesce("missing_fraction", F.lit(0.0)))
         .filter(
             ((F.size("types") == 0) | F.array_contains("types", F.col("type")))
@@ -66,7 +65,7 @@ def match_detectors(profile: DataFrame, detectors: DataFrame, requirements: Data
         .groupBy("detector_id", "table_id", "table_name")
         .agg(F.count_distinct("field").alias("fields_met"), F.avg("coverage").alias("fit"))
     )
-    fixed = F.broadcast(detectors)
+    fixed = detectors
     by_fields = (
         satisfied.join(fixed.filter("field_count > 0"), "detector_id")
         .filter("fields_met = field_count")
@@ -95,9 +94,10 @@ def match_detectors(profile: DataFrame, detectors: DataFrame, requirements: Data
     return detectors.join(compatible, "detector_id", "left").withColumn("blocked_reason", reason)
 
 
-def recommend(matches: DataFrame, *, max_detectors: int = MAX_RECOMMENDED) -> DataFrame:
-    """The best detector of every group first, then the rest by score, at most ten."""
-    checks.integer("max_detectors", max_detectors, 1, 1_000_000)
+def recommend(matches: DataFrame, *, max_detectors: int | None = None) -> DataFrame:
+    """The best detector of every group first, then the rest by score; ``max_detectors`` keeps the first ones."""
+    if max_detectors is not None:
+        checks.at_least("max_detectors", max_detectors, 1)
     scored = matches.filter("blocked_reason IS NULL").withColumn(
         "score",
         F.col("relevance") + F.col("data_fit") + F.col("utility") - F.col("cost") - F.col("false_positive_risk"),
@@ -114,4 +114,5 @@ def recommend(matches: DataFrame, *, max_detectors: int = MAX_RECOMMENDED) -> Da
     in_group = Window.partitionBy("detector_group").orderBy(*order)
     placed = scored.withColumn("rank_in_group", F.row_number().over(in_group))
     later = F.col("rank_in_group") > 1
-    return placed.orderBy(later, *order).limit(min(max_detectors, MAX_RECOMMENDED))
+    ordered = placed.orderBy(later, *order)
+    return ordered if max_detectors is None else ordered.limit(max_detectors)

@@ -12,8 +12,6 @@ from leadspark.functions import checks
 from leadspark.operators import campaign_finance, companies, court, lobbying, parliamentary, procurement, statistical
 from leadspark.sources.contracts import contract_schema, load_contract, map_roles
 
-MAX_DETECTORS_PER_CALL = 10
-
 
 class RequestError(ValueError):
     """A detector request does not fit the registry or the supplied tables."""
@@ -72,7 +70,7 @@ def _any_table(id: str, run: Callable[..., DataFrame], roles: str, title: str, d
         run=run,
         title=title,
         description=description,
-        category="anomaly",
+        category="statistical",
         severity="medium",
         roles=names,
         version="1.1.0",
@@ -402,7 +400,7 @@ def run_detectors(
     provenance: Mapping[str, str] | None = None,
     max_output_rows: int | None = None,
 ) -> DataFrame:
-    """Leads of up to ten detectors as one DataFrame.
+    """Leads of the requested detectors as one DataFrame.
 
     A request is ``{"id": …, "fields": …, "columns": …, "parameters": …}``.
     Spark runs the detectors as branches of a union. ``max_output_rows`` keeps
@@ -410,8 +408,8 @@ def run_detectors(
     """
     from leadspark.plans.leads import to_leads
 
-    if not 1 <= len(requests) <= MAX_DETECTORS_PER_CALL:
-        raise RequestError(f"between 1 and {MAX_DETECTORS_PER_CALL} detectors may run per call")
+    if not requests:
+        raise RequestError("name at least one detector")
     ids = [str(request.get("id")) for request in requests]
     if len(set(ids)) != len(ids):
         raise RequestError("every detector may be named once per call")
@@ -429,6 +427,6 @@ def run_detectors(
             parameters=request.get("parameters"),
         )
         if max_output_rows is not None:
-            rows = rows.limit(checks.integer("max_output_rows", max_output_rows, 1, 1000))
+            rows = rows.limit(checks.at_least("max_output_rows", max_output_rows, 1))
         leads.append(to_leads(rows, detector(id), provenance=provenance))
     return reduce(DataFrame.unionByName, leads)

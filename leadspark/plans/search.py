@@ -9,7 +9,7 @@ import re
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.text import redact_text
@@ -27,7 +27,9 @@ FILTERS = {
     "date": "run_date",
     "review_state": "review_state",
 }
-MAX_QUERY_LENGTH, MAX_TERMS, MAX_PAGE = 1000, 50, 100
+MAX_PAGE = 100
+# Letters that fold to more than one letter or to another than their lower case.
+FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
 class SearchError(ValueError):
@@ -88,8 +90,7 @@ def build_search_rows(leads: DataFrame, detectors: DataFrame) -> DataFrame:
         named("warnings", warnings),
         *[named(f"detector.{name}", F.col(name)) for name in ("title", "description", "assumptions", "false_positives")],
     )
-    # Detectors are the registered ones: a table of known, small size.
-    joined = leads.join(F.broadcast(detectors), "detector_id")
+    joined = leads.join(detectors, "detector_id")
     wanted = dict.fromkeys(["signal_id", "run_id", *FILTERS.values()])
     kept = [name for name in wanted if name in joined.columns]
     return joined.select(*kept, F.explode(F.concat(fixed, leaf)).alias("_f")).select(
@@ -120,10 +121,15 @@ def _terms(query: str | None) -> list[str]:
         return []
     if not isinstance(query, str):
         raise SearchError("search query must be text")
-    terms = query.casefold().split()
-    if len(query) > MAX_QUERY_LENGTH or len(terms) > MAX_TERMS:
-        raise SearchError("search query is too large")
-    return terms
+    return query.split()
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which ``ß`` and ``ss`` (and the other folds) are equal; used for texts and queries alike."""
+    text = F.lower(text)
+    for letter, fold in FOLDS.items():
+        text = F.replace(text, F.lit(letter), F.lit(fold))
+    return text
 
 
 def match_terms(search_rows: DataFrame, query: str | None) -> DataFrame:
@@ -137,10 +143,9 @@ def match_terms(search_rows: DataFrame, query: str | None) -> DataFrame:
         return search_rows.select(*keys).distinct().select(
             *keys, F.lit(0).cast("long").alias("query_score"), F.array().cast("array<string>").alias("matched_on")
         )
-    text = F.lower("text")
     matches = search_rows
     for term in terms:
-        matches = matches.filter(text.contains(term))
+        matches = matches.filter(folded(F.col("text")).contains(folded(F.lit(term))))
     # A lead has as many fields as its detector has columns, so the list stays short.
     return matches.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("query_score"), F.array_sort(F.collect_list("field")).alias("matched_on")
@@ -148,7 +153,7 @@ def match_terms(search_rows: DataFrame, query: str | None) -> DataFrame:
 
 
 def _binding(query: str | None, filters: Mapping[str, str]) -> str:
-    text = json.dumps([" ".join(_terms(query)), sorted(filters.items())])
+    text = json.dumps([" ".join(_terms(query)).casefold(), sorted(filters.items())])
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 

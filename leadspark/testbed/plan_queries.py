@@ -462,7 +462,7 @@ FROM everyone v LEFT JOIN fits f ON f.detector_id = v.detector_id""",
     "leads.to_leads": f"""
 WITH {_FLAGGED}
 SELECT 'lead' AS status, {_signal("'numeric.zscore_outliers:events:' || candidate_id")} AS signal_id,
-       'numeric.zscore_outliers' AS detector_id, candidate_id, 'anomaly' AS category, 'medium' AS severity,
+       'numeric.zscore_outliers' AS detector_id, candidate_id, 'statistical' AS category, 'medium' AS severity,
        'Z-score outliers' AS summary, 'outlier' AS row_category
 FROM flagged""",
     "leads.with_evidence": f"""
@@ -471,11 +471,11 @@ SELECT {_signal("'numeric.zscore_outliers:t-events:' || candidate_id")} AS signa
        'outlier' AS category, 'outlier lead for ' || candidate_id AS statement,
        row_number() OVER (ORDER BY amount DESC, candidate_id) AS rank, 't-events' AS evidence_table,
        'unreviewed' AS review_state
-FROM flagged ORDER BY amount DESC, candidate_id LIMIT 1000""",
+FROM flagged""",
     "leads.with_lineage": f"""
 WITH {_FLAGGED}
 SELECT {_signal("'numeric.zscore_outliers:t1,t2:' || candidate_id")} AS signal_id, candidate_id, 't1' AS table_id,
-       'anomaly' AS category, 2 AS evidence, 'h2' AS second_hash, '3.0' AS z_threshold
+       'statistical' AS category, 2 AS evidence, 'h2' AS second_hash, '3.0' AS z_threshold
 FROM flagged""",
     "search.build_search_rows": """
 SELECT f AS field, 'text' AS detector_group, count(*) AS "rows",

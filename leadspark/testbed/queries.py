@@ -33,7 +33,6 @@ def rounded(df: DataFrame) -> DataFrame:
 
 # Parameters that differ from the defaults, because the test data is thin.
 PARAMETERS = {
-    "companies.circular_control": {"limit": 1000},
     "parliamentary.rebellion_rise": {"min_votes_per_period": 8},
 }
 

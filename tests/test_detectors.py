@@ -753,7 +753,7 @@ def test_parameters_are_checked(spark):
     with pytest.raises(ParameterError):
         companies.rapid_dissolution(empty, max_days=True)
     with pytest.raises(ParameterError):
-        companies.rapid_dissolution(empty, limit=1001)
+        companies.rapid_dissolution(empty, limit=0)
 
 
 def test_limit_none_keeps_every_lead(spark):

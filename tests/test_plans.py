@@ -127,7 +127,7 @@ def test_registry():
     for item in registry.RELEASED:
         per_domain[item.category] = per_domain.get(item.category, 0) + 1
     assert per_domain == {
-        "anomaly": 6, "campaign_finance": 3, "companies": 6, "court": 5, "lobbying": 15, "parliamentary": 5, "procurement": 5,
+        "statistical": 6, "campaign_finance": 3, "companies": 6, "court": 5, "lobbying": 15, "parliamentary": 5, "procurement": 5,
     }
 
 
