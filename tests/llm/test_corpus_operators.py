@@ -143,7 +143,7 @@ def test_estimates_follow_the_similarity():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    pool = rng.integers(0, 2**64 - 1, 4000, dtype=np.uint64)
     a, b = np.unique(pool[:3000]), np.unique(pool[500:3500])
     left, right = near_dedup.registers_of([a, b])
     guess, used = near_dedup.estimates(left[None], right[None])
