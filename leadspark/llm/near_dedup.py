@@ -5,7 +5,7 @@ bucket: of the smallest hash in it, the number of leading zeros and the next
 bits. Bands of registers make groups of classes that may be similar. In a
 group, pivots (those in the largest groups first) are compared with all other
 members; members that are already in one component need no comparison, and a
-pivot that has met its whole group leaves it. Rounds go on with twice as many
+pivot that has met its whole group leaves it. Rounds go on with more and more
 pivots until every group lies in one component, so every two members of a group
 are either compared or known to be connected, without ever forming all pairs.
 A comparison is an estimate from the registers first; what may be similar is
@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from leadspark.llm.common import map_texts
-from leadspark.llm.components import component_labels
+from leadspark.llm.components import component_labels, drawn_in, labels_of, merged
 from leadspark.llm.url_filter import bloom_blocks, bloom_hit
 from leadspark.llm.words import WordNumbers, mixed, runs
 from leadspark.session import cut_lineage
@@ -38,7 +38,8 @@ COLLISION = 1 / (3 << MANTISSA)
 # Estimates may fall this many standard deviations short before a pair is given up.
 DEVIATIONS = 5.5
 PROBES = 64
-FILTER_BLOCKS = 65_536
+FILTER_BLOCKS = 16_384
+PIVOT_GROWTH = 8
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -124,12 +125,19 @@ def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0.0, (agree - COLLISION) / (1 - COLLISION)), used
 
 
+# Columns of a class in a pair, by side.
+_OF_CLASS = {"key": "key", "registers": "r", "n": "n", "first_id": "id"}
+
+
 def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can have the similarity, by their sizes and the estimate."""
-    one = sketches.select(F.col("key").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
-    other = sketches.select(F.col("key").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
-    sized = pairs.join(other, "b").join(one, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    """The pairs (a, b) that can have the similarity, by their sizes and the estimate, with an id of each class."""
+    one, other = (
+        sketches.select(*[F.col(c).alias(n + side) for c, n in _OF_CLASS.items()]).withColumnRenamed("key" + side, side)
+        for side in ("a", "b")
+    )
+    sized = pairs.join(merged(other), "b").join(merged(one), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = sized.select("a", "b", "ida", "idb", "ra", "rb")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sized.schema.fields[:4]])
     least = percent / 100
 
     def run(batches):
@@ -141,20 +149,20 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
             )
             guess, used = estimates(ra, rb)
             fair = guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / used)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=arrow).filter(pa.array(fair))
+            columns = [column.cast(field.type) for column, field in zip(batch.columns[:4], arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow).filter(pa.array(fair))
 
-    return sized.select("a", "b", "ra", "rb").mapInArrow(run, schema)
+    return sized.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity.
 
-    Only documents that pass a Bloom filter (2 MB) of the wanted ids make their
+    Only documents that pass a Bloom filter (512 kB) of the wanted ids make their
     sets again; the join on the class key takes the rest of them out.
     """
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = nodes.join(classes.select("key", "first_id"), "key")
-    blocks = F.broadcast(bloom_blocks(wanted.select("first_id"), FILTER_BLOCKS, "first_id"))
+    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
+    blocks = F.broadcast(bloom_blocks(wanted, FILTER_BLOCKS, "id"))
     chosen = bloom_hit(docs, blocks, FILTER_BLOCKS, "id").select("id", "text")
     made = map_texts(
         chosen, [("key", "binary"), ("hashes", "array<bigint>")], lambda: _sets(width), id_col="id", text_col="text"
@@ -162,9 +170,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     one = made.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     other = made.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    joined = pairs.join(other, "b").join(one, "a")
+    joined = pairs.select("a", "b").join(merged(other), "b").join(merged(one), "a")
     linked = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
-    return joined.where(linked).select("a", "b").distinct()
+    return joined.where(linked).select("a", "b")
 
 
 def near_components(
@@ -200,34 +208,35 @@ def near_components(
     )
     banded = classes.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(banded.join(shared, "band"))
+    members = cut_lineage(banded.join(merged(shared), "band"))
     crowd = members.groupBy("key").agg(F.sum("size").alias("crowd"))
-    active = cut_lineage(classes.join(crowd, "key").select("key", "first_id", "n", "registers", "crowd"))
-    groups = members.join(active.select("key", "crowd"), "key").select(
+    active = cut_lineage(classes.join(merged(crowd), "key").select("key", "first_id", "n", "registers", "crowd"))
+    groups = members.join(merged(active.select("key", "crowd")), "key").select(
         "band", "key", "crowd", F.col("key").alias("label")
     )
-    labels = None
+    edges = None
     pivots = 1
     while not groups.isEmpty():
         order = Window.partitionBy("band").orderBy(F.desc("crowd"), "key")
         leading = groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
         lead = leading.select("band", F.col("key").alias("a"), F.col("label").alias("la"))
-        pairs = groups.join(lead, "band").where("label <> la AND a <> key").select("a", F.col("key").alias("b"))
-        pairs = cut_lineage(pairs.distinct())
-        links = _confirmed(cut_lineage(_promising(pairs, active, percent)), active, texts, width, percent)
-        rest = groups.join(leading.select("band", "key"), ["band", "key"], "left_anti")
-        labels, rest = _merged(labels, links, rest, active)
-        mixed_ = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        groups = cut_lineage(rest.join(mixed_.where("low <> high").select("band"), "band"))
-        pivots *= 2
-    named = classes.select("key", "first_id")
-    if labels is not None:
-        named = named.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    else:
-        named = named.withColumn("label", F.col("key"))
+        pairs = groups.join(merged(lead), "band").where("label <> la AND a <> key").select("a", F.col("key").alias("b"))
+        pairs = cut_lineage(_promising(pairs.distinct(), active, percent))
+        edges = drawn_in(edges, _confirmed(pairs, texts, width, percent))
+        labels = labels_of(edges).withColumnRenamed("node", "key")
+        rest = groups.join(merged(leading.select("band", "key")), ["band", "key"], "left_anti").drop("label")
+        rest = rest.join(merged(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        uneven = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        groups = cut_lineage(rest.join(merged(uneven.select("band")), "band"))
+        pivots *= PIVOT_GROWTH
+    named = classes.select("key", "first_id", F.col("key").alias("label"))
+    if edges is not None:
+        nothing = active.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+        labels = component_labels(nothing, edges).withColumnRenamed("node", "key")
+        named = named.drop("label").join(merged(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_key = named.join(smallest, "label").select("key", "component_id")
-    found = sketched.select("id", "n", "key").join(of_key, "key", "left")
+    of_key = named.join(merged(smallest), "label").select("key", "component_id")
+    found = sketched.select("id", "n", "key").join(merged(of_key), "key", "left")
     component = F.coalesce("component_id", "id")
     alone = F.col("component_id").isNull()
     return found.select(
@@ -238,29 +247,16 @@ def near_components(
     )
 
 
-def _merged(labels, links: DataFrame, rest: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The labels after ``links`` (key, label), and ``rest`` with them."""
-    if labels is None:
-        labels = active.select("key", F.col("key").alias("label"))
-    named = labels.select(F.col("key").alias("a"), F.col("label").alias("x"))
-    other = labels.select(F.col("key").alias("b"), F.col("label").alias("y"))
-    between = links.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    moved = component_labels(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    labels = cut_lineage(
-        labels.join(moved, "label", "left").select("key", F.coalesce("new", "label").alias("label"))
-    )
-    return labels, rest.drop("label").join(labels, "key").select("band", "key", "crowd", "label")
-
-
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+    """``docs`` with one document of each component, the one with the smallest id (then text hash).
 
-    Rows that repeat the id of the one that stays and its text are dropped too.
+    Rows are told apart by id and text. Of rows that repeat both, one stays.
     """
-    found = near_components(docs, id_col=id_col, text_col=text_col, **parameters).where("kept")
-    kept = found.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_times"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    met = rows.join(kept, F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")))
+    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    marked = docs.select(mark.alias("mark"), F.col(text_col).alias("text"))
+    found = near_components(marked, id_col="mark", **parameters).where("kept")
+    kept = found.groupBy("mark").agg(F.count("*").alias("_times")).withColumnRenamed("mark", "_mark")
+    met = docs.select(F.struct("*").alias("_row"), mark.alias("_mark")).join(kept, "_mark")
     once = met.where("_times = 1").select("_row.*")
-    again = met.where("_times > 1").select("_row.*").dropDuplicates([id_col, text_col])
+    again = met.where("_times > 1").dropDuplicates(["_mark"]).select("_row.*")
     return once.unionByName(again)
