@@ -175,3 +175,17 @@ def item_digest(found: DataFrame) -> DataFrame:
     """:func:`contamination` with the digest of the item ids instead of the ids."""
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.withColumn("items_sha256", digest).drop("items")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters
+) -> DataFrame:
+    """The rows of ``docs`` that hold no window of a benchmark item, with their own columns.
+
+    Rows are told apart by id and text, so rows that share an id are judged each for itself.
+    """
+    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    marked = docs.select(mark.alias("mark"), F.col(text_col).alias("text"))
+    found = contamination(marked, benchmark, id_col="mark", **parameters).where("contaminated")
+    rows = docs.select(F.struct("*").alias("_row"), mark.alias("_mark"))
+    return rows.join(found.select(F.col("mark").alias("_mark")).distinct(), "_mark", "left_anti").select("_row.*")
