@@ -215,14 +215,21 @@ def quality_scores(
         F.col("label").isNotNull() & ~held_out(F.col("_id"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # Voters are chosen by id alone; only the texts of the chosen (at most ``voters`` rows to broadcast) go on.
     chosen = (
-        texts.join(known, F.col("id") == F.col("_id"))
-        .select(F.struct("id", "label").alias("key"), "text")
-        .orderBy(F.xxhash64(F.col("key.id").cast("string")), "key.label", "text")
+        texts.select("id")
+        .join(known, F.col("id") == F.col("_id"))
+        .select("_id", "label")
+        .orderBy(F.xxhash64(F.col("_id").cast("string")), "label")
         .limit(voters)
+        .distinct()
     )
+    taught = texts.join(F.broadcast(chosen), F.col("id") == F.col("_id"))
     made = map_texts(
-        chosen, [("buckets", "array<int>"), ("counts", "array<bigint>")], lambda: _features, id_col="key"
+        taught.select(F.struct("id", "label").alias("key"), "text"),
+        [("buckets", "array<int>"), ("counts", "array<bigint>")],
+        lambda: _features,
+        id_col="key",
     )
     rows = made.select("key.id", "key.label", "buckets", "counts").collect()
     rows = sorted((r for r in rows if r["buckets"]), key=lambda r: (str(r["id"]), r["label"], r["buckets"], r["counts"]))
