@@ -203,13 +203,17 @@ def leads_with_lineage(
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content fingerprint of a table that does not depend on row order: one row, one pass.
 
-    Row hashes are combined by xor and by an exact sum, so repeated rows count.
+    A row is the text of its values, each after its length (NULL is ``~``). The
+    first 60 bits of the rows' SHA-256 are combined by xor and by an exact sum,
+    so repeated rows count.
     """
-    row = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
-    parts = df.select(row.alias("h")).agg(
+    texts = [F.col(f"`{name}`").cast("string") for name in df.columns]
+    row = F.concat(*[F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~")) for text in texts])
+    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("long")
+    parts = df.select(bits.alias("h")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("hash_sum"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
     )
     text = F.concat_ws(
         "|", F.lit(",".join(f"{name}:{kind}" for name, kind in df.dtypes)), "rows", "hash_xor", "hash_sum"

@@ -203,7 +203,7 @@ BINDINGS: dict[str, str] = {
                'Entity ' || CAST(l_suppkey AS STRING) AS foreign_entity_name,
                CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'Country ' || CAST(l_suppkey % 30 AS STRING) END AS country,
                'Country ' || CAST(l_partkey % 30 AS STRING) AS ppb_country
-        FROM {lineitem} WHERE l_returnflag = 'R'""",
+        FROM {lineitem}""",
     "lobbying_activities": """
         SELECT 'F' || CAST(l_orderkey AS STRING) AS registration_id,
                CASE WHEN l_partkey % 8 = 0 THEN 'DEF' WHEN l_partkey % 8 = 1 THEN 'TAX' WHEN l_partkey % 8 = 2 THEN 'HCR'

@@ -49,7 +49,7 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
                'description', CASE WHEN x.r = 'N' THEN ' ' ELSE x.r END,
                'lobbyists', array(named_struct('lobbyist', named_struct('id', CAST(x.s % 5 AS STRING), 'first_name', 'A', 'last_name', 'B'),
                                                'covered_position', CASE WHEN x.r = 'A' THEN ' Clerk ' END)))) AS lobbying_activities,
-           transform(filter(lines, x -> x.r = 'R'), x -> named_struct('name', CAST(x.s AS STRING), 'country', x.f, 'ppb_country', ' ')) AS foreign_entities
+           transform(lines, x -> named_struct('name', CAST(x.s AS STRING), 'country', x.f, 'ppb_country', ' ')) AS foreign_entities
     FROM {{orders}} LEFT JOIN ({LINES}) l ON l_orderkey = o_orderkey""",
     )
 
@@ -217,9 +217,9 @@ def _committee_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     committees = _sql(
         spark, sf_dir,
         """
-    SELECT 'K' || CAST(r_regionkey AS STRING) AS thomas_id, r_name AS name,
+    SELECT CASE WHEN r_name = 'ASIA' THEN 'X' ELSE 'K' END || CAST(r_regionkey AS STRING) AS thomas_id, r_name AS name,
            array(named_struct('thomas_id', '01', 'name', 'Sub')) AS subcommittees
-    FROM {region} WHERE r_name <> 'ASIA'""",
+    FROM {region}""",
     )
     memberships = _sql(
         spark, sf_dir,
@@ -338,14 +338,15 @@ def _us_awards(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     details = _sql(
         spark, sf_dir,
         """
-    SELECT CAST(o_orderkey AS STRING) AS generated_internal_id, o_totalprice AS total_obligation,
+    SELECT CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE '' END || CAST(o_orderkey AS STRING) AS generated_internal_id,
+           o_totalprice AS total_obligation,
            CAST(CAST(o_orderdate AS DATE) AS STRING) AS date_signed,
            named_struct('subtier_agency', named_struct('code', CAST(o_custkey AS STRING), 'name', '')) AS awarding_agency,
            named_struct('recipient_uei', 'U', 'recipient_name', CASE WHEN o_custkey % 2 = 0 THEN 'N' END) AS recipient,
            named_struct('extent_competed', CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'CDO' WHEN '3-MEDIUM' THEN 'F'
                                                 WHEN '4-NOT SPECIFIED' THEN 'NDO' ELSE 'Q' END,
                         'naics', '54', 'number_of_offers_received', CASE WHEN o_custkey % 3 = 0 THEN 'n/a' ELSE '4' END) AS latest_transaction_contract_data
-    FROM {orders} WHERE o_orderstatus <> 'P'""",
+    FROM {orders}""",
     )
     return [found, details]
 
@@ -585,7 +586,7 @@ FROM numbered JOIN orders ON o_orderkey = l_orderkey""",
     "landed.us_lobbying_foreign_entities": """
 SELECT CAST(l_orderkey AS VARCHAR) AS registration_id, CAST(l_suppkey AS VARCHAR) AS foreign_entity_name, l_linestatus AS country,
        NULL AS ppb_country
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'""",
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "landed.us_lobbying_contributions": """
 SELECT CAST(l_orderkey AS VARCHAR) AS registration_id, 'P' || CAST(l_suppkey AS VARCHAR) AS payee_name,
        CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS honoree_name,

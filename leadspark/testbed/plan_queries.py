@@ -459,6 +459,27 @@ everyone(detector_id) AS (
 SELECT v.detector_id, round(f.data_fit + 0.0000003, 4) AS data_fit,
        CASE WHEN f.data_fit IS NOT NULL THEN 1 END AS compatible_tables, f.data_fit IS NULL AS blocked
 FROM everyone v LEFT JOIN fits f ON f.detector_id = v.detector_id""",
+    "leads.fingerprint": """
+WITH h AS (
+    SELECT CAST('0x' || substr(sha256(
+           coalesce(length(CAST(l_orderkey AS VARCHAR)) || ':' || CAST(l_orderkey AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_partkey AS VARCHAR)) || ':' || CAST(l_partkey AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_suppkey AS VARCHAR)) || ':' || CAST(l_suppkey AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_linenumber AS VARCHAR)) || ':' || CAST(l_linenumber AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_quantity AS VARCHAR)) || ':' || CAST(l_quantity AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_extendedprice AS VARCHAR)) || ':' || CAST(l_extendedprice AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_discount AS VARCHAR)) || ':' || CAST(l_discount AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_tax AS VARCHAR)) || ':' || CAST(l_tax AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_returnflag AS VARCHAR)) || ':' || CAST(l_returnflag AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_linestatus AS VARCHAR)) || ':' || CAST(l_linestatus AS VARCHAR), '~') ||
+           coalesce(length(CAST(l_shipdate AS VARCHAR)) || ':' || CAST(l_shipdate AS VARCHAR), '~')
+           ), 1, 15) AS BIGINT) AS h FROM lineitem
+),
+parts AS (SELECT count(*) AS "rows", bit_xor(h) AS hash_xor, CAST(sum(h) AS VARCHAR) AS hash_sum FROM h)
+SELECT "rows", hash_xor, hash_sum,
+       'sha256:' || sha256('l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_quantity:double,l_extendedprice:double,l_discount:double,' ||
+           'l_tax:double,l_returnflag:string,l_linestatus:string,l_shipdate:timestamp_ntz|' || "rows" || '|' || hash_xor || '|' || hash_sum) AS fingerprint
+FROM parts""",
     "leads.to_leads": f"""
 WITH {_FLAGGED}
 SELECT 'lead' AS status, {_signal("'numeric.zscore_outliers:events:' || candidate_id")} AS signal_id,
