@@ -69,10 +69,10 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
 class _Block:
     """The windows of one block of documents."""
 
-    def __init__(self, texts: list[bytes | None], width: int, cell_bits: int, words: WordNumbers):
+    def __init__(self, texts: list[bytes | None], width: int, shards: int, words: WordNumbers):
         self.texts = [text.split() if text else [] for text in texts]
         self.width = width
-        self.cell_bits = cell_bits
+        self.shards = shards
         flat = [word for words in self.texts for word in words]
         sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.ends = np.cumsum(sizes)
@@ -87,7 +87,8 @@ class _Block:
 
     def cells(self, row: int) -> np.ndarray:
         hashed = self.high if row == 0 else self.low
-        return (hashed >> np.uint64(64 - self.cell_bits)).astype(np.int64)
+        shard = (hashed >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)
+        return (shard << np.uint64(SHARD_BITS) | hashed & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
 
     def _shards(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
         """(shard, first, end) over ascending cells."""
@@ -164,7 +165,7 @@ def remove_repeated_windows(
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = math.ceil(total / BLOCK_BYTES) or 1
-    cell_bits = max(16, math.ceil(math.log2(total / BYTES_PER_CELL + 1)))
+    shards = math.ceil(total / BYTES_PER_CELL / (1 << SHARD_BITS)) or 1
     exact_bits = max(0, math.ceil(math.log2(total / 6 + 1)) - EXACT_SHARD_BITS)
     placed = docs.select(
         F.col(id_col).alias("id"),
@@ -176,7 +177,7 @@ def remove_repeated_windows(
     message, exact_message, answer = _arrow(_MESSAGE), _arrow(_EXACT_MESSAGE), _arrow(_ANSWER)
 
     def block_of(table: pa.Table) -> _Block:
-        return _Block(table.column("text").to_pylist(), width, cell_bits, words)
+        return _Block(table.column("text").to_pylist(), width, shards, words)
 
     def answers_of(table: pa.Table, exact: bool) -> dict[int, bytes]:
         keys, kinds, bits = (table.column(n).to_pylist() for n in ("shard", "exact", "bits"))
