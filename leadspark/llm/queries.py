@@ -152,4 +152,72 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM split s LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
 """
 
-LLM_ORACLES: dict[str, str] = {"op6_url_filter": _URL_SQL, "op7_decontamination": _CONTAMINATION_SQL}
+_QUALITY_SQL = r"""
+WITH d AS (
+    SELECT doc_id, lang, text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D.,;:!?()"]+'), lambda x: x <> '') AS v,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), langs AS (
+    SELECT lang FROM d WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang
+    HAVING count(*) >= 0.005 * (SELECT count(*) FROM d WHERE lang IS NOT NULL AND text IS NOT NULL)
+), grams AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 7], ' ')) AS times
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)
+), repeats AS (
+    SELECT doc_id, count(DISTINCT place) AS n
+    FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS place FROM grams WHERE times > 1) GROUP BY doc_id
+), kinds AS (
+    SELECT doc_id, lang, len(w) AS n_words, k, length(text) - length(regexp_replace(text, k, '', 'g')) AS n
+    FROM d, (VALUES ('\p{Ll}+'), ('[\x20\x09-\x0D]+'), ('\p{Lu}+'), ('\p{Nd}+'), ('[.,;:?()"-]+')) AS patterns(k)
+    WHERE text IS NOT NULL
+), classes AS (
+    SELECT * FROM kinds
+    UNION ALL
+    SELECT doc_id, any_value(lang), any_value(n_words), 'rest', any_value(length(text)) - sum(n)
+    FROM kinds JOIN (SELECT doc_id, text FROM d) USING (doc_id) GROUP BY doc_id
+), class_refs AS (
+    SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM classes SEMI JOIN langs USING (lang) GROUP BY lang, k
+), class_shares AS (
+    SELECT doc_id, n_words, k, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM classes WHERE n_words >= 50
+), class_distances AS (
+    SELECT doc_id, r.lang, sqrt(greatest(0, sum(
+        CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END
+        )) / 2) AS distance
+    FROM class_shares s JOIN class_refs r ON r.k = s.k GROUP BY doc_id, r.lang
+), spoken AS (
+    SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(v) AS word FROM d) AS t SEMI JOIN langs USING (lang) GROUP BY lang, word
+), common AS (
+    SELECT DISTINCT word
+    FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM spoken) WHERE place <= 40
+), word_refs AS (
+    SELECT lang, coalesce(c.word, '') AS word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q
+    FROM spoken s LEFT JOIN common c ON c.word = s.word GROUP BY lang, coalesce(c.word, '')
+), said AS (
+    SELECT doc_id, coalesce(c.word, '') AS word, count(*) AS n
+    FROM (SELECT doc_id, unnest(v) AS word FROM d WHERE len(w) >= 100) s LEFT JOIN common c ON c.word = s.word
+    GROUP BY doc_id, coalesce(c.word, '')
+), word_distances AS (
+    SELECT doc_id, lang, sqrt(greatest(0, sum(
+        p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q)) / 2) AS distance
+    FROM (
+        SELECT doc_id, l.lang, n / sum(n) OVER (PARTITION BY doc_id, l.lang) AS p, coalesce(q, 0) AS q
+        FROM said CROSS JOIN langs l LEFT JOIN word_refs r ON r.lang = l.lang AND r.word = said.word
+    ) GROUP BY doc_id, lang
+), far AS (
+    SELECT doc_id FROM class_distances GROUP BY doc_id HAVING min(distance) > 0.3
+    UNION
+    SELECT doc_id FROM word_distances GROUP BY doc_id HAVING min(distance) > 0.41
+), base AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN repeats r USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+)
+SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept FROM judged
+"""
+
+LLM_ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY_SQL, "op6_url_filter": _URL_SQL, "op7_decontamination": _CONTAMINATION_SQL}
