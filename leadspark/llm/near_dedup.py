@@ -5,7 +5,8 @@ bucket: of the smallest hash in it, the number of leading zeros and the next
 bits. Bands of registers make groups of classes that may be similar. In a
 group, pivots (those in the largest groups first) are compared with all other
 members; members that are already in one component need no comparison, and a
-pivot that has met its whole group leaves it. Rounds go on with more and more
+pivot that has met its whole group leaves it. After the first round, members
+that hold too many shingles of their own for any further link leave too. Rounds go on with more and more
 pivots until every group lies in one component, so every two members of a group
 are either compared or known to be connected, without ever forming all pairs.
 A comparison is an estimate from the registers first; what may be similar is
@@ -39,7 +40,7 @@ COLLISION = 1 / (3 << MANTISSA)
 DEVIATIONS = 5.5
 PROBES = 64
 FILTER_BLOCKS = 16_384
-PIVOT_GROWTH = 8
+PIVOT_GROWTH = 4
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -155,18 +156,43 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return sized.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity.
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, hashes) of at least the documents with the ``wanted`` ids.
 
-    Only documents that pass a Bloom filter (512 kB) of the wanted ids make their
-    sets again; the join on the class key takes the rest of them out.
+    Only documents that pass a Bloom filter (512 kB) of the ids make their sets
+    again; a join on the class key takes the others out.
     """
-    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
     blocks = F.broadcast(bloom_blocks(wanted, FILTER_BLOCKS, "id"))
     chosen = bloom_hit(docs, blocks, FILTER_BLOCKS, "id").select("id", "text")
-    made = map_texts(
+    return map_texts(
         chosen, [("key", "binary"), ("hashes", "array<bigint>")], lambda: _sets(width), id_col="id", text_col="text"
     ).where("key IS NOT NULL")
+
+
+def _linkable(groups: DataFrame, active: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``groups`` without the members whose own shingles rule out every link to another component.
+
+    A link needs ``percent`` per cent of a member's shingles in a member of
+    another component. Shingles that only one component of the groups holds can
+    not be among them. Edited copies of one text mostly hold so many of their own
+    that they need no comparison with each other.
+    """
+    nodes = groups.select("key", F.xxhash64("label").alias("part")).distinct()
+    nodes = cut_lineage(nodes.join(merged(active.select("key", "n", F.col("first_id").alias("id"))), "key"))
+    sets = _full_sets(docs, nodes.select("id"), width).dropDuplicates(["key"])
+    held = nodes.select("key", "part").join(merged(sets), "key")
+    held = cut_lineage(held.select(F.xxhash64("key").alias("node"), "part", F.explode("hashes").alias("hash")))
+    owned = held.groupBy("hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high")
+    private = held.join(merged(owned.select("hash")), "hash").groupBy("node").agg(F.count("*").alias("own"))
+    out = nodes.withColumn("node", F.xxhash64("key")).join(merged(private), "node")
+    out = out.where(100 * (F.col("n") - F.col("own")) < percent * F.col("n")).select("key")
+    return groups.join(merged(out), "key", "left_anti")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have the similarity."""
+    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
+    made = _full_sets(docs, wanted, width)
     one = made.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     other = made.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
@@ -175,6 +201,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return joined.where(linked).select("a", "b")
 
 
+def _uneven(groups: DataFrame) -> DataFrame:
+    """The groups that lie in more than one component."""
+    uneven = groups.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return groups.join(merged(uneven.select("band")), "band")
+
+
 def near_components(
     docs: DataFrame, *, width: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,8 +258,9 @@ def near_components(
         labels = labels_of(edges).withColumnRenamed("node", "key")
         rest = groups.join(merged(leading.select("band", "key")), ["band", "key"], "left_anti").drop("label")
         rest = rest.join(merged(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        uneven = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        groups = cut_lineage(rest.join(merged(uneven.select("band")), "band"))
+        groups = cut_lineage(_uneven(rest))
+        if pivots == 1 and not groups.isEmpty():
+            groups = cut_lineage(_uneven(_linkable(groups, active, texts, width, percent)))
         pivots *= PIVOT_GROWTH
     named = classes.select("key", "first_id", F.col("key").alias("label"))
     if edges is not None:
