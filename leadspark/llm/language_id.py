@@ -142,15 +142,17 @@ def learn(
     langs = sorted(row["lang"] for row in held.collect())
     if not langs:
         return None
-    mixed = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), "text"))
+    # Chosen by id alone; only the texts of the chosen (a bounded number of ids to broadcast) go on.
+    mixed = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")))
     chosen = (
         labelled.where(F.col("lang").isin(langs))
+        .select("id", "lang")
         .withColumn("place", F.row_number().over(mixed))
         .where(F.col("place") <= sample_per_language)
-        .select(F.struct("lang", "place").alias("key"), "text")
+        .dropDuplicates(["id", "lang"])
     )
     made = map_texts(
-        chosen,
+        labelled.join(F.broadcast(chosen), ["id", "lang"]).select(F.struct("lang", "place").alias("key"), "text"),
         [("buckets", "array<int>"), ("shares", "array<float>")],
         lambda: _features,
         id_col="key",
