@@ -40,9 +40,10 @@ def tail(value: Column | str) -> Column:
     return F.element_at(F.split(column(value), "/"), -1)
 
 
-def bar_list(values: Column) -> Column:
+def bar_list(values: Column, *, repeats: bool = False) -> Column:
     """Non-empty items in first-seen order, joined by a bar; NULL when there are none."""
-    kept = F.array_distinct(F.filter(values, lambda item: item.isNotNull() & (item != "")))
+    kept = F.filter(values, lambda item: item.isNotNull() & (item != ""))
+    kept = kept if repeats else F.array_distinct(kept)
     return F.nullif(F.array_join(kept, "|"), F.lit(""))
 
 

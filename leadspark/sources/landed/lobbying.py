@@ -312,7 +312,9 @@ def eu_registrations(representatives: DataFrame, register: str = "eu/transparenc
         F.coalesce(text(year["startDate"]), F.substring(text("registrationDate"), 1, 10)).alias("period_start"),
         text(year["endDate"]).alias("period_end"),
         text("name.originalName").alias("registrant_name"),
-        bar_list(F.transform(F.col("interests.interest.name"), lambda name: F.trim(name))).alias("issue_area"),
+        bar_list(F.transform(F.col("interests.interest.name"), lambda name: F.trim(name)), repeats=True).alias(
+            "issue_area"
+        ),
         text("registrationCategory").alias("filing_type"),
         text("headOffice.country").alias("own_country"),
         year["costs"].alias("costs"),

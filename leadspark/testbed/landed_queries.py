@@ -630,8 +630,7 @@ SELECT DISTINCT h.contact_id, CAST(e.l_suppkey AS VARCHAR) AS registrant_id, 'E'
 FROM h JOIN lineitem e ON e.l_orderkey = h.o_orderkey JOIN lineitem p ON p.l_orderkey = h.o_orderkey""",
     "landed.eu_lobbying_registrations": f"""
 WITH {_NUMBERED},
-tags AS (SELECT l_orderkey, string_agg(r, '|' ORDER BY first) AS issue_area FROM (
-    SELECT l_orderkey, l_returnflag AS r, min(nth) AS first FROM numbered GROUP BY 1, 2) AS t GROUP BY 1),
+tags AS (SELECT l_orderkey, string_agg(l_returnflag, '|' ORDER BY nth) AS issue_area FROM numbered GROUP BY 1),
 c AS (SELECT l_orderkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber > 5)
 SELECT CAST(o_orderkey AS VARCHAR) AS registration_id,
        CASE WHEN o_orderstatus = 'F' THEN DATE '2023-01-01' ELSE CAST(o_orderdate AS DATE) END AS period_start,
