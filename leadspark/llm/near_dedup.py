@@ -40,6 +40,8 @@ COLLISION = 1 / (3 << MANTISSA)
 DEVIATIONS = 5.5
 PROBES = 64
 FILTER_BLOCKS = 16_384
+# The pivots' sets are broadcast up to this size.
+BROADCAST_BYTES = 8_000_000
 PIVOT_GROWTH = 4
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -137,8 +139,8 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
         for side in ("a", "b")
     )
     sized = pairs.join(merged(other), "b").join(merged(one), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    sized = sized.select("a", "b", "ida", "idb", "ra", "rb")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sized.schema.fields[:4]])
+    sized = sized.select("a", "b", "ida", "idb", "na", "ra", "rb")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sized.schema.fields[:5]])
     least = percent / 100
 
     def run(batches):
@@ -150,7 +152,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
             )
             guess, used = estimates(ra, rb)
             fair = guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / used)
-            columns = [column.cast(field.type) for column, field in zip(batch.columns[:4], arrow, strict=True)]
+            columns = [column.cast(field.type) for column, field in zip(batch.columns[:5], arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow).filter(pa.array(fair))
 
     return sized.mapInArrow(run, schema)
@@ -190,13 +192,22 @@ def _linkable(groups: DataFrame, active: DataFrame, docs: DataFrame, width: int,
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
-    made = _full_sets(docs, wanted, width)
-    one = made.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
-    other = made.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
+    """The pairs whose full sets have the similarity.
+
+    A pivot is in many pairs: while the sets of all pivots are small (added up
+    first), they are broadcast; beyond that the other sets are shuffled to them.
+    """
+    leads = pairs.select("a", "ida", "na").distinct()
+    small = (leads.agg(F.sum("na")).first()[0] or 0) * 8 <= BROADCAST_BYTES
+    other = _full_sets(docs, pairs.select(F.col("idb").alias("id")), width).select(
+        F.col("key").alias("b"), F.col("hashes").alias("hb")
+    )
+    one = _full_sets(docs, leads.select(F.col("ida").alias("id")), width).select(
+        F.col("key").alias("a"), F.col("hashes").alias("ha")
+    )
+    one = F.broadcast(one.join(merged(leads.select("a")), "a").dropDuplicates(["a"])) if small else merged(one)
     both = F.size(F.array_intersect("ha", "hb"))
-    joined = pairs.select("a", "b").join(merged(other), "b").join(merged(one), "a")
+    joined = pairs.select("a", "b").join(merged(other), "b").join(one, "a")
     linked = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
     return joined.where(linked).select("a", "b")
 

@@ -104,7 +104,10 @@ def _near_texts():
     return texts
 
 
-def test_near_components_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_components_equal_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", -1)
     texts = _near_texts()
     want, sizes = _brute_components(texts, 85)
     got = {r.doc_id: r for r in near_components(documents(spark, texts)).collect()}
