@@ -239,6 +239,27 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_have_a_reference_of_their_own(spark):
+    rng = random.Random(3)
+
+    def prose_of(common, letters, n):
+        return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices(letters, k=6)) for _ in range(n))
+
+    english = [prose_of("the of and to in is it he was for".split(), "abcdefghijklm", 150) for _ in range(994)]
+    latin = [prose_of("et non in est ad ut cum sed quod si".split(), "nopqrstuvwxyz", 150) for _ in range(3)]
+    han = [prose_of("的 一 是 不 了".split(), "天地玄黃宇宙洪荒日月", 60) for _ in range(2)]
+    junk = [" ".join(f"{rng.randrange(10**6)}%" for _ in range(150))]
+    langs = ["en"] * 994 + ["la"] * 3 + ["zh"] * 2 + ["en"]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(zip([*english, *latin, *han, *junk], langs))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    lost = sorted(r.doc_id for r in quality_rules(docs).where("NOT kept").collect())
+    assert lost == [999]
+    # A junk text of a rare language is far from it too; a language alone below the share is judged by itself.
+    odd = docs.union(spark.createDataFrame([(1000, junk[0], "la")], docs.schema))
+    assert 1000 in {r.doc_id for r in quality_rules(odd).where("NOT kept").collect()}
+    assert quality_rules(docs, min_share=1.1).where("kept").count() == 999
+
+
 def test_distances_equal_direct_computation(spark):
     import math
 
