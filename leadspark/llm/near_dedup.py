@@ -111,10 +111,20 @@ def _sketches(width: int):
 
 def _sets(width: int):
     numbers = WordNumbers()
+    made: set[bytes] = set()  # a task tells each class once
 
     def of(texts: list[bytes | None]) -> list:
-        sets = [shingle_hashes(text, width, numbers) for text in texts]
-        return [[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [s.view(np.int64) for s in sets]]
+        keys: list[bytes | None] = []
+        sets = []
+        for text in texts:
+            hashes = shingle_hashes(text, width, numbers)
+            key = xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+            new = key is not None and key not in made
+            keys.append(key if new else None)
+            sets.append(hashes.view(np.int64) if new else None)
+            if new:
+                made.add(key)
+        return [keys, sets]
 
     return of
 
@@ -157,16 +167,19 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, hashes) of at least the documents with the ``wanted`` ids.
+    """(key, hashes) of at least the classes of the documents with the ``wanted`` ids, one row for each class.
 
     Only documents that pass a Bloom filter (512 kB) of the ids make their sets
-    again; a join on the class key takes the others out.
+    again; a join on the class key takes the others out. Any number of copies
+    may pass: a task tells a class once, before the shuffle, and what several
+    tasks tell becomes one row.
     """
     blocks = F.broadcast(bloom_blocks(wanted, FILTER_BLOCKS, "id"))
     chosen = bloom_hit(docs, blocks, FILTER_BLOCKS, "id").select("id", "text")
-    return map_texts(
+    made = map_texts(
         chosen, [("key", "binary"), ("hashes", "array<bigint>")], lambda: _sets(width), id_col="id", text_col="text"
-    ).where("key IS NOT NULL")
+    )
+    return made.where("key IS NOT NULL").select("key", "hashes").dropDuplicates(["key"])
 
 
 def _linkable(groups: DataFrame, active: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -179,7 +192,7 @@ def _linkable(groups: DataFrame, active: DataFrame, docs: DataFrame, width: int,
     """
     nodes = groups.select("key", F.xxhash64("label").alias("part")).distinct()
     nodes = cut_lineage(nodes.join(merged(active.select("key", "n", F.col("first_id").alias("id"))), "key"))
-    sets = _full_sets(docs, nodes.select("id"), width).dropDuplicates(["key"])
+    sets = _full_sets(docs, nodes.select("id"), width)
     held = nodes.select("key", "part").join(merged(sets), "key")
     held = cut_lineage(held.select(F.xxhash64("key").alias("node"), "part", F.explode("hashes").alias("hash")))
     owned = held.groupBy("hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high")

@@ -123,6 +123,17 @@ def test_near_components_of_empty_and_repeated_rows(spark):
     ]
 
 
+def test_full_sets_are_one_for_each_class(spark):
+    from pyspark.sql import functions as F
+
+    base = prose(random.Random(4), 100)
+    texts = [" ".join(base)] * 8 + [" ".join([*base[:-1], "x"])] * 7
+    docs = documents(spark, texts).select(F.lit(1).alias("id"), F.col("text").cast("binary").alias("text")).repartition(3)
+    made = near_dedup._sets(5)([texts[0].encode(), texts[8].encode()])
+    pairs = spark.createDataFrame([(bytearray(made[0][0]), bytearray(made[0][1]), 1, 1)], "a binary, b binary, ida int, idb int")
+    assert near_dedup._confirmed(pairs, docs, 5, 85).count() == 1
+
+
 def test_one_document_of_each_group_stays(spark):
     texts = _near_texts()
     want, _ = _brute_components(texts, 80)
