@@ -9,7 +9,9 @@ an allow-list holds back what is known to look random without being secret.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -46,16 +48,22 @@ class Alphabet:
 ALPHABETS = (
     Alphabet(r"[0-9A-Fa-f]{24,}", (r"[0-9]", r"[A-Fa-f]"), 24, 2.8),
     Alphabet(r"[A-Za-z0-9+/_=-]{20,}", (r"[0-9]", r"[A-Z]", r"[a-z]"), 20, 3.6),
+    # Of one case: tokens that stand alone, as parts of longer ones are words of the alphabet above.
+    Alphabet(r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])", (r"[0-9]", r"[a-z]"), 20, 3.4),
+    Alphabet(r"(?<![A-Za-z0-9])[A-Z0-9]{20,}(?![A-Za-z0-9])", (r"[0-9]", r"[A-Z]"), 20, 3.4),
 )
 
-# Held back if one of these matches the candidate, or the text that ends with it.
+# Held back if one of these matches the candidate, or the text right before it.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i).*(?:0123456789|abcdefghijkl|example|placeholder|changeme|xxxx).*",
     r"(.)\1*",
 )
-ALLOWED_BEFORE = (r"(?i)sha(?:1|256|384|512)[-:=]\s?$", r"(?i)\bcommit\s$", r"(?i)://\S*$")
+ALLOWED_BEFORE = (r"(?i)sha(?:1|256|384|512)[-:=]\s?$", r"(?i)\bcommit\s$")
 _BEFORE = 200
+# Windows that touch a match of these are held back, the others of the same candidate are not.
+ALLOWED_WITHIN = (r"(?i)0123456789|abcdefghijkl|example|placeholder|changeme|xxxx+",)
+# Candidates that begin in a match of these are held back: addresses, up to what no address holds.
+ALLOWED_AROUND = (r"://[^\s\"<>\\^`{|}]*",)
 
 
 def dense_windows(text: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -86,14 +94,24 @@ def dense_windows(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
-def _prepared(alphabets, allowed, allowed_before):
+def _parts(candidate: str, within) -> list[tuple[int, int]]:
+    """The pieces of ``candidate`` between what the patterns ``within`` match."""
+    pieces, at = [], 0
+    for start, end in sorted(m.span() for p in within for m in p.finditer(candidate)):
+        if start > at:
+            pieces.append((at, start))
+        at = max(at, end)
+    return [*pieces, (at, len(candidate))]
+
+
+def _prepared(alphabets, allowed, allowed_before, allowed_within=ALLOWED_WITHIN, allowed_around=ALLOWED_AROUND):
     compiled = [(re.compile(a.pattern), [re.compile(n) for n in a.needs], a) for a in alphabets]
-    return compiled, [re.compile(p) for p in allowed], [re.compile(p) for p in allowed_before]
+    return compiled, *([re.compile(p) for p in ps] for ps in (allowed, allowed_before, allowed_within, allowed_around))
 
 
 def scan(text: str, prepared) -> list[tuple[int, int, str]]:
     """All spans of a text as (start, end, kind), by start, then kind as listed."""
-    alphabets, allowed, allowed_before = prepared
+    alphabets, allowed, allowed_before, within, around = prepared
     found: list[tuple[int, int, str]] = []
     lower = text.lower()
     if any(word in lower for word in KEYWORDS):
@@ -103,6 +121,9 @@ def scan(text: str, prepared) -> list[tuple[int, int, str]]:
     found += [(*m.span(), "hex") for m in _LONG_HEX.finditer(text)]
     base = [(start, end) for start, end, _ in found]
     random: set[tuple[int, int]] = set()
+    regions = sorted(m.span() for p in around for m in p.finditer(text))
+    begins = [start for start, _ in regions]
+    ends = list(accumulate((end for _, end in regions), max))
     for pattern, needs, alphabet in alphabets:
         for m in pattern.finditer(text):
             if not all(need.search(m[0]) for need in needs) or any(p.fullmatch(m[0]) for p in allowed):
@@ -110,7 +131,12 @@ def scan(text: str, prepared) -> list[tuple[int, int, str]]:
             before = text[max(0, m.start() - _BEFORE) : m.start()]
             if any(p.search(before) for p in allowed_before):
                 continue
-            random.update((m.start() + a, m.start() + b) for a, b in dense_windows(m[0], alphabet.window, alphabet.bits))
+            region = bisect_right(begins, m.start()) - 1
+            if region >= 0 and m.start() < ends[region]:
+                continue
+            for at, upto in _parts(m[0], within):
+                found_in = dense_windows(m[0][at:upto], alphabet.window, alphabet.bits)
+                random.update((m.start() + at + a, m.start() + at + b) for a, b in found_in)
     # What the base patterns or a wider span already cover is not told again.
     covered = base + list(random)
     for span in random:
@@ -125,6 +151,8 @@ def secret_spans(
     alphabets: tuple[Alphabet, ...] = ALPHABETS,
     allowed: tuple[str, ...] = ALLOWED,
     allowed_before: tuple[str, ...] = ALLOWED_BEFORE,
+    allowed_within: tuple[str, ...] = ALLOWED_WITHIN,
+    allowed_around: tuple[str, ...] = ALLOWED_AROUND,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -138,7 +166,7 @@ def secret_spans(
     """
 
     def work():
-        prepared = _prepared(alphabets, allowed, allowed_before)
+        prepared = _prepared(alphabets, allowed, allowed_before, allowed_within, allowed_around)
 
         def of(texts):
             return [[[{"start": s, "end": e, "kind": k} for s, e, k in scan(t or "", prepared)] for t in texts]]
@@ -171,6 +199,8 @@ def redact_secrets(
     alphabets: tuple[Alphabet, ...] = ALPHABETS,
     allowed: tuple[str, ...] = ALLOWED,
     allowed_before: tuple[str, ...] = ALLOWED_BEFORE,
+    allowed_within: tuple[str, ...] = ALLOWED_WITHIN,
+    allowed_around: tuple[str, ...] = ALLOWED_AROUND,
 ) -> DataFrame:
     """``docs`` with every secret (spans that overlap count as one) replaced by ``mark``.
 
@@ -180,7 +210,7 @@ def redact_secrets(
     at = docs.columns.index(text_col)
 
     def run(batches):
-        prepared = _prepared(alphabets, allowed, allowed_before)
+        prepared = _prepared(alphabets, allowed, allowed_before, allowed_within, allowed_around)
         for batch in batches:
             for part in cut(batch, at):
                 texts = part.column(at).to_pylist()

@@ -164,6 +164,15 @@ def test_entropy_spans_and_their_allow_list(spark):
     assert [got[i] for i in range(1, 5)] == ["", "", "", ""]
 
 
+def test_entropy_of_one_case_and_the_reach_of_the_allow_list(spark):
+    key = "hT7kQ2mZ9xLw4Rb8Vn3PyC6d"
+    far = "https://a.b/" + "path/" * 80 + key
+    texts = ["use k3v9x0q2m7z4w8r1t6y5p and", "use Q7ZK2M9XW4RB8VN3PYC6D5T and", f"docs/example/{key}", f"xxxx-{key}", f"https://a.b/{key}"]
+    texts += [far, f'{{"u":"https://a.b/","k":"{key}"}}', "internationalization2024", "exampleK7q2mZ9xLw4Rb8V", "see commit k3v9x0q2m7z4w8r1t6y5p"]
+    got = {r.doc_id: r.spans for r in span_digest(secret_spans(documents(spark, texts))).collect()}
+    assert [got[i] for i in range(10)] == ["entropy:4:25", "entropy:4:27", "entropy:12:37", "entropy:4:29", "", "", "entropy:25:49", "", "", ""]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = documents(spark, ["a password=hunter22 b", None, "clean"], extra="").selectExpr("*", "7 AS n_chars", "'k' AS spans")
     got = sorted(redact_secrets(rows).collect())
