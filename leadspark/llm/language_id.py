@@ -41,10 +41,11 @@ def subwords(chunk: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Scores of each bucket for each language (embedding times output layer), and the calibration."""
+    """The two layers, a row for each bucket and a column for each language, and the calibration."""
 
     langs: list[str]
-    scores: np.ndarray
+    embedding: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -92,7 +93,9 @@ def train(
             for i, change in zip(rows, back, strict=True):
                 buckets, shares = features[i]
                 embedding[buckets] -= lr * np.outer(shares, change).astype(np.float32)
-    model = Model(langs, embedding @ out, bias, 1.0, 0.0)
+    if len(langs) < dim:  # fewer numbers to add up for each text
+        embedding, out = embedding @ out, np.eye(len(langs), dtype=np.float32)
+    model = Model(langs, embedding, out, bias, 1.0, 0.0)
     if n_held:
         _calibrate(model, [features[i] for i in held], labels[held], reject_share)
     return model
@@ -100,7 +103,7 @@ def train(
 
 def _calibrate(model: Model, features, labels: np.ndarray, reject_share: float) -> None:
     """The temperature of the lowest log loss; rejection where the held-back texts' lowest scores are."""
-    logits = np.stack([shares @ model.scores[buckets] for buckets, shares in features]) + model.bias
+    logits = np.stack([shares @ model.embedding[buckets] for buckets, shares in features]) @ model.out + model.bias
     rows = np.arange(len(labels))
     choices = np.geomspace(0.05, 20, 121)
     losses = [-np.log(_softmax(logits / t)[rows, labels] + 1e-12).mean() for t in choices]
@@ -131,24 +134,23 @@ def learn(
     text_col: str,
     lang_col: str,
     sample_per_language: int,
-    max_languages: int,
+    sample_total: int,
     **training,
 ) -> Model | None:
-    """Trains on at most ``sample_per_language`` whole texts of each of the most frequent languages."""
+    """Trains on at most ``sample_per_language`` whole texts of each language, fewer if all would be over ``sample_total``."""
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where(~held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    held = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    langs = sorted(row["lang"] for row in held.collect())
+    langs = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())
     if not langs:
         return None
+    most = max(1, min(sample_per_language, sample_total // len(langs)))
     # Chosen by id alone; only the texts of the chosen (a bounded number of ids to broadcast) go on.
     mixed = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")))
     chosen = (
-        labelled.where(F.col("lang").isin(langs))
-        .select("id", "lang")
+        labelled.select("id", "lang")
         .withColumn("place", F.row_number().over(mixed))
-        .where(F.col("place") <= sample_per_language)
+        .where(F.col("place") <= most)
         .dropDuplicates(["id", "lang"])
     )
     made = map_texts(
@@ -163,12 +165,13 @@ def learn(
     if not rows:
         return None
     features = [(np.array(r["buckets"], np.int64), np.array(r["shares"], np.float32)) for r in rows]
-    labels = np.array([langs.index(row["lang"]) for row in rows])
+    number = {lang: i for i, lang in enumerate(langs)}
+    labels = np.array([number[row["lang"]] for row in rows])
     return train(features, labels, langs, **training)
 
 
 def _predictor(model: Model | None):
-    width = len(model.langs) if model else 0
+    width = model.embedding.shape[1] if model else 0
     place: dict[str, int] = {}
     table = np.zeros((0, width + 1))
 
@@ -184,7 +187,7 @@ def _predictor(model: Model | None):
             ids = subwords(chunk)
             row[width] = len(ids)
             if ids and model:
-                row[:width] = model.scores[ids].sum(axis=0)
+                row[:width] = model.embedding[ids].sum(axis=0)
         place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
         table = np.concatenate([table, rows])
         langs, scores, rejected = [], [], []
@@ -195,7 +198,7 @@ def _predictor(model: Model | None):
                 scores.append(0.0)
                 rejected.append(True)
                 continue
-            logits = (total[:width] / total[width] + model.bias) / model.temperature
+            logits = (total[:width] / total[width] @ model.out + model.bias) / model.temperature
             shares = _softmax(logits[None])[0]
             best = int(np.argmax(shares))
             langs.append(model.langs[best])
@@ -213,7 +216,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_per_language: int = 600,
-    max_languages: int = 100,
+    sample_total: int = 60_000,
     dim: int = 16,
     epochs: int = 6,
     rate: float = 4.0,
@@ -224,8 +227,8 @@ def identify(
     """The language of every whole text: id, held_out, lang_pred, score and rejected.
 
     Learned from texts and languages of the rows that are not held out
-    (:func:`held_out`): at most ``sample_per_language`` of each of the
-    ``max_languages`` most frequent languages, chosen by a hash; that sample's
+    (:func:`held_out`): at most ``sample_per_language`` of each language, or an
+    equal part of ``sample_total`` if that is less, chosen by a hash; that sample's
     features are all that the driver sees. ``score`` is the calibrated
     probability of ``lang_pred``. ``rejected`` marks scores below the lowest
     ``reject_share`` of the calibration texts; the prediction is still told.
@@ -239,7 +242,7 @@ def identify(
         text_col=text_col,
         lang_col=lang_col,
         sample_per_language=sample_per_language,
-        max_languages=max_languages,
+        sample_total=sample_total,
         dim=dim,
         epochs=epochs,
         rate=rate,
@@ -247,8 +250,8 @@ def identify(
         held_back=held_back,
         reject_share=reject_share,
     )
-    # Plain values, at most BUCKETS times max_languages numbers.
-    parts = model and (model.langs, model.scores, model.bias, model.temperature, model.reject_below)
+    # Plain values, dim numbers for each bucket and each language.
+    parts = model and (model.langs, model.embedding, model.out, model.bias, model.temperature, model.reject_below)
     sent = docs.sparkSession.sparkContext.broadcast(parts)
     found = map_texts(
         docs,

@@ -199,6 +199,16 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {got[i].lang_pred for i in (1000, 1001, 1002)} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3)] for _ in range(104)]
+    rows = [(i, " ".join(rng.choices(words[i % 104], k=12)), f"l{i % 104:03}") for i in range(104 * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, epochs=20).collect()}
+    assert len(set(got.values())) > 100
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
+
+
 def test_quality_held_out_accuracy_and_edges(spark):
     rng = random.Random(6)
     texts = [_in_language(rng, "en") if i % 3 else "BUY!! " * 30 for i in range(240)] + [None, ""]
