@@ -2,8 +2,10 @@
 
 A word is its character n-grams and itself, hashed to rows of an embedding; a
 text is the mean of them. Both layers are trained by stochastic gradient
-descent in numpy on a bounded sample. Part of the sample is held back to set the
-softmax's temperature and the score under which a prediction is rejected.
+descent in numpy on a bounded sample, in a few tasks whose weights are averaged
+after each epoch. Part of the sample is held back to set the softmax's
+temperature and the score under which a prediction is rejected. The driver sees
+weights and one number of each held-back text, never the texts' features.
 """
 
 from __future__ import annotations
@@ -13,16 +15,23 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadspark.llm.common import map_texts
+from leadspark.session import cut_lineage
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 # Chunks remembered in a Python worker, before the memory is emptied.
 REMEMBERED = 250_000
+# The sample is trained on in at most PARTS parts, of about PART_TEXTS texts at least.
+PARTS, PART_TEXTS = 8, 500
+# Texts whose order is drawn anew in each epoch are held in memory up to this many subwords.
+DRAWN = 4_000_000
+TEMPERATURES = np.geomspace(0.05, 20, 121)
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -56,60 +65,146 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _texts(batch: pa.RecordBatch):
+    """(part, lang, held, buckets, shares) of each row of the sample."""
+    part, lang, held = (batch.column(n).to_pylist() for n in ("part", "lang", "held"))
+    buckets, shares = batch.column("buckets"), batch.column("shares")
+    at = buckets.offsets.to_numpy()
+    flat, weights = buckets.values.to_numpy(zero_copy_only=False), shares.values.to_numpy(zero_copy_only=False)
+    shift = shares.offsets.to_numpy()[0] - at[0]
+    for i in range(batch.num_rows):
+        rows = slice(at[i], at[i + 1])
+        yield part[i], lang[i], held[i], flat[rows], weights[rows.start + shift : rows.stop + shift]
+
+
+class _Trainer:
+    """Stochastic gradient descent over one part's texts of one epoch, as they come."""
+
+    def __init__(self, weights, number: dict[str, int], epoch: int, *, epochs: int, rate: float, batch: int, expected: float):
+        self.embedding, self.out, self.bias = (layer.copy() for layer in weights)
+        self.number, self.epoch, self.epochs, self.rate, self.batch, self.expected = number, epoch, epochs, rate, batch, expected
+        self.random = np.random.default_rng(7 + epoch)
+        self.waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.size = self.n = 0
+
+    def add(self, lang: str, buckets: np.ndarray, shares: np.ndarray) -> None:
+        self.waiting.append((self.number[lang], buckets, shares))
+        self.size += len(buckets)
+        if self.size > DRAWN:
+            self.flush()
+
+    def flush(self) -> None:
+        order = self.random.permutation(len(self.waiting))
+        for start in range(0, len(order), self.batch):
+            self._step([self.waiting[i] for i in order[start : start + self.batch]])
+        self.waiting, self.size = [], 0
+
+    def _step(self, texts) -> None:
+        done = (self.epoch + min(1.0, self.n / self.expected)) / self.epochs
+        lr = np.float32(self.rate * max(0.0, 1 - done))
+        self.n += len(texts)
+        means = np.stack([shares @ self.embedding[buckets] for _, buckets, shares in texts])
+        error = _softmax(means @ self.out + self.bias)
+        error[np.arange(len(texts)), [label for label, *_ in texts]] -= 1
+        back = error @ self.out.T
+        self.out -= lr * means.T @ error / len(texts)
+        self.bias -= lr * error.mean(axis=0) * np.float32(0.1)
+        for (_, buckets, shares), change in zip(texts, back, strict=True):
+            self.embedding[buckets] -= lr * np.outer(shares, change)
+
+
 def train(
-    features: list[tuple[np.ndarray, np.ndarray]],
-    labels: np.ndarray,
-    langs: list[str],
-    *,
-    dim: int,
-    epochs: int,
-    rate: float,
-    batch: int,
-    held_back: float,
+    sample: DataFrame, n_texts: int, langs: list[str], *, dim: int, epochs: int, rate: float, batch: int, held_back: float,
     reject_share: float,
-) -> Model:
-    """Fits the two layers. ``features``: (buckets, shares that add up to 1) of each text."""
+) -> Model:
+    """Fits the two layers in tasks. ``sample``: part, lang, held, buckets and shares (that add up to 1), sorted by part."""
+    context = sample.sparkSession.sparkContext
     random = np.random.default_rng(7)
-    order = random.permutation(len(features))
-    n_held = int(len(order) * held_back)
-    held, fit = order[:n_held], order[n_held:]
-    embedding = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    out = np.zeros((dim, len(langs)), np.float32)
-    bias = np.zeros(len(langs), np.float32)
-    steps = max(1, epochs * -(-len(fit) // batch))
-    step = 0
-    for _ in range(epochs):
-        fit = random.permutation(fit)
-        for start in range(0, len(fit), batch):
-            rows = fit[start : start + batch]
-            lr = rate * (1 - step / steps)
-            step += 1
-            means = np.stack([features[i][1] @ embedding[features[i][0]] for i in rows])
-            error = _softmax(means @ out + bias)
-            error[np.arange(len(rows)), labels[rows]] -= 1
-            back = error @ out.T
-            out -= lr * means.T @ error / len(rows)
-            bias -= lr * error.mean(axis=0) * 0.1
-            for i, change in zip(rows, back, strict=True):
-                buckets, shares = features[i]
-                embedding[buckets] -= lr * np.outer(shares, change).astype(np.float32)
+    weights = (
+        random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32),
+        np.zeros((dim, len(langs)), np.float32),
+        np.zeros(len(langs), np.float32),
+    )
+    number = {lang: i for i, lang in enumerate(langs)}
+    expected = max(1.0, n_texts * (1 - held_back) / parts_of(n_texts))
+
+    for epoch in range(epochs):
+        sent = context.broadcast((weights, number))
+
+        def run(batches, epoch=epoch, sent=sent):
+            def told(trainer):
+                trainer.flush()
+                layers = [[layer.tobytes()] for layer in (trainer.embedding, trainer.out, trainer.bias)]
+                names = ["part", "n", "embedding", "out", "bias"]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([trainer.n], pa.int64()), *[pa.array(x, pa.binary()) for x in layers]], names
+                )
+
+            part, trainer = None, None
+            for rows in batches:
+                for at, lang, held, buckets, shares in _texts(rows):
+                    if held:
+                        continue
+                    if at != part:
+                        if trainer:
+                            yield told(trainer)
+                        given, number = sent.value
+                        part, trainer = at, _Trainer(given, number, epoch, epochs=epochs, rate=rate, batch=batch, expected=expected)
+                    trainer.add(lang, buckets, shares)
+            if trainer:
+                yield told(trainer)
+
+        schema = "part int, n long, embedding binary, out binary, bias binary"
+        sums, total = [np.zeros(layer.shape) for layer in weights], 0
+        for row in sorted(sample.mapInArrow(run, schema).collect(), key=lambda row: row["part"]):
+            total += row["n"]
+            for layer, name in zip(sums, ("embedding", "out", "bias"), strict=True):
+                layer += row["n"] * np.frombuffer(row[name], np.float32).reshape(layer.shape)
+        sent.unpersist()
+        weights = tuple((layer / total).astype(np.float32) for layer in sums)
+    embedding, out, bias = weights
     if len(langs) < dim:  # fewer numbers to add up for each text
         embedding, out = embedding @ out, np.eye(len(langs), dtype=np.float32)
     model = Model(langs, embedding, out, bias, 1.0, 0.0)
-    if n_held:
-        _calibrate(model, [features[i] for i in held], labels[held], reject_share)
+    _calibrate(model, sample, number, reject_share)
     return model
 
 
-def _calibrate(model: Model, features, labels: np.ndarray, reject_share: float) -> None:
+def _calibrate(model: Model, sample: DataFrame, number: dict[str, int], reject_share: float) -> None:
     """The temperature of the lowest log loss; rejection where the held-back texts' lowest scores are."""
-    logits = np.stack([shares @ model.embedding[buckets] for buckets, shares in features]) @ model.out + model.bias
-    rows = np.arange(len(labels))
-    choices = np.geomspace(0.05, 20, 121)
-    losses = [-np.log(_softmax(logits / t)[rows, labels] + 1e-12).mean() for t in choices]
-    model.temperature = float(choices[int(np.argmin(losses))])
-    best = _softmax(logits / model.temperature).max(axis=1)
-    model.reject_below = float(np.quantile(best, reject_share))
+    sent = sample.sparkSession.sparkContext.broadcast((model.embedding, model.out, model.bias, number))
+
+    def logits(batches):
+        embedding, out, bias, number = sent.value
+        for rows in batches:
+            for at, lang, held, buckets, shares in _texts(rows):
+                if held:
+                    yield at, number[lang], (shares @ embedding[buckets] @ out + bias)[None]
+
+    def losses(batches):
+        of_part: dict[int, np.ndarray] = {}
+        for at, label, row in logits(batches):
+            each = [-np.log(_softmax(row / t)[0, label] + 1e-12) for t in TEMPERATURES]
+            of_part[at] = of_part.get(at, 0) + np.array(each)
+        for at, summed in of_part.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([summed.tolist()], pa.list_(pa.float64()))], ["part", "losses"])
+
+    summed = sorted(sample.mapInArrow(losses, "part int, losses array<double>").collect(), key=lambda row: row["part"])
+    if summed:
+        model.temperature = float(TEMPERATURES[int(np.argmin(np.sum([row["losses"] for row in summed], axis=0)))])
+        temperature = model.temperature
+
+        def best(batches):
+            found = [float(_softmax(row / temperature).max()) for *_, row in logits(batches)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], ["best"])
+
+        scores = [row["best"] for row in sample.mapInArrow(best, "best double").collect()]
+        model.reject_below = float(np.quantile(scores, reject_share))
+    sent.unpersist()
+
+
+def parts_of(n_texts: int) -> int:
+    return max(1, min(PARTS, n_texts // PART_TEXTS))
 
 
 def _features(texts: list[str | None]) -> list[list]:
@@ -141,10 +236,11 @@ def learn(
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where(~held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())
-    if not langs:
+    held = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not held:
         return None
-    most = max(1, min(sample_per_language, sample_total // len(langs)))
+    most = max(1, min(sample_per_language, sample_total // len(held)))
+    n_texts = sum(min(n, most) for n in held.values())
     # Chosen by id alone; only the texts of the chosen (a bounded number of ids to broadcast) go on.
     mixed = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")))
     chosen = (
@@ -160,14 +256,21 @@ def learn(
         id_col="key",
         text_col="text",
     )
-    rows = [row for row in made.select("key.lang", "key.place", "buckets", "shares").collect() if row["buckets"]]
-    rows.sort(key=lambda row: (row["lang"], row["place"]))
-    if not rows:
+    # Every 1 / held_back-th text of a language is held back, so that the first ones are always learned from.
+    share = training["held_back"]
+    sample = cut_lineage(
+        made.where(F.size("buckets") > 0)
+        .select("key.lang", "key.place", "buckets", "shares")
+        .withColumn("held", F.floor(F.col("place") * share) > F.floor((F.col("place") - 1) * share))
+        .withColumn("part", F.pmod(F.xxhash64("lang", "place"), F.lit(parts_of(n_texts))).cast("int"))
+        .repartition(parts_of(n_texts), "part")
+        .sortWithinPartitions("part", F.xxhash64("place", "lang"))
+    )
+    langs = sorted(row["lang"] for row in sample.where("NOT held").select("lang").distinct().collect())
+    if not langs:
         return None
-    features = [(np.array(r["buckets"], np.int64), np.array(r["shares"], np.float32)) for r in rows]
-    number = {lang: i for i, lang in enumerate(langs)}
-    labels = np.array([number[row["lang"]] for row in rows])
-    return train(features, labels, langs, **training)
+    sample = sample.where(F.col("lang").isin(langs)) if len(langs) < len(held) else sample
+    return train(sample, n_texts, langs, **training)
 
 
 def _predictor(model: Model | None):
@@ -228,8 +331,8 @@ def identify(
 
     Learned from texts and languages of the rows that are not held out
     (:func:`held_out`): at most ``sample_per_language`` of each language, or an
-    equal part of ``sample_total`` if that is less, chosen by a hash; that sample's
-    features are all that the driver sees. ``score`` is the calibrated
+    equal part of ``sample_total`` if that is less, chosen by a hash. The sample's
+    features stay in the tasks; the driver averages their weights. ``score`` is the calibrated
     probability of ``lang_pred``. ``rejected`` marks scores below the lowest
     ``reject_share`` of the calibration texts; the prediction is still told.
     NULL texts and texts without a letter are 'und' with score 0, rejected; so

@@ -209,6 +209,22 @@ def test_every_language_is_learned(spark):
     assert sum(got[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
 
 
+def test_the_driver_sees_no_features(spark, monkeypatch):
+    from leadspark.llm import language_id
+
+    frame, seen = type(spark.range(0)), []
+    kept = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(self.columns) or kept(self))
+    monkeypatch.setattr(language_id, "PART_TEXTS", 40, raising=False)  # several parts
+    rng = random.Random(4)
+    rows = [(i, _in_language(rng, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(240)]
+    rows += [(1000 + i, "solo mio amore", "it") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in kept(identify(docs))}
+    assert all(got[i] == lang for i, _, lang in rows[:240])
+    assert seen and not any({"buckets", "shares"} & set(columns) for columns in seen)
+
+
 def test_quality_held_out_accuracy_and_edges(spark):
     rng = random.Random(6)
     texts = [_in_language(rng, "en") if i % 3 else "BUY!! " * 30 for i in range(240)] + [None, ""]
