@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.llm.common import read
 from leadspark.llm.decontaminate import contamination, item_digest
+from leadspark.llm.filter_audit import filter_audit
 from leadspark.llm.language_id import identify
 from leadspark.llm.near_dedup import near_components
 from leadspark.llm.packing import pack
@@ -80,6 +81,10 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), voters=2400)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +96,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_knn": op10_quality_knn,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _URL_SQL = r"""
@@ -220,4 +226,51 @@ WITH d AS (
 SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept FROM judged
 """
 
-LLM_ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY_SQL, "op6_url_filter": _URL_SQL, "op7_decontamination": _CONTAMINATION_SQL}
+_AUDIT_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), labelled AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        list_filter([
+            CASE WHEN len(w) < 100 THEN 'A' END,
+            CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+            CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' END,
+            CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+            CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END
+        ], lambda x: x IS NOT NULL) AS failed
+    FROM d LEFT JOIN labelled USING (doc_id)
+), counts AS (
+    SELECT part, failed, good, toxic, count(*) AS n FROM flags GROUP BY ALL
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), walked AS (
+    SELECT part, filter_order, step, n, good, toxic, failed, filter_order[step] AS f,
+        list_contains(failed, filter_order[step]) AS fails,
+        len(list_intersect(failed, string_split(filter_order[: step - 1], ''))) > 0 AS gone
+    FROM counts, orders, (SELECT CAST(unnest(generate_series(1, 5)) AS INTEGER) AS step)
+), steps AS (
+    SELECT part, filter_order, step, f,
+        sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = [f] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END) AS toxic_lost
+    FROM walked GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op2_quality_rules": _QUALITY_SQL,
+    "op6_url_filter": _URL_SQL,
+    "op7_decontamination": _CONTAMINATION_SQL,
+    "op11_filter_audit": _AUDIT_SQL,
+}
