@@ -16,6 +16,7 @@ from leadspark.llm.packing import pack
 from leadspark.llm.quality_knn import quality_scores
 from leadspark.llm.quality_rules import quality_rules
 from leadspark.llm.secret_scan import secret_spans, span_digest
+from leadspark.llm.spelling import spelling_groups
 from leadspark.llm.substring_dedup import kept_digest, remove_repeated_windows
 from leadspark.llm.token_counts import token_counts
 from leadspark.llm.url_filter import Rule, canonical_url, filter_urls, url_host, url_path
@@ -85,6 +86,29 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+# The letters of the contract.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SHORTEST = 7
+
+
+def misspelt_words(docs: DataFrame) -> DataFrame:
+    """(word, n): runs of letters of the texts, some of which lose a letter, with their occurrences; two at least."""
+    lowered = F.translate("text", _UPPER, _LOWER)
+    # Shorter runs cannot become a word: only whole runs that are long enough leave the text.
+    runs = F.regexp_extract_all(lowered, F.lit(f"([A-Za-z\u00c0-\u00ff]{{{_SHORTEST},}})"), F.lit(1))
+    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    hashed = run.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
+    place = (F.col("h") % F.length("run")).cast("int")
+    shorter = F.concat(F.left("run", place), F.substr("run", place + 2))
+    word = F.when(F.col("h") % 31 == 0, shorter).otherwise(F.col("run"))
+    counted = hashed.groupBy(word.alias("word")).agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") >= 2) & (F.length("word") >= _SHORTEST))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(misspelt_words(read(spark, sf_dir, "documents")), ratio=10)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -97,6 +121,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_knn": op10_quality_knn,
     "op11_filter_audit": op11_filter_audit,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 _URL_SQL = r"""
