@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadspark.llm.common import read
 from leadspark.llm.decontaminate import contamination, item_digest
 from leadspark.llm.filter_audit import filter_audit
+from leadspark.llm.fingerprints import document_fingerprints
 from leadspark.llm.language_id import identify
 from leadspark.llm.near_dedup import near_components
 from leadspark.llm.packing import pack
@@ -86,6 +87,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(read(spark, sf_dir, "documents"))
+
+
 # The letters of the contract.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHORTEST = 7
@@ -121,6 +126,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_knn": op10_quality_knn,
     "op11_filter_audit": op11_filter_audit,
+    "op12_fingerprints": op12_fingerprints,
     "op13_spelling_groups": op13_spelling_groups,
 }
 
@@ -293,7 +299,56 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM steps
 """
 
+_FINGERPRINT_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), followed AS (
+    SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS following, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+    FROM d WINDOW w AS (ORDER BY doc_id DESC)
+), edits AS (
+    SELECT *, left(t, n - n // 2) || left(following, n // 2) AS edited FROM followed
+), versions AS (
+    SELECT doc_id, 'own' AS side, t AS txt FROM edits UNION ALL SELECT doc_id, 'new', edited FROM edits
+), paragraphs AS (
+    SELECT doc_id, side, unnest(list_filter(string_split(array_to_string(list_transform(
+        regexp_extract_all(txt, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'),
+        lambda s: CASE WHEN contains(s, chr(10)) OR length(s) % 4 = 0 THEN s || chr(0) ELSE s END), ''), chr(0)), lambda x: x <> '')) AS p
+    FROM versions
+), digests AS (
+    SELECT DISTINCT doc_id, side, CAST('0x' || left(md5(p), 15) AS BIGINT) AS k FROM paragraphs
+), sizes AS (
+    SELECT doc_id, side, coalesce(count(k), 0) AS size, list(k) FILTER (k IS NOT NULL) AS ks
+    FROM versions LEFT JOIN digests USING (doc_id, side) GROUP BY doc_id, side
+), leveled AS (
+    SELECT *, CASE WHEN size <= 12 THEN 0 ELSE length(bin((size + 11) // 12 - 1)) END AS level FROM sizes
+), held AS (
+    SELECT doc_id, side, k & ((1 << level) - 1) AS block, r * 8 + ((k >> (40 + 3 * r)) & 7) AS cell, count(*) AS c, bit_xor(k) AS k,
+        bit_xor(((k % 2147483647) * (k % 2147483647) + (k >> 31) * 7) % 2147483647) AS h
+    FROM digests JOIN leveled USING (doc_id, side), (SELECT unnest(generate_series(0, 2)) AS r) GROUP BY ALL
+), cells AS (
+    SELECT doc_id, side, level, block, unnest(generate_series(0, 23)) AS cell
+    FROM (SELECT doc_id, side, level, unnest(generate_series(0, (1 << level) - 1)) AS block FROM leveled)
+), blocks AS (
+    SELECT doc_id, side, reverse(lpad(bin(block), CAST(greatest(level, 1) AS INTEGER), '0')) AS place,
+        string_agg(CASE WHEN c IS NULL THEN '' ELSE c || ':' || lower(to_hex(k)) || ':' || lower(to_hex(h)) END, ',' ORDER BY cell) AS shown
+    FROM cells LEFT JOIN held USING (doc_id, side, block, cell) GROUP BY doc_id, side, level, block
+), prints AS (
+    SELECT doc_id, side, string_agg(shown, ';' ORDER BY place) AS print FROM blocks GROUP BY doc_id, side
+), compared AS (
+    SELECT e.doc_id, len(list_intersect(o.ks, w.ks)) AS both_edited, o.size + w.size AS sum_edited,
+        len(list_intersect(o.ks, x.ks)) AS both_next, o.size + x.size AS sum_next
+    FROM edits e JOIN sizes o ON o.doc_id = e.doc_id AND o.side = 'own' JOIN sizes w ON w.doc_id = e.doc_id AND w.side = 'new'
+    JOIN sizes x ON x.doc_id = e.next_id AND x.side = 'own'
+)
+SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, f.print AS fingerprint, g.print AS edited_fingerprint,
+    CASE WHEN sum_edited = 0 THEN 1.0 ELSE coalesce(both_edited, 0) / (sum_edited - coalesce(both_edited, 0)) END::DOUBLE AS near_edited,
+    CASE WHEN sum_next = 0 THEN 1.0 ELSE coalesce(both_next, 0) / (sum_next - coalesce(both_next, 0)) END::DOUBLE AS near_next
+FROM edits e JOIN compared USING (doc_id) JOIN prints f ON f.doc_id = e.doc_id AND f.side = 'own'
+JOIN prints g ON g.doc_id = e.doc_id AND g.side = 'new'
+"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op12_fingerprints": _FINGERPRINT_SQL,
     "op2_quality_rules": _QUALITY_SQL,
     "op6_url_filter": _URL_SQL,
     "op7_decontamination": _CONTAMINATION_SQL,
