@@ -75,6 +75,41 @@ def with_preceding_rows(
     )
 
 
+def with_highest_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    *,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``df`` with ``name``: the largest ``value`` among the rows of the key before each row (NULL for the first).
+
+    A running maximum in three steps: rows are dealt into ranges of (keys, order),
+    so a hot key covers many ranges; each range has one maximum per key; and
+    where a key goes on from earlier ranges, their maxima are carried into it.
+    A range goes on with at most one key, so no more rows are carried than there are
+    ranges. Pass enough order columns to tell rows apart.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_value", value).repartitionByRange(count, *[F.col(n) for n in (*keys, *order)])
+    ranged = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
+    highest = ranged.groupBy("_part", *keys).agg(F.max("_value").alias("_high"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = highest.withColumn("_carried", F.max("_high").over(earlier)).filter("_carried IS NOT NULL")
+    carried = carried.select(F.col("_part").alias("_to"), "_carried", *[F.col(n).alias(f"_c_{n}") for n in keys])
+    match = F.col("_part") == F.col("_to")
+    for n in keys:
+        match = match & F.col(n).eqNullSafe(F.col(f"_c_{n}"))
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.join(F.broadcast(carried), match, "left")
+        .withColumn(name, F.array_max(F.array(F.max("_value").over(within), F.col("_carried"))))
+        .select(*df.columns, name)
+    )
+
+
 def distinct_in_forward_window(
     df: DataFrame,
     keys: Sequence[str],
