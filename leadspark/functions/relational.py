@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
-    """Rows in a total order, cut to ``limit`` (TakeOrderedAndProject); None keeps them all."""
-    ordered = df.orderBy(*order)
-    return ordered if limit is None else ordered.limit(limit)
+    """The first ``limit`` rows in a total order (TakeOrderedAndProject); None keeps them all, in no order.
+
+    Whoever stores, joins or groups a whole result would sort it in vain; call
+    ``orderBy`` on it to look at it.
+    """
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def in_order(order: Sequence[Column], limit: int | None) -> Callable[[DataFrame], DataFrame]:
+    """For ``transform``: sorts the rows that :func:`top` has cut (joins lose their order), leaves a whole result as it is."""
+    return lambda df: df if limit is None else df.orderBy(*order)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.ordered import day_number, distinct_in_forward_window
-from leadspark.functions.relational import first_per_key, top, with_joined_list
+from leadspark.functions.relational import first_per_key, in_order, top, with_joined_list
 from leadspark.functions.text import EMPLOYER_STOP_WORDS, blank_to_null, decimal_round, postcode_key, upper_trim
 
 
@@ -101,7 +101,7 @@ def maxed_donor_clusters(
     named = gifts.select(*keys, "donor_name", F.date_from_unix_date(F.col("day").cast("int")).alias("_given"))
     return with_joined_list(
         leads, named, keys, "donor_name", "donor_names", residual="_given BETWEEN window_start AND window_end"
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))
 
 
 def new_recipient_single_funder(

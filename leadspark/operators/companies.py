@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
-from leadspark.functions.relational import first_per_key, top, with_joined_list
+from leadspark.functions.relational import first_per_key, in_order, top, with_joined_list
 from leadspark.functions.text import address_key, split_list, upper_trim
 from leadspark.session import cut_lineage
 
@@ -171,7 +171,7 @@ def prolific_officer(
     )
     return with_joined_list(
         leads, holders, keys, "company_label", "example_companies", separator="|", first=5
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))
 
 
 def rapid_dissolution(companies: DataFrame, *, max_days: int = 365, limit: int | None = None) -> DataFrame:
@@ -297,4 +297,4 @@ def shared_registered_address(companies: DataFrame, *, min_companies: int = 50,
         "first_incorporated",
         "last_incorporated",
         "example_companies",
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
-from leadspark.functions.relational import top
+from leadspark.functions.relational import in_order, top
 from leadspark.functions.text import decimal_round, name_key, word_prefixes
 
 # Fixed value: parties that appear in so many cases that they say nothing.
@@ -245,7 +245,7 @@ def long_pending_cases(
             "case_id", "court_id", "case_name", "docket_number", "nature_of_suit", "judge_id", "judge_name",
             "date_filed", "as_of_date", "years_pending", "judge_long_pending", "url",
         )
-        .orderBy(*order)
+        .transform(in_order(order, limit))
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
-from leadspark.functions.ordered import day_number, distinct_in_forward_window, nearest_days
-from leadspark.functions.relational import top, with_joined_list
+from leadspark.functions.ordered import day_number, nearest_days
+from leadspark.functions.relational import in_order, top, with_joined_list
 from leadspark.functions.text import contains_any, decimal_round, registrant_key, upper_trim
 from leadspark.session import cut_lineage
 
@@ -193,7 +193,7 @@ def revolving_door_candidates(
         "registration_id",
         "left",
     )
-    return with_joined_list(leads, filings, ["lobbyist_id"], "represented", "lobbied_for").orderBy(*order)
+    return with_joined_list(leads, filings, ["lobbyist_id"], "represented", "lobbied_for").transform(in_order(order, limit))
 
 
 def foreign_filings(
@@ -261,7 +261,7 @@ def single_client_juggernauts(
         order,
         limit,
     )
-    return with_joined_list(leads, reports, ["register", "registrant_id"], "client_name", "clients").orderBy(*order)
+    return with_joined_list(leads, reports, ["register", "registrant_id"], "client_name", "clients").transform(in_order(order, limit))
 
 
 def pac_contribution_flow(political_contributions: DataFrame, *, limit: int | None = None) -> DataFrame:
@@ -390,7 +390,7 @@ def new_registrant_surge(
         order,
         limit,
     )
-    return with_joined_list(leads, reports, ["register", "registrant_id"], "client_name", "clients").orderBy(*order)
+    return with_joined_list(leads, reports, ["register", "registrant_id"], "client_name", "clients").transform(in_order(order, limit))
 
 
 def _filings_mentioning(lobbying_activities: DataFrame, phrases: tuple[str, ...], alias: str) -> DataFrame:
@@ -556,7 +556,7 @@ def fara_gap_narrowed(
     return leads.select(
         "registration_id", "filing_year", "registrant_name", "client_name", "client_country", "client_ppb_country",
         "fe_countries", "spend", *signals, "url",
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))
 
 
 def revolving_door_committee_match(
@@ -775,6 +775,60 @@ def _same_institution(former_keys: DataFrame, contacted_keys: DataFrame) -> Data
     )
 
 
+def _merged_spans(spans: Column) -> Column:
+    """Sorted spans (first, last) as disjoint ones."""
+
+    def added(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], span["last"]).alias("last"))
+        return (
+            F.when(F.size(done) == 0, F.array(span))
+            .when(span["first"] <= F.try_element_at(done, F.lit(-1))["last"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer)))
+            .otherwise(F.concat(done, F.array(span)))
+        )
+
+    empty = F.array().cast("array<struct<first:int,last:int>>")
+    return F.aggregate(spans, empty, added)
+
+
+def _contacts_in_covers(covers: DataFrame, dated: DataFrame, place: list[str]) -> DataFrame:
+    """``covers`` (place and disjoint spans of days) with ``_members``: the distinct contacts that have a day in a span.
+
+    Every contact counts on its first day: running counts per place and day, read at
+    both ends of each span, so contacts never meet covers. Only a contact with several
+    days is looked at again, as it may be covered on a later one.
+    """
+    meetings = dated.groupBy(*place, "contact_id").agg(F.array_sort(F.collect_set("day")).alias("_days"))
+    spans = covers.select(*place, F.explode("cover").alias("_span")).select(*place, "_span.first", "_span.last").distinct()
+    asked = spans.select(*place, (F.col("first") - 1).alias("day")).unionByName(spans.select(*place, F.col("last").alias("day")))
+    marks = meetings.select(*place, F.col("_days")[0].alias("day"), F.lit(1).alias("_n")).unionByName(asked.withColumn("_n", F.lit(0)))
+    order = Window.partitionBy(*place).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    running = marks.groupBy(*place, "day").agg(F.sum("_n").alias("_n")).select(*place, "day", F.sum("_n").over(order).alias("_until"))
+    ends = running.select(*place, F.col("day").alias("last"), F.col("_until").alias("_to"))
+    starts = running.select(*place, (F.col("day") + 1).alias("first"), F.col("_until").alias("_from"))
+    inside = spans.join(ends, [*place, "last"]).join(starts, [*place, "first"])
+    inside = inside.select(*place, F.struct("first", "last").alias("_span"), (F.col("_to") - F.col("_from")).alias("_in"))
+    firsts = (
+        covers.select(*place, "cover", F.explode("cover").alias("_span"))
+        .join(inside, [*place, "_span"])
+        .groupBy(*place, "cover")
+        .agg(F.sum("_in").alias("_members"))
+    )
+
+    def covered(day: Column) -> Column:
+        return F.exists("cover", lambda span: day.between(span["first"], span["last"]))
+
+    later = (
+        covers.join(meetings.filter(F.size("_days") > 1).select(*place, "_days"), place)
+        .filter(~covered(F.col("_days")[0]) & F.exists("_days", covered))
+        .groupBy(*place, "cover")
+        .agg(F.count("*").alias("_later"))
+    )
+    return firsts.join(later, [*place, "cover"], "left").select(
+        *place, "cover", (F.col("_members") + F.coalesce("_later", F.lit(0))).alias("_members")
+    )
+
+
 def former_official_lobbies_former_institution(
     lobbyists: DataFrame,
     lobbying_registrations: DataFrame,
@@ -785,10 +839,10 @@ def former_official_lobbies_former_institution(
 ) -> DataFrame:
     """Contacts of a registrant with an institution where one of its lobbyists held office.
 
-    Contacts are counted once per registrant, institution and leaving date; all
-    lobbyists who share these (often: no known date) share the count. Only a
-    lobbyist with several leaving dates from one institution is counted again,
-    over the contacts inside any of the windows.
+    A leaving date opens a window of days. It is narrowed to the first and last contact
+    day in it; a lobbyist's windows at one place are merged into disjoint spans. Distinct contacts and
+    the officials met are worked out once for each place (registrant and institution) and each
+    set of spans there, which all lobbyists share who left at such times, or at unknown ones.
     """
     checks.integer("max_days_after_leaving", max_days_after_leaving, 0, 36_500)
     checks.row_limit(limit)
@@ -806,103 +860,79 @@ def former_official_lobbies_former_institution(
         "institution",
         F.lower(F.trim("institution")).alias("contacted_key"),
         "contact_id",
-        "contact_date",
+        day_number("contact_date").alias("day"),
         "official_name",
     )
-    pairs = _same_institution(
-        former.select("registrant_id", "former_key").distinct(),
-        contacts.select("registrant_id", "contacted_key").distinct(),
-    )
     place = ["registrant_id", "contacted_key"]
-    labels = contacts.groupBy(*place).agg(
-        F.min("registrant_name").alias("registrant_name"), F.min("institution").alias("institution")
-    )
-    dated = contacts.filter("contact_date IS NOT NULL").select(
-        *place, "contact_id", day_number("contact_date").alias("day")
+    pairs = _same_institution(
+        former.select("registrant_id", "former_key").distinct(), contacts.select(*place).distinct()
     )
-    # Written once: five branches below read it.
-    terms = cut_lineage(
-        former.select("registrant_id", "former_key", "former_office_end")
-        .distinct()
-        .join(pairs, ["registrant_id", "former_key"])
-        .select(*place, "former_key", "former_office_end", day_number("former_office_end").alias("day"))
-    )
-    # Contacts in [leaving, leaving + window] come from a running count per calendar day, and the
-    # first and last of them from the nearest contact days: terms never meet single contacts.
-    leaving = terms.filter("day IS NOT NULL").select(*place, "day").distinct()
-    counts = distinct_in_forward_window(dated, place, "day", "contact_id", max_days_after_leaving, anchors=leaving)
-    end_of_window = leaving.select(*place, (F.col("day") + max_days_after_leaving).alias("day"))
-    nearest = nearest_days(dated, leaving.unionByName(end_of_window).distinct(), place, "day")
-    after_leaving = (
-        leaving.join(counts, [*place, "day"])
-        .join(nearest.select(*place, "day", F.col("_next").alias("first_day")), [*place, "day"])
+    # All contacts of a place, dated or not.
+    places = contacts.groupBy(*place).agg(
+        F.min("registrant_name").alias("registrant_name"),
+        F.min("institution").alias("contacted_institution"),
+        F.count_distinct("contact_id").alias("_all"),
+        F.min("day").alias("_first"),
+        F.max("day").alias("_last"),
+    )
+    dated = contacts.filter("day IS NOT NULL").select(*place, "contact_id", "day").distinct()
+    # Written once: the branches below read them.
+    terms = cut_lineage(former.join(pairs, ["registrant_id", "former_key"]).drop("former_key"))
+    leaving = terms.select(*place, day_number("former_office_end").alias("day")).filter("day IS NOT NULL").distinct()
+    until = leaving.select(*place, (F.col("day") + max_days_after_leaving).alias("day"))
+    nearest = nearest_days(dated, leaving.unionByName(until).distinct(), place, "day")
+    windows = (
+        leaving.join(nearest.select(*place, "day", F.col("_next").alias("first")), [*place, "day"])
         .join(
-            nearest.select(
-                *place, (F.col("day") - max_days_after_leaving).alias("day"), F.col("_previous").alias("last_day")
-            ),
+            nearest.select(*place, (F.col("day") - max_days_after_leaving).alias("day"), F.col("_previous").alias("last")),
             [*place, "day"],
         )
-        .filter("_members > 0")
-    )
-    whenever = contacts.groupBy(*place).agg(
-        F.count_distinct("contact_id").alias("_members"),
-        F.min(day_number("contact_date")).alias("first_day"),
-        F.max(day_number("contact_date")).alias("last_day"),
-    )
-    evidence = (
-        terms.filter("day IS NOT NULL")
-        .join(after_leaving, [*place, "day"])
-        .drop("day")
-        .unionByName(terms.filter("day IS NULL").join(whenever, place).drop("day"))
-        .join(labels, place)
-        .select(
-            *place,
-            "former_key",
-            F.col("former_office_end").alias("_end"),
-            "registrant_name",
-            "institution",
-            F.col("_members").alias("term_contacts"),
-            F.date_from_unix_date("first_day").alias("first_contact"),
-            F.date_from_unix_date("last_day").alias("last_contact"),
-        )
+        .filter("first <= last")
+        .select(*place, F.date_from_unix_date("day").alias("former_office_end"), F.struct("first", "last").alias("_span"))
     )
-    lead_key = ["lobbyist_id", "former_office_institution", "registrant_id", "contacted_key"]
-    matched = (
-        former.join(evidence, ["registrant_id", "former_key"])
-        .filter(F.col("former_office_end").eqNullSafe(F.col("_end")))
-        .groupBy(*lead_key, "former_key")
+    lead_key = ["lobbyist_id", "former_office_institution", *place]
+    spanned = terms.join(windows, [*place, "former_office_end"], "left").filter(
+        "_span IS NOT NULL OR former_office_end IS NULL"
+    )
+    matched = cut_lineage(
+        spanned.groupBy(*lead_key)
         .agg(
             F.min("name").alias("name"),
             F.min("former_public_office").alias("former_public_office"),
             F.max("former_office_end").alias("former_office_end"),
             F.max(F.col("former_office_end").isNull()).alias("_any_time"),
-            F.array_sort(F.collect_set("former_office_end")).alias("_ends"),
-            F.min("registrant_name").alias("registrant_name"),
-            F.min("institution").alias("contacted_institution"),
-            F.max("term_contacts").alias("term_contacts"),
-            F.min("first_contact").alias("first_contact"),
-            F.max("last_contact").alias("last_contact"),
+            F.array_sort(F.collect_set("_span")).alias("_spans"),
         )
-    )
-    # An unknown leaving date admits every contact, so its count covers the other terms.
-    several = (~F.col("_any_time")) & (F.size("_ends") > 1)
-    ends = [*place, "_ends"]
-    # One row per contact with its days, at most one per calendar day.
-    meetings = dated.groupBy(*place, "contact_id").agg(F.collect_set("day").alias("_days"))
-    counted_again = (
-        matched.filter(several)
-        .select(*ends)
-        .distinct()
-        .join(meetings, place)
-        .filter(
-            F.exists(
-                "_days",
-                lambda day: F.exists("_ends", lambda end: (day - day_number(end)).between(0, max_days_after_leaving)),
-            )
-        )
-        .groupBy(*ends)
-        .agg(F.count("contact_id").alias("all_contacts"))
-    )
+        # An unknown leaving date admits every contact: the empty cover.
+        .withColumn("cover", F.when(F.col("_any_time"), F.array().cast("array<struct<first:int,last:int>>")).otherwise(_merged_spans(F.col("_spans"))))
+        .drop("_spans")
+    )
+    covers = matched.select(*place, "cover").distinct()
+    some = covers.filter(F.size("cover") > 0)
+    whole = covers.filter(F.size("cover") == 0)
+    counts = _contacts_in_covers(some, dated, place).unionByName(
+        whole.join(places.select(*place, F.col("_all").alias("_members")), place)
+    )
+    # Calendar days on which an official was met: one row for each official of a place.
+    officials = contacts.groupBy(*place, "official_name").agg(F.collect_set("day").alias("_days"))
+    met = covers.join(officials.filter("official_name IS NOT NULL"), place).filter(
+        (F.size("cover") == 0)
+        | F.exists("_days", lambda day: F.exists("cover", lambda span: day.between(span["first"], span["last"])))
+    )
+    listed = met.groupBy(*place, "cover").agg(F.array_join(F.array_sort(F.collect_list("official_name")), " | ").alias("officials"))
+    facts = counts.join(listed, [*place, "cover"], "left").join(places.drop("_all"), place)
+    first = F.when(F.size("cover") == 0, F.col("_first")).otherwise(F.try_element_at("cover", F.lit(1))["first"])
+    last = F.when(F.size("cover") == 0, F.col("_last")).otherwise(F.try_element_at("cover", F.lit(-1))["last"])
+    facts = facts.select(
+        *place, "cover", "registrant_name", "contacted_institution", F.col("_members").alias("contacts"),
+        F.date_from_unix_date(first).alias("first_contact"), F.date_from_unix_date(last).alias("last_contact"), "officials",
+    )
+    days = F.datediff("first_contact", "former_office_end").cast("long")
+    leads = matched.join(facts, [*place, "cover"]).select(
+        "lobbyist_id", "name", "former_public_office", "former_office_institution", "former_office_end",
+        "registrant_id", "registrant_name", "contacted_institution", "contacts", "first_contact",
+        "last_contact", days.alias("days_from_leaving_to_first_contact"), "officials",
+    )
     order = [
         F.col("contacts").desc(),
         F.col("days_from_leaving_to_first_contact").asc_nulls_last(),
@@ -911,32 +941,7 @@ def former_official_lobbies_former_institution(
         F.col("registrant_id"),
         F.col("contacted_institution"),
     ]
-    leads = top(
-        matched.join(counted_again, ends, "left")
-        .withColumn("contacts", F.when(several, F.col("all_contacts")).otherwise(F.col("term_contacts")))
-        .withColumn(
-            "days_from_leaving_to_first_contact", F.datediff("first_contact", "former_office_end").cast("long")
-        )
-        .drop("term_contacts", "all_contacts"),
-        order,
-        limit,
-    )
-    officials = contacts.select("registrant_id", "contacted_key", "contact_date", "official_name")
-    within = (
-        "_any_time OR exists(_ends, leaving -> "
-        f"datediff(contact_date, leaving) BETWEEN 0 AND {max_days_after_leaving})"
-    )
-    return (
-        with_joined_list(
-            leads, officials, ["registrant_id", "contacted_key"], "official_name", "officials", residual=within
-        )
-        .select(
-            "lobbyist_id", "name", "former_public_office", "former_office_institution", "former_office_end",
-            "registrant_id", "registrant_name", "contacted_institution", "contacts", "first_contact",
-            "last_contact", "days_from_leaving_to_first_contact", "officials",
-        )
-        .orderBy(*order)
-    )
+    return top(leads, order, limit)
 
 
 def contact_bursts(
@@ -990,4 +995,4 @@ def contact_bursts(
     )
     return with_joined_list(
         leads, contacts, ["registrant_id", "institution", "month"], "official_name", "officials"
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
-from leadspark.functions.relational import one_row, top, with_joined_list
+from leadspark.functions.relational import in_order, one_row, top, with_joined_list
 from leadspark.functions.text import decimal_round
 
 COMPETITIVE_METHODS = ("open", "selective")
@@ -289,4 +289,4 @@ def value_growth_after_award(
         "growth_ratio",
         "currency",
         "award_date",
-    ).orderBy(*order)
+    ).transform(in_order(order, limit))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -404,7 +405,8 @@ def run_detectors(
 
     A request is ``{"id": …, "fields": …, "columns": …, "parameters": …}``.
     Spark runs the detectors as branches of a union. ``max_output_rows`` keeps
-    the first rows of every detector in its own order.
+    the first rows of every detector in its own order (any rows of those that
+    have none).
     """
     from leadspark.plans.leads import to_leads
 
@@ -416,17 +418,18 @@ def run_detectors(
     unknown = {key for request in requests for key in request} - {"id", "fields", "columns", "parameters"}
     if unknown:
         raise RequestError(f"unknown request keys: {sorted(unknown)}")
+    if max_output_rows is not None:
+        checks.at_least("max_output_rows", max_output_rows, 1)
     leads = []
     for request in requests:
         id = str(request["id"])
+        parameters = dict(request.get("parameters") or {})
+        if max_output_rows is not None and "limit" in signature(detector(id).run).parameters:
+            parameters["limit"] = min(parameters.get("limit") or max_output_rows, max_output_rows)
         rows = run_detector(
-            id,
-            tables,
-            fields=request.get("fields"),
-            columns=request.get("columns"),
-            parameters=request.get("parameters"),
+            id, tables, fields=request.get("fields"), columns=request.get("columns"), parameters=parameters
         )
         if max_output_rows is not None:
-            rows = rows.limit(checks.at_least("max_output_rows", max_output_rows, 1))
+            rows = rows.limit(max_output_rows)
         leads.append(to_leads(rows, detector(id), provenance=provenance))
     return reduce(DataFrame.unionByName, leads)

@@ -116,7 +116,8 @@ def filter_leads(df: DataFrame, **filters: str) -> DataFrame:
     return df
 
 
-def _terms(query: str | None) -> list[str]:
+def query_terms(query: str | None) -> list[str]:
+    """The terms of a query: what stands between blanks."""
     if query is None:
         return []
     if not isinstance(query, str):
@@ -137,7 +138,7 @@ def match_terms(search_rows: DataFrame, query: str | None) -> DataFrame:
 
     Without terms every lead is kept with score 0.
     """
-    terms = _terms(query)
+    terms = query_terms(query)
     keys = ["signal_id", "run_id"]
     if not terms:
         return search_rows.select(*keys).distinct().select(
@@ -146,14 +147,19 @@ def match_terms(search_rows: DataFrame, query: str | None) -> DataFrame:
     matches = search_rows
     for term in terms:
         matches = matches.filter(folded(F.col("text")).contains(folded(F.lit(term))))
+    return matched_leads(matches)
+
+
+def matched_leads(matches: DataFrame) -> DataFrame:
+    """One row per lead of the search rows that match; the score counts them."""
     # A lead has as many fields as its detector has columns, so the list stays short.
-    return matches.groupBy(*keys).agg(
+    return matches.groupBy("signal_id", "run_id").agg(
         F.count(F.lit(1)).alias("query_score"), F.array_sort(F.collect_list("field")).alias("matched_on")
     )
 
 
 def _binding(query: str | None, filters: Mapping[str, str]) -> str:
-    text = json.dumps([" ".join(_terms(query)).casefold(), sorted(filters.items())])
+    text = json.dumps([" ".join(query_terms(query)).casefold(), sorted(filters.items())])
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 

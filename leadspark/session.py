@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,28 @@ def local_session(cores: int | str = "*", *, app: str = "leadspark", shuffle_par
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def _with_checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
             configured = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a folder of its own.
+    """
+    _with_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for tables that driver and executors share."""
+    return f"{_with_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.text import BEARER_TOKEN, SECRET_ASSIGNMENT, TOKEN_PREFIX, URL_USERINFO, redact_text
 from leadspark.operators import statistical
-from leadspark.plans import leads, match, profile, replay, search
+from leadspark.plans import leads, match, profile, replay, search, search_index
 from leadspark.plans.registry import detector, detectors
 from leadspark.sources.contracts import load_contract
+from leadspark.session import shared_folder
 from leadspark.sources.prepare import clean_values, convert_types, infer_types
 from leadspark.testbed.queries import Query, read, rounded
 
@@ -207,6 +208,20 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.withColumn("matched_on", F.array_join("matched_on", ","))
 
 
+# Query and language of the searches over the postings.
+INDEXED = (("The SRC1 source", "en"), ("thanedble ing", None), ("Le un", "fr"), ("no-such-word", None), ("É", "es"))
+
+
+def _search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search_index.write_index(_search_rows(spark, sf_dir), shared_folder(spark, "search-index"))
+    found = None
+    for query, lang in INDEXED:
+        one = search_index.match_indexed(index, query, **({"category": lang} if lang else {}))
+        one = one.select("*", F.lit(query).alias("query"))
+        found = one if found is None else found.unionByName(one)
+    return found.withColumn("matched_on", F.array_join("matched_on", ","))
+
+
 def _search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a search, reached by the cursor of the first page's last row."""
     rows = _search_rows(spark, sf_dir)
@@ -350,6 +365,7 @@ PLAN_QUERIES: dict[str, Query] = {
     "leads.fingerprint": _fingerprint,
     "search.build_search_rows": _build_search_rows,
     "search.match_terms": _search,
+    "search.match_indexed": _search_indexed,
     "search.page": _search_page,
     "replay.recompute": _recompute,
     "replay.replay": _replay,
@@ -524,6 +540,28 @@ FROM f
 WHERE (lang = 'en' AND contains(t, 'the') AND contains(t, 'src1') AND contains(t, 'source'))
    OR (lang = 'fr' AND contains(t, 'le') AND contains(t, 'un'))
 GROUP BY doc_id, source""",
+    "search.match_indexed": f"""
+WITH clean AS (
+    SELECT doc_id, source, lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+       {_sql_text(SECRET_ASSIGNMENT)}, '\\1=[redacted]', 'g'), {_sql_text(BEARER_TOKEN)}, 'Bearer [redacted]', 'g'),
+       {_sql_text(TOKEN_PREFIX)}, '[redacted]', 'g'), {_sql_text(URL_USERINFO)}, '\\1[redacted]@', 'g') AS text
+    FROM documents
+),
+f AS (
+    SELECT doc_id, source, lang, 'statement' AS field, lower(text) AS t FROM clean
+    UNION ALL SELECT doc_id, source, lang, 'preview.source', source FROM clean
+    UNION ALL SELECT doc_id, source, lang, 'preview.lang', lang FROM clean
+    UNION ALL SELECT doc_id, source, lang, 'detector.title', 'documents' FROM clean
+    UNION ALL SELECT doc_id, source, lang, 'detector.description', 'texts of the source' FROM clean
+),
+asked(query, category, terms) AS (
+    VALUES ('The SRC1 source', 'en', ['the', 'src1', 'source']), ('thanedble ing', NULL, ['thanedble', 'ing']),
+        ('Le un', 'fr', ['le', 'un']), ('no-such-word', NULL, ['no-such-word']), ('É', 'es', ['é'])
+)
+SELECT format('signal-{{:06d}}', doc_id) AS signal_id, source AS run_id, count(*) AS query_score,
+       string_agg(field, ',' ORDER BY field) AS matched_on, query
+FROM f JOIN asked ON (category IS NULL OR lang = category) AND len(list_filter(terms, lambda x: contains(t, x))) = len(terms)
+GROUP BY doc_id, source, query""",
     "search.page": f"""
 WITH clean AS (
     SELECT doc_id, source, lang, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,

@@ -211,7 +211,7 @@ def test_prolific_officer(spark):
         {"company_id": str(i), "controller_id": "st", "controller_name": "S", "controller_kind": "statement"} for i in range(9)
     ]
     found = companies.prolific_officer(
-        table(spark, "company_officers", officers), table(spark, "company_controllers", controllers), min_companies=6
+        table(spark, "company_officers", officers), table(spark, "company_controllers", controllers), min_companies=6, limit=100
     )
     assert rows(found, "candidate_id", "companies", "example_companies") == [
         ("officer|o", 7, "N000|N001|N002|N003|N004"),
@@ -298,7 +298,7 @@ def test_gift_from_litigant_or_counsel(spark):
             interest("gift", "Acmex", 2020),
         ],
     )
-    found = court.gift_from_litigant_or_counsel(cases, parties, counsel, interests)
+    found = court.gift_from_litigant_or_counsel(cases, parties, counsel, interests, limit=100)
     assert rows(found, "case_id", "matched_as", "benefit_source", "match_type", "report_year") == [
         ("1", "firm", "Big Firm", "exact", 2023),
         ("1", "party", "ACME Foundation", "prefix", 2018),
@@ -319,7 +319,7 @@ def test_judge_holds_party_stock(spark):
             interest("Investment", "Acm", 2020),
         ],
     )
-    found = court.judge_holds_party_stock(cases, parties, interests)
+    found = court.judge_holds_party_stock(cases, parties, interests, limit=100)
     columns = ["holding", "match_type", "first_report_year", "last_report_year", "max_value_low", "date_filed"]
     assert rows(found, *columns) == [
         ("Acme Widgets common stock", "exact", 2019, 2024, 5.0, d("2020-05-05")),
@@ -446,7 +446,7 @@ def test_issue_concentration_shifts(spark):
     filings = [filing("1", "2024-01-15", spend=100, issue_area="TAX| DEF "), filing("2", "2024-05-01", spend=150, issue_area="TAX|")]
     filings += [filing("3", "2024-05-01", registrant="M", spend=110, issue_area="DEF")]
     filings += [filing("4", "2024-01-01", issue_area="ENV"), filing("5", "2024-04-01", issue_area="ENV"), filing("6", "2024-04-01", registrant="M", issue_area="ENV")]
-    found = lobbying.issue_concentration_shifts(table(spark, "lobbying_registrations", filings))
+    found = lobbying.issue_concentration_shifts(table(spark, "lobbying_registrations", filings), limit=100)
     assert rows(found, "issue_area", "quarter", "spend_delta_pct", "registrants_delta_pct") == [
         ("TAX", d("2024-04-01"), 50.0, 0.0),
         ("ENV", d("2024-04-01"), None, 100.0),
@@ -663,7 +663,7 @@ def test_group_switch(spark):
         span("f", "Red", "2020-01-01", "2022-12-31"), span("f", "Blue", "2023-01-01"), span("f", "Blue", "2023-03-01"),
         span("e", "Red", "2020-01-01", kind="party"), span("e", "Blue", "2021-01-01", kind="party"),
     ]
-    found = parliamentary.group_switch(members(spark, "a"), table(spark, "parl_affiliations", spans))
+    found = parliamentary.group_switch(members(spark, "a"), table(spark, "parl_affiliations", spans), limit=100)
     assert rows(found, "member_id", "from_org", "to_org", "from_end", "switch_date") == [
         ("f", "Red", "Blue", d("2022-12-31"), d("2023-01-01")),
         ("a", "Red", "Blue", d("2020-06-01"), d("2020-06-02")),
@@ -702,7 +702,7 @@ def test_short_submission_period(spark):
         return process(id, method=method, tender_published_date="2024-01-10", tender_deadline=until)
 
     processes = [open_for("1", "2024-01-19"), open_for("2", "2024-01-20"), open_for("3", "2024-01-09"), open_for("4", "2024-01-10", None), open_for("5", "2024-01-11", "direct")]
-    found = procurement.short_submission_period(table(spark, "procurement_processes", processes))
+    found = procurement.short_submission_period(table(spark, "procurement_processes", processes), limit=100)
     assert rows(found, "process_id", "submission_days") == [("4", 0), ("1", 9)]
 
 
@@ -758,5 +758,5 @@ def test_parameters_are_checked(spark):
 
 def test_limit_none_keeps_every_lead(spark):
     many = table(spark, "companies", [company(f"{i:04}", previous_name_count=7) for i in range(250)])
-    assert companies.frequent_name_changes(many).count() == 200
-    assert companies.frequent_name_changes(many, limit=None).count() == 250
+    assert companies.frequent_name_changes(many).count() == 250
+    assert companies.frequent_name_changes(many, limit=200).count() == 200
