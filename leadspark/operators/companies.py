@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
@@ -20,19 +20,29 @@ SECRECY_JURISDICTIONS = (
 PRUNING_ROUNDS = 2
 
 
+def _further(walks: DataFrame, shorter: list[DataFrame], steps: DataFrame, closed: DataFrame | None, text: Column) -> DataFrame:
+    """Walks one company longer: the smallest text per (start, company reached) that no shorter walk reaches."""
+    if closed is not None:
+        walks = walks.join(closed, "start", "left_anti")
+    longer = walks.join(steps, "at").filter("next <> start").select("start", F.col("next").alias("at"), text.alias("path"))
+    for known in shorter:
+        longer = longer.join(known.select("start", "at"), ["start", "at"], "left_anti")
+    return cut_lineage(longer.groupBy("start", "at").agg(F.min("path").alias("path")))
+
+
 def circular_control(
     company_controllers: DataFrame, *, max_depth: int = 6, limit: int | None = None
 ) -> DataFrame:
     """Companies that control themselves through a chain of at most ``max_depth`` companies.
 
     The result is the shortest cycle per company, the smallest path text among
-    equally short ones. A breadth-first walk keeps one path per (start,
-    company reached): a shortest cycle is made of shortest walks, and of two
-    equally short walks to one company the smaller text stays smaller whatever
-    follows. Each round first looks for edges back to the start (a two-key
-    join), retires the companies that found their cycle, and extends only the rest.
-    Edges into companies that control nothing, or out of companies nothing is
-    controlled by, are pruned beforehand.
+    equally short ones. Walks of half the depth go up from every company and down to it,
+    and a cycle is where the two meet: both halves of a shortest cycle are shortest
+    walks, and of two equally short walks between two companies the smaller text stays
+    smaller whatever surrounds it. So one path per (company, company reached) is
+    kept, and none of more than half the depth. Companies that have found their
+    cycle go no further. Edges into companies that control nothing, or out of
+    companies nothing is controlled by, are pruned beforehand.
     """
     checks.integer("max_depth", max_depth, 1, 12)
     checks.row_limit(limit)
@@ -44,7 +54,7 @@ def circular_control(
         .select(F.col("company_id").alias("child"), F.col("controller_company_id").alias("parent"))
         .distinct()
     )
-    loops = edges.filter("child = parent").select(
+    found = edges.filter("child = parent").select(
         F.col("child").alias("start"),
         F.lit(1).alias("cycle_length"),
         F.concat_ws(" > ", "child", "parent").alias("cycle_path"),
@@ -57,39 +67,32 @@ def circular_control(
         controlling = core.select(F.col("parent").alias("child")).distinct()
         core = cut_lineage(core.join(controlled, "parent", "left_semi").join(controlling, "child", "left_semi"))
 
-    found = loops
-    walks = core.join(loops.select(F.col("start").alias("child")), "child", "left_anti").select(
-        F.col("child").alias("start"),
-        F.col("parent").alias("at"),
-        F.concat_ws(" > ", "child", "parent").alias("path"),
-    )
-    seen = walks.select("start", "at")
-    for depth in range(2, max_depth + 1):
-        closing = walks.join(
-            core.select(F.col("child").alias("at"), F.col("parent").alias("start")), ["at", "start"]
-        )
-        closed = cut_lineage(
-            closing.groupBy("start")
-            .agg(F.min(F.concat_ws(" > ", "path", "start")).alias("cycle_path"))
-            .select("start", F.lit(depth).alias("cycle_length"), "cycle_path")
-        )
-        found = found.unionByName(closed)
-        if depth == max_depth:
-            break
-        open_walks = walks.join(closed.select("start"), "start", "left_anti")
-        steps = open_walks.join(core.withColumnRenamed("child", "at"), "at").select(
-            "start", F.col("parent").alias("at"), F.concat_ws(" > ", "path", "parent").alias("path")
-        )
-        walks = cut_lineage(
-            steps.join(seen, ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("path").alias("path"))
-        )
-        if walks.isEmpty():
-            break
-        seen = seen.unionByName(walks.select("start", "at"))
+    upwards = core.select(F.col("child").alias("at"), F.col("parent").alias("next"))
+    downwards = core.select(F.col("parent").alias("at"), F.col("child").alias("next"))
+    # By length: walks from start up to ``at``, and what follows ``at`` on the way up to start.
+    ahead = [core.select(F.col("child").alias("start"), F.col("parent").alias("at"), F.concat_ws(" > ", "child", "parent").alias("path"))]
+    behind = [core.select(F.col("parent").alias("start"), F.col("child").alias("at"), F.col("parent").alias("path"))]
+    closed = found.select("start")
+    for length in range(2, max_depth + 1):
+        half, rest = (length + 1) // 2, length // 2
+        if len(ahead) < half:
+            ahead.append(_further(ahead[-1], ahead, upwards, closed, F.concat_ws(" > ", "path", "next")))
+            if ahead[-1].isEmpty():
+                break
+        if len(behind) < rest:
+            behind.append(_further(behind[-1], behind, downwards, closed, F.concat_ws(" > ", "at", "path")))
+        up, down = ahead[half - 1], behind[rest - 1].withColumnRenamed("path", "_after")
+        met = up.join(down, ["start", "at"]).groupBy("start").agg(F.min(F.concat_ws(" > ", "path", "_after")).alias("cycle_path"))
+        now = met.select("start", F.lit(length).alias("cycle_length"), "cycle_path")
+        if length <= max_depth - 2:  # longer walks follow: they start from open companies only
+            now = cut_lineage(now)
+            closed = closed.unionByName(now.select("start")).distinct()
+        found = found.unionByName(now)
 
+    shortest = found.groupBy("start").agg(F.min(F.struct("cycle_length", "cycle_path")).alias("_cycle"))
     return top(
-        found.select(
-            F.col("start").alias("candidate_id"), F.col("start").alias("company_id"), "cycle_length", "cycle_path"
+        shortest.select(
+            F.col("start").alias("candidate_id"), F.col("start").alias("company_id"), "_cycle.cycle_length", "_cycle.cycle_path"
         ),
         [F.col("cycle_length"), F.col("candidate_id")],
         limit,

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadspark.plans.search import filter_leads, folded, match_terms, matched_leads, query_terms
 
@@ -62,19 +63,32 @@ def write_index(search_rows: DataFrame, folder: str) -> SearchIndex:
     spark = search_rows.sparkSession
     numbered = search_rows.withColumn("folded", folded(F.col("text"))).withColumn("row_id", F.monotonically_increasing_id())
     block = F.shiftright("row_id", _TASK_BITS).cast("int")
-    numbered.withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
+    numbered = numbered.withColumn("block", block)
+    stored = numbered.schema
+    numbered.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/texts")
+    texts = spark.read.schema(stored).parquet(f"{folder}/texts")
     rows = texts.select("block", "row_id", F.explode(grams_of(F.col("folded"))).alias("gram")).withColumn("bucket", _bucket("gram"))
     dealt = rows.repartition("bucket", F.pmod("row_id", F.lit(SLICES))).sortWithinPartitions("bucket", "gram", "row_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings")
     counted = postings.groupBy("bucket", "gram").agg(F.count("*").alias("texts"))
     counted.repartition("bucket").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
-    return open_index(spark, folder)
+    return open_index(spark, folder, stored)
 
 
-def open_index(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("texts", "postings", "grams")])
+# Fixed layout of the two tables that only the index knows.
+_POSTINGS = "block int, row_id bigint, gram string, bucket int"
+_GRAMS = "gram string, texts bigint, bucket int"
+
+
+def open_index(spark: SparkSession, folder: str, texts: StructType | None = None) -> SearchIndex:
+    """The tables of a folder; ``texts`` is the schema of its texts, which an empty table does not tell."""
+    reader = spark.read if texts is None else spark.read.schema(texts)
+    return SearchIndex(
+        reader.parquet(f"{folder}/texts"),
+        spark.read.schema(_POSTINGS).parquet(f"{folder}/postings"),
+        spark.read.schema(_GRAMS).parquet(f"{folder}/grams"),
+    )
 
 
 def query_grams(index: SearchIndex, terms: list[str]) -> list[tuple[str, int, int]] | None:
