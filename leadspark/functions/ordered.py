@@ -110,6 +110,23 @@ def with_highest_before(
     )
 
 
+def with_row_number(df: DataFrame, order: Sequence[Column], name: str, *, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the number of each row in one global order, from 1.
+
+    Rows are dealt into ranges of the order and numbered inside; a range starts
+    after the sizes of the ranges before it, one number each. Rows that agree in every order
+    column stay in one range.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # Not more rows than ranges: one task adds them up, and a broadcast brings them back.
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).select(*df.columns, name)
+
+
 def distinct_in_forward_window(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadspark.functions.checks import at_least
+from leadspark.functions.ordered import with_row_number
 from leadspark.functions.relational import top
 from leadspark.functions.text import SENSITIVE_COLUMN, redact_text
 from leadspark.plans.registry import Detector
@@ -110,17 +112,17 @@ def leads_with_evidence(
     """Leads of one run over one prepared table, ranked, with a statement and evidence references.
 
     ``order`` is the detector's own order; without it leads rank by candidate.
-    All rows are ranked; ``max_output_rows`` keeps the first ones only.
+    All rows are ranked, in ranges of the order; ``max_output_rows`` keeps the first ones only.
     """
     if max_output_rows is not None:
         at_least("max_output_rows", max_output_rows, 1)
     candidate = _candidate(rows)
     order = list(order or [candidate])
-    rows = top(rows, order, max_output_rows)
+    rows = with_row_number(top(rows, order, max_output_rows), order, "_rank")
     category = F.col("category") if "category" in rows.columns else F.lit(detector.category)
     severity = F.col("severity") if "severity" in rows.columns else F.lit(detector.severity)
-    shown = [column for column, name in zip(_redacted(rows, "none"), rows.columns, strict=True) if not is_sensitive(name)]
-    ranked = Window.orderBy(*order)
+    own = rows.drop("_rank")
+    shown = [column for column, name in zip(_redacted(own, "none"), own.columns, strict=True) if not is_sensitive(name)]
     reported_on = F.current_date() if run_date is None else F.lit(run_date).cast("date")
     return rows.select(
         F.lit("lead").alias("status"),
@@ -135,7 +137,7 @@ def leads_with_evidence(
         category.alias("category"),
         severity.alias("severity"),
         redact_text(F.concat(category, F.lit(" lead for "), candidate)).alias("statement"),
-        F.row_number().over(ranked).alias("rank"),
+        F.col("_rank").alias("rank"),
         _evidence({table_id: {"source_id": source_id}}, candidate).alias("evidence_refs"),
         _json(shown).alias("preview"),
         F.lit(True).alias("redacted"),
@@ -221,16 +223,31 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return parts.select("rows", "hash_xor", "hash_sum", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("fingerprint"))
 
 
+RUN_FOLDERS = ("detector_id", "run_id")
+
+
 def write_leads(leads: DataFrame, path: str, *, format: str = "parquet") -> None:
-    """Append leads to a lead table, one folder per detector and run.
+    """Write leads to a lead table, one folder per detector and run.
 
-    Parquet is written with zstd; JSON gives one record per line.
+    What is written replaces the folders of its own detectors and runs and no others, so a
+    task, a job or a whole run can be repeated and every lead is there once; readers
+    see a folder's old rows or its new ones. A repeated run that finds nothing has no folder to
+    replace; remove the old one by hand. Parquet is written with zstd; JSON gives one record per line.
     """
-    folders = [name for name in ("detector_id", "run_id") if name in leads.columns]
-    writer = leads.write.mode("append").partitionBy(*folders)
+    missing = [name for name in RUN_FOLDERS if name not in leads.columns]
+    if missing:
+        raise ValueError(f"leads without {missing} cannot be told apart by run")
+    writer = leads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_FOLDERS)
     if format == "parquet":
         writer.option("compression", "zstd").parquet(path)
     elif format == "json":
         writer.json(path)
     else:
         raise ValueError("leads are written as parquet or json")
+
+
+def read_leads(spark: SparkSession, path: str, schema: StructType, *, format: str = "parquet") -> DataFrame:
+    """The leads of all runs in a lead table, with the columns of ``schema`` (those that were written)."""
+    if format not in ("parquet", "json"):
+        raise ValueError("leads are read as parquet or json")
+    return spark.read.schema(schema).format(format).load(path).select(*schema.names)

@@ -76,9 +76,30 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiles.conflicting_profiles(lines))
 
 
+def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by rounded balance, by neighbourhood, and a third of the even ones by one office."""
+    customers = read(spark, sf_dir, "customer")
+    one = customers.select(F.col("c_custkey").alias("entity"), F.lit("balance").alias("kind"), F.floor("c_acctbal").cast("string").alias("identifier"))
+    office = customers.filter("c_custkey % 6 = 0").select(F.col("c_custkey").alias("entity"), F.lit("office").alias("kind"), F.lit("Main").alias("identifier"))
+    lane = customers.filter("c_custkey % 10 < 4").select(
+        F.col("c_custkey").alias("entity"), F.lit("lane").alias("kind"), F.floor(F.col("c_custkey") / 10).cast("string").alias("identifier")
+    )
+    return one.unionByName(office).unionByName(lane)
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.shared_identifiers(_identifiers(spark, sf_dir), minimum_entities=2)
+
+
+def _infrastructure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.shared_infrastructure(_identifiers(spark, sf_dir), minimum_entities=3)
+
+
 PATTERN_QUERIES: dict[str, Query] = {
     "network.cross_commit_overlap": _overlap,
     "text.portfolio_cloning": _cloning,
+    "relational.shared_identifiers": _shared,
+    "network.shared_infrastructure": _infrastructure,
     "temporal.backdated_records": _backdated,
     "temporal.timezone_activity_shifts": _activity_shifts,
     "cross_dataset.location_conflicts": _conflicts,
@@ -100,7 +121,53 @@ met AS (
 _COLUMNS = """SELECT '{prefix}-' || ma || '-' || mb AS candidate_id, '{category}' AS category, 'medium' AS severity, ma AS member_id,
     mb AS other_id, ca AS members, cb AS others, na AS member_entities, nb AS other_entities, c AS common_entities"""
 
+_IDENTIFIERS = """
+WITH RECURSIVE ids AS (
+    SELECT c_custkey AS entity, 'balance' AS kind, CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS identifier FROM customer
+    UNION ALL SELECT c_custkey, 'office', 'Main' FROM customer WHERE c_custkey % 6 = 0
+    UNION ALL SELECT c_custkey, 'lane', CAST(c_custkey // 10 AS VARCHAR) FROM customer WHERE c_custkey % 10 < 4
+)"""
+
+# Longest chain that the reference SQL follows, level by level.
+_LEVELS = 14
+
+
+def _chains() -> str:
+    """Levels of a breadth-first search from the smallest entity of each cluster."""
+    levels = ["l0 AS (SELECT DISTINCT entity, root, CAST(entity AS VARCHAR) AS chain FROM rooted WHERE entity = root)"]
+    done = "SELECT entity, root, 0 AS hops, chain FROM l0"
+    seen = "SELECT entity FROM l0"
+    for level in range(1, _LEVELS + 1):
+        levels.append(
+            f"l{level} AS (SELECT b.entity, min(p.root) AS root, min(p.chain || ' [' || b.kind || ' ' || b.identifier || '] ' || b.entity) AS chain "
+            f"FROM l{level - 1} p JOIN s a ON a.entity = p.entity JOIN s b ON b.kind = a.kind AND b.identifier = a.identifier "
+            f"WHERE b.entity NOT IN ({seen}) GROUP BY b.entity)"
+        )
+        done += f" UNION ALL SELECT entity, root, {level}, chain FROM l{level}"
+        seen += f" UNION ALL SELECT entity FROM l{level}"
+    return ",\n".join(levels) + f",\nfound AS ({done})"
+
+
 PATTERN_ORACLES: dict[str, str] = {
+    "relational.shared_identifiers": f"""{_IDENTIFIERS},
+s AS (SELECT * FROM ids QUALIFY count(*) OVER (PARTITION BY kind, identifier) > 1),
+reach(root, entity) AS (
+    SELECT DISTINCT entity, entity FROM s
+    UNION
+    SELECT r.root, b.entity FROM reach r JOIN s a ON a.entity = r.entity
+    JOIN s b ON b.kind = a.kind AND b.identifier = a.identifier WHERE b.entity > r.root
+),
+rooted AS (SELECT entity, min(root) AS root FROM reach GROUP BY entity),
+{_chains()}
+SELECT 'shared-' || f.entity AS candidate_id, 'network' AS category, 'medium' AS severity, f.root AS cluster_id, f.entity,
+    n AS entities, f.hops, f.chain
+FROM found f JOIN (SELECT root, count(*) AS n FROM found GROUP BY root) USING (root) WHERE n >= 2""",
+    "network.shared_infrastructure": f"""{_IDENTIFIERS},
+u AS (SELECT *, count(*) OVER (PARTITION BY kind, identifier) AS n FROM ids),
+w AS (SELECT *, count(*) OVER (PARTITION BY entity) - 1 AS others FROM u WHERE n >= 3)
+SELECT 'infrastructure-' || kind || '-' || identifier AS candidate_id, 'network' AS category, 'medium' AS severity, kind, identifier,
+    count(*) AS entities, min(entity) AS first_entity, max(entity) AS last_entity, max(others) AS co_identifiers
+FROM w GROUP BY kind, identifier""",
     "network.cross_commit_overlap": f"{_SETS} {_COLUMNS.format(prefix='overlap', category='network')} FROM met WHERE c >= 3",
     "text.portfolio_cloning": f"""{_SETS} {_COLUMNS.format(prefix='clone', category='text')},
     round(c / (na + nb - c) + 0.0000003, 4) AS similarity

@@ -112,9 +112,7 @@ def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _match_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        _match(spark, sf_dir)
-        .filter("field_count > 0 OR compatible_tables > 0")
-        .select("detector_id", "data_fit", "compatible_tables", F.col("blocked_reason").isNotNull().alias("blocked"))
+        _match(spark, sf_dir).select("detector_id", "data_fit", "compatible_tables", F.col("blocked_reason").isNotNull().alias("blocked"))
     )
 
 
@@ -159,6 +157,18 @@ def _leads_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _write_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs in one lead table, the first of them written again after the second."""
+    found = _evidence(spark, sf_dir)
+    second = found.filter("rank % 2 = 0").withColumn("run_id", F.lit("r2"))
+    folder = shared_folder(spark, "leads")
+    for run in (found, second, found):
+        leads.write_leads(run, folder)
+    return leads.read_leads(spark, folder, found.schema).select(
+        "signal_id", "run_id", "detector_id", "candidate_id", "category", "severity", "statement", "rank", "review_state"
+    )
+
+
 def _leads_with_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"t1": {"source_id": "s1", "source_hash": "h1"}, "t2": {"source_id": "s2", "source_hash": "h2"}}
     found = leads.leads_with_lineage(
@@ -361,6 +371,7 @@ PLAN_QUERIES: dict[str, Query] = {
     "match.recommend": _recommend,
     "leads.to_leads": _to_leads,
     "leads.with_evidence": _leads_with_evidence,
+    "leads.write_leads": _write_leads,
     "leads.with_lineage": _leads_with_lineage,
     "leads.fingerprint": _fingerprint,
     "search.build_search_rows": _build_search_rows,
@@ -469,8 +480,22 @@ fits(detector_id, data_fit) AS (
     UNION ALL SELECT 'campaign_finance.structured_gifts', 1.0
 ),
 everyone(detector_id) AS (
-    SELECT detector_id FROM fits UNION
-    VALUES ('numeric.zscore_outliers'), ('numeric.level_shift'), ('table.missingness_clusters')
+    VALUES
+        ('numeric.zscore_outliers'), ('numeric.level_shift'), ('temporal.coverage_gaps'),
+        ('categorical.rare_levels'), ('table.duplicate_rows'), ('table.missingness_clusters'),
+        ('campaign_finance.maxed_donor_clusters'), ('campaign_finance.new_recipient_single_funder'), ('campaign_finance.structured_gifts'),
+        ('companies.circular_control'), ('companies.frequent_name_changes'), ('companies.prolific_officer'),
+        ('companies.rapid_dissolution'), ('companies.secrecy_jurisdiction_controller'), ('companies.shared_registered_address'),
+        ('court.gift_from_litigant_or_counsel'), ('court.judge_holds_party_stock'), ('court.long_pending_cases'),
+        ('court.repeat_party_before_judge'), ('court.single_judge_concentration'), ('lobbying.spending_spikes'),
+        ('lobbying.missing_spend_filings'), ('lobbying.revolving_door_candidates'), ('lobbying.foreign_filings'),
+        ('lobbying.single_client_juggernauts'), ('lobbying.pac_contribution_flow'), ('lobbying.issue_concentration_shifts'),
+        ('lobbying.new_registrant_surge'), ('lobbying.shell_pattern_filings'), ('lobbying.fara_gap_narrowed'),
+        ('lobbying.revolving_door_committee_match'), ('lobbying.committee_say_vs_pay'), ('lobbying.foreign_clients'),
+        ('lobbying.former_official_lobbies_former_institution'), ('lobbying.contact_bursts'), ('parliamentary.absence_outlier'),
+        ('parliamentary.group_rebellion_rate'), ('parliamentary.rebellion_rise'), ('parliamentary.group_switch'),
+        ('parliamentary.outside_interests_load'), ('procurement.single_bid_competitive'), ('procurement.short_submission_period'),
+        ('procurement.non_open_procedure_share'), ('procurement.supplier_share_outlier'), ('procurement.value_growth_after_award')
 )
 SELECT v.detector_id, round(f.data_fit + 0.0000003, 4) AS data_fit,
        CASE WHEN f.data_fit IS NOT NULL THEN 1 END AS compatible_tables, f.data_fit IS NULL AS blocked
@@ -509,6 +534,13 @@ SELECT {_signal("'numeric.zscore_outliers:t-events:' || candidate_id")} AS signa
        row_number() OVER (ORDER BY amount DESC, candidate_id) AS rank, 't-events' AS evidence_table,
        'unreviewed' AS review_state
 FROM flagged""",
+    "leads.write_leads": f"""
+WITH {_FLAGGED},
+r AS (SELECT *, row_number() OVER (ORDER BY amount DESC, candidate_id) AS rank FROM flagged)
+SELECT {_signal("'numeric.zscore_outliers:t-events:' || candidate_id")} AS signal_id, run_id, 'numeric.zscore_outliers' AS detector_id,
+       candidate_id, 'outlier' AS category, 'medium' AS severity, 'outlier lead for ' || candidate_id AS statement, rank,
+       'unreviewed' AS review_state
+FROM r JOIN (VALUES ('r1', 1), ('r2', 2)) AS runs(run_id, step) ON rank % step = 0""",
     "leads.with_lineage": f"""
 WITH {_FLAGGED}
 SELECT {_signal("'numeric.zscore_outliers:t1,t2:' || candidate_id")} AS signal_id, candidate_id, 't1' AS table_id,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fixtures import rows, table
 from leadspark.functions.ordered import distinct_in_forward_window, with_preceding_rows
 from leadspark.functions.text import address_key, decimal_round, name_key, redact_text, registrant_key
+from leadspark.functions.ordered import with_row_number
 from leadspark.plans import leads, match, profile, registry, replay, search
 from leadspark.sources import prepare, readers
 from leadspark.sources.contracts import CONTRACTS, ContractError, contract_schema, load_contract, map_roles
@@ -311,14 +312,37 @@ def test_fingerprint_ignores_order_but_not_repeats(spark):
     assert leads.fingerprint(df.limit(0)).first().rows == 0
 
 
-def test_write_leads(spark, evidence, tmp_path):
+def test_write_leads_can_be_repeated(spark, evidence, tmp_path):
     path = str(tmp_path / "leads")
-    leads.write_leads(evidence, path)
-    leads.write_leads(evidence, path)
-    again = spark.read.parquet(path)
-    assert again.count() == 6 and (tmp_path / "leads" / "detector_id=numeric.zscore_outliers" / "run_id=r1").is_dir()
-    leads.write_leads(evidence, str(tmp_path / "json"), format="json")
-    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    other = evidence.filter("rank = 1").withColumn("run_id", F.lit("run 2/b"))
+    for run in (evidence, other, evidence, other):
+        leads.write_leads(run, path)
+    again = leads.read_leads(spark, path, evidence.schema)
+    assert again.columns == evidence.columns
+    assert sorted(again.select("run_id", "candidate_id").collect()) == sorted(
+        evidence.unionByName(other).select("run_id", "candidate_id").collect()
+    )
+    assert (tmp_path / "leads" / "detector_id=numeric.zscore_outliers" / "run_id=r1").is_dir()
+    leads.write_leads(evidence.limit(1), path)  # fewer leads replace more, other runs stay
+    assert again.sparkSession.read.parquet(path).groupBy("run_id").count().collect() != []
+    assert leads.read_leads(spark, path, evidence.schema).count() == 2
+    for _ in range(2):
+        leads.write_leads(evidence, str(tmp_path / "json"), format="json")
+    assert leads.read_leads(spark, str(tmp_path / "json"), evidence.schema, format="json").count() == 3
+    with pytest.raises(ValueError):
+        leads.write_leads(evidence.drop("run_id"), path)
+    with pytest.raises(ValueError):
+        leads.write_leads(evidence, path, format="csv")
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_row_numbers_without_a_single_task(spark, partitions):
+    values = [(i * 37 % 101, i) for i in range(300)]
+    order = [F.col("v").desc(), F.col("i")]
+    numbered = with_row_number(spark.createDataFrame(values, "v long, i long"), order, "n", partitions=partitions)
+    want = {i: n for n, (_, i) in enumerate(sorted(values, key=lambda x: (-x[0], x[1])), 1)}
+    assert {row.i: row.n for row in numbered.collect()} == want
+    assert numbered.limit(0).count() == 0
 
 
 def test_search(spark, evidence):
