@@ -20,14 +20,22 @@ def _cases(court_cases: DataFrame, **columns: Column) -> DataFrame:
     return court_cases.groupBy("case_id").agg(*[value.alias(name) for name, value in columns.items()])
 
 
+def _with_name_key(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """``key``: the name key of column ``name``, worked out once for each distinct name."""
+    keyed = rows.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct().withColumn(key, name_key("_name"))
+    # A frequent name is split by adaptive execution: the other side has one row for it.
+    return rows.join(keyed, F.col(name) == F.col("_name")).drop("_name")
+
+
 def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min_name_length: int, year_slack: int):
     """Names of a case that equal, start or continue a name on its judge's disclosure.
 
     "One name is the other plus more words" becomes two equalities: a word
     prefix of the case name equals the disclosed name (A), or a proper word
     prefix of the disclosed name equals the case name (B). Both run in one hash
-    join on (judge, key, A or B), so the names of a judge are never paired with
-    all interests of that judge.
+    join on (judge, key, A or B) of distinct keys alone, so the names of a judge are
+    never paired with all interests of that judge; cases and interests are
+    joined to the pairs of keys that match.
     """
     long_names = names.filter(F.length("name_key") >= min_name_length)
     long_interests = interests.filter(F.length("interest_key") >= min_name_length)
@@ -37,17 +45,21 @@ def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min
 
     name_key_column, interest_key_column = F.col("name_key"), F.col("interest_key")
     proper_prefixes = F.filter(word_prefixes(interest_key_column), lambda key: key != interest_key_column)
-    judged = long_names.join(cases, "case_id").withColumn(
+    heard = long_names.join(cases.select("case_id", "judge_id"), "case_id").select("judge_id", "name_key").distinct()
+    judged = heard.withColumn(
         "_key",
         F.explode(F.concat(marked(word_prefixes(name_key_column), "A"), marked(F.array(name_key_column), "B"))),
     )
-    disclosed = long_interests.withColumn(
+    disclosed = long_interests.select("judge_id", "interest_key").distinct().withColumn(
         "_key", F.explode(F.concat(marked(F.array(interest_key_column), "A"), marked(proper_prefixes, "B")))
     )
+    # Equal keys meet by A and by their whole name, so pairs are made distinct.
+    pairs = judged.join(disclosed, ["judge_id", "_key"]).drop("_key")
+    pairs = pairs.withColumn("match_type", F.when(F.col("interest_key") == F.col("name_key"), "exact").otherwise("prefix"))
+    pairs = pairs.distinct()
     return (
-        judged.join(disclosed, ["judge_id", "_key"])
-        .drop("_key")
-        .withColumn("match_type", F.when(F.col("interest_key") == F.col("name_key"), "exact").otherwise("prefix"))
+        long_interests.join(pairs, ["judge_id", "interest_key"])
+        .join(long_names.join(cases, "case_id"), ["judge_id", "name_key"])
         .filter(
             (F.col("report_year") >= F.year("date_filed") - year_slack)
             & (F.col("date_terminated").isNull() | (F.col("report_year") <= F.year("date_terminated") + year_slack))
@@ -92,8 +104,8 @@ def gift_from_litigant_or_counsel(
             )
         )
         .distinct()
-        .withColumn("name_key", name_key("matched_name"))
     )
+    named = _with_name_key(named, "matched_name", "name_key")
     interest = F.lower("interest_type")
     benefits = judge_interests.filter(interest.isin("gift", "reimbursement") & F.col("report_year").isNotNull()).select(
         "judge_id",
@@ -145,9 +157,7 @@ def judge_holds_party_stock(
         judge_name=F.min("assigned_judge_name"),
         url=F.min("url"),
     )
-    parties = case_parties.select("case_id", "party_name", "party_role").distinct().withColumn(
-        "name_key", name_key("party_name")
-    )
+    parties = _with_name_key(case_parties.select("case_id", "party_name", "party_role").distinct(), "party_name", "name_key")
     # The report rows of one year say the same; only bounds and one link are reported.
     holdings = (
         judge_interests.filter((F.lower("interest_type") == "investment") & F.col("report_year").isNotNull())

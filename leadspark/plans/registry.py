@@ -10,7 +10,17 @@ from inspect import signature
 from pyspark.sql import DataFrame, SparkSession
 
 from leadspark.functions import checks
-from leadspark.operators import campaign_finance, companies, court, lobbying, parliamentary, procurement, statistical
+from leadspark.operators import (
+    campaign_finance,
+    companies,
+    court,
+    lobbying,
+    networks,
+    parliamentary,
+    procurement,
+    sequences,
+    statistical,
+)
 from leadspark.sources.contracts import contract_schema, load_contract, map_roles
 
 
@@ -302,7 +312,43 @@ RELEASED: tuple[Detector, ...] = (
     ),
 )
 
+def _draft(id: str, run: Callable[..., DataFrame], roles: str, title: str, description: str) -> Detector:
+    names = tuple(roles.split())
+    return Detector(
+        id=id, run=run, title=title, description=description, category=id.split(".", 1)[0], severity="medium", roles=names
+    )
+
+
+# Detectors with own definitions: they run by id, but are not matched with tables or recommended.
+DRAFTS: tuple[Detector, ...] = (
+    _draft(
+        "network.cross_commit_overlap", networks.cross_commit_overlap, "member entity",
+        "Cross-commit overlap", "Members that share several entities.",
+    ),
+    _draft(
+        "text.portfolio_cloning", networks.portfolio_cloning, "member entity",
+        "Portfolio cloning", "Members with nearly the same portfolio.",
+    ),
+    _draft(
+        "relational.shared_identifiers", networks.shared_identifiers, "entity kind identifier",
+        "Shared identifiers", "Entities connected by identifiers, with the chain that connects them.",
+    ),
+    _draft(
+        "network.shared_infrastructure", networks.shared_infrastructure, "entity kind identifier",
+        "Shared infrastructure", "Identifiers that several entities use.",
+    ),
+    _draft(
+        "temporal.backdated_records", sequences.backdated_records, "id entity sequence observed_at",
+        "Backdated records", "Records dated before records with smaller numbers.",
+    ),
+    _draft(
+        "temporal.timezone_activity_shifts", sequences.timezone_activity_shifts, "entity observed_at",
+        "Activity shifts", "Entities whose usual hour of activity moves.",
+    ),
+)
+
 _REGISTRY: dict[str, Detector] = {detector.id: detector for detector in RELEASED}
+_DRAFTS: dict[str, Detector] = {draft.id: draft for draft in DRAFTS}
 
 
 def detectors() -> dict[str, Detector]:
@@ -311,7 +357,7 @@ def detectors() -> dict[str, Detector]:
 
 def detector(id: str) -> Detector:
     try:
-        return _REGISTRY[id]
+        return _REGISTRY.get(id) or _DRAFTS[id]
     except KeyError:
         raise RequestError(f"no detector named {id}") from None
 
@@ -333,7 +379,7 @@ def register_detector(
     SQL names its tables in braces, ``{donations}``; a detector over mapped
     columns reads ``{table}``. Parameters are named markers (``:minimum``).
     """
-    if id in _REGISTRY:
+    if id in _REGISTRY or id in _DRAFTS:
         raise RequestError(f"a detector named {id} exists")
     if bool(tables) == bool(roles):
         raise RequestError("a detector reads either contract tables or mapped roles")

@@ -11,6 +11,7 @@ from leadspark.functions import setjoin
 from leadspark.functions.checks import ParameterError
 from leadspark.functions.ordered import with_highest_before
 from leadspark.operators import networks, profiles, sequences
+from leadspark.plans import registry
 
 # ---------------------------------------------------------------- sets
 
@@ -109,6 +110,61 @@ def test_networks_edge_cases(spark):
         networks.portfolio_cloning(empty, minimum_similarity=0.5)
 
 
+def chains(edges):
+    """(root, hops, chain) by entity: breadth first from the smallest entity of each component."""
+    users = defaultdict(set)
+    for entity, kind, identifier in edges:
+        users[kind, identifier].add(entity)
+    beside = defaultdict(set)
+    for key, entities in users.items():
+        for entity in entities if len(entities) > 1 else ():
+            beside[entity] |= {(key, other) for other in entities if other != entity}
+    found = {}
+    for root in sorted(beside):
+        if root in found:
+            continue
+        found[root] = (root, 0, str(root))
+        level = [root]
+        while level:
+            offers = defaultdict(list)
+            for entity in level:
+                for (kind, identifier), other in beside[entity]:
+                    if other not in found:
+                        offers[other].append(f"{found[entity][2]} [{kind} {identifier}] {other}")
+            hops = found[level[0]][1] + 1
+            for other, texts in offers.items():
+                found[other] = (root, hops, min(texts))
+            level = list(offers)
+    return found
+
+
+def test_shared_identifiers_equal_breadth_first_search(spark):
+    rng = random.Random(8)
+    edges = {(i, "phone", str(rng.randint(0, 60))) for i in range(90)} | {(i, "office", "Main") for i in range(0, 90, 3)}
+    edges |= {(200 + i, "line", str(i // 2)) for i in range(14)} | {(200 + i, "rope", str((i + 1) // 2)) for i in range(14)}
+    edges |= {(300, "phone", "only"), (301, "line", "60")}
+    rows = [*edges, *list(edges)[:20], (None, "phone", "1"), (5, None, "1"), (5, "phone", None)]
+    frame = spark.createDataFrame(rows, "entity long, kind string, identifier string").selectExpr("*", "1 AS root", "2 AS best")
+    want = chains(edges)
+    got = networks.shared_identifiers(frame).collect()
+    assert {row.entity: (row.cluster_id, row.hops, row.chain) for row in got} == want
+    assert max(hops for _, hops, _ in want.values()) > 10
+    sizes = Counter(root for root, _, _ in want.values())
+    assert all(row.entities == sizes[row.cluster_id] for row in got)
+    only = networks.shared_identifiers(frame, kinds=["line"], minimum_entities=3).collect()
+    assert only == []
+    wide = networks.shared_infrastructure(frame, minimum_entities=3).collect()
+    users = defaultdict(set)
+    for entity, kind, identifier in edges:
+        users[kind, identifier].add(entity)
+    used = {key: entities for key, entities in users.items() if len(entities) >= 3}
+    others = {entity: sum(entity in e for e in used.values()) - 1 for e in used.values() for entity in e}
+    assert {(r.kind, r.identifier): (r.entities, r.first_entity, r.last_entity, r.co_identifiers) for r in wide} == {
+        key: (len(e), min(e), max(e), max(others[x] for x in e)) for key, e in used.items()
+    }
+    assert networks.shared_identifiers(frame.limit(0)).count() == networks.shared_infrastructure(frame.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- sequences
 
 DAY = dt.datetime(2024, 3, 1)
@@ -233,3 +289,17 @@ def test_conflicting_profiles_equal_brute_force(spark):
     for bad in (["id"], [], ["nope"], ["town", "town"]):
         with pytest.raises(ParameterError):
             profiles.conflicting_profiles(frame, attributes=bad)
+
+
+# ---------------------------------------------------------------- registry
+
+
+def test_drafts_run_by_id_but_are_not_offered(spark):
+    assert not {draft.id for draft in registry.DRAFTS} & set(registry.detectors())
+    edges = spark.createDataFrame([(m, e) for m in (1, 2) for e in "abc"] + [(3, "a")], "who long, what string")
+    request = {"id": "network.cross_commit_overlap", "fields": {"member": "who", "entity": "what"}}
+    found = registry.run_detectors(edges, [request]).collect()
+    assert [(row.detector_id, row.candidate_id, row.category) for row in found] == [("network.cross_commit_overlap", "overlap-1-1", "network")]
+    for draft in registry.DRAFTS:
+        with pytest.raises(registry.RequestError):
+            registry.register_detector(draft.id, "SELECT 1", roles=["id"])
