@@ -49,8 +49,13 @@ def _as_float(text: Column) -> Column:
 
 
 def _as_instant(text: Column) -> Column:
-    """ISO date or time as an instant; a time without zone is UTC (the session zone)."""
-    return F.when(text.rlike(INSTANT_TEXT), text.try_cast("timestamp"))
+    """ISO date or time as an instant; without a zone it is UTC, whatever the zone of the session."""
+    zoned = (
+        F.when(~text.contains(":"), F.concat(text, F.lit("T00:00:00Z")))
+        .when(text.rlike(r"[T ][\d:.]+$"), F.concat(text, F.lit("Z")))
+        .otherwise(text)
+    )
+    return F.when(text.rlike(INSTANT_TEXT), zoned.try_cast("timestamp"))
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -108,7 +113,7 @@ def convert_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
         elif kind == "string" and wanted == "datetime":
             value = _as_instant(value)
         elif kind == "timestamp_ntz" and wanted == "datetime":
-            value = value.cast("timestamp")
+            value = F.convert_timezone(F.lit("UTC"), F.current_timezone(), value).cast("timestamp")
         columns.append(value.cast(PREPARED_TYPES[wanted]).alias(name))
     return df.select(*columns)
 

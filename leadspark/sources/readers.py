@@ -25,11 +25,20 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise SourceError(f"no reader for {path}")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may go on in the next line: a line then has an odd number of quotes."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
     """CSV as text columns; repeated header names and ragged rows are errors.
 
     Spark renames repeated headers silently, so the header line is read first.
-    A row with another number of fields than the header fails the job.
+    A row with another number of fields than the header fails the job. Files without
+    line breaks inside quotes are split between tasks; the lines are looked through
+    once to find out, unless ``multi_line`` says so (a file with breaks is one task).
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
@@ -48,7 +57,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .option("multiLine", True)
+        .option("multiLine", _breaks_in_quotes(spark, path) if multi_line is None else multi_line)
         .option("escape", '"')
         .csv(path)
     )
