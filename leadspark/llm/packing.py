@@ -25,8 +25,8 @@ from leadspark.llm.common import cut
 from leadspark.llm.vocabulary import byte_letters, chunks, pieces, specials
 from leadspark.session import cut_lineage
 
-# Chunks and pre-tokens remembered in a Python worker, before the memory is emptied.
-REMEMBERED = 250_000
+# Chunks and pre-tokens remembered in a Python worker, before the memory is emptied (about 100 MB each).
+REMEMBERED = 600_000
 _ID = 4  # bytes of an id
 
 
@@ -47,8 +47,10 @@ class TokenBytes:
     def _piece(self, piece: str) -> bytes:
         found = self.of_piece.get(piece)
         if found is None:
-            shown = "".join(self.letters[b] for b in piece.encode())
-            found = np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
+            # Printable ASCII characters stand for themselves.
+            plain = piece.isascii() and piece.isprintable()
+            shown = piece if plain else "".join(self.letters[b] for b in piece.encode())
+            found = b"".join([token.id.to_bytes(_ID, "little") for token in self.model.tokenize(shown)])
             self.of_piece[piece] = found
         return found
 
