@@ -8,7 +8,8 @@ members; members that are already in one component need no comparison, and a
 pivot that has met its whole group leaves it. After the first round, members
 that hold too many shingles of their own for any further link leave too. Rounds go on with more and more
 pivots until every group lies in one component, so every two members of a group
-are either compared or known to be connected, without ever forming all pairs.
+are either compared or known to be connected. In a group whose members are not
+linked but share many bands that is up to all pairs of them.
 A comparison is an estimate from the registers first; what may be similar is
 confirmed on the full sets.
 """

@@ -4,8 +4,9 @@ Documents lie in blocks of a few megabytes; windows are counted in shards of a
 hash space. Blocks and shards only exchange short binary messages:
 
 1. Every block counts its windows in a sketch of two rows and sends each shard
-   of the sketch its own non-empty cells (gaps between cell numbers, one byte
-   each as a rule). A shard adds the sketches of all blocks up. The sum never
+   of the sketch its own non-empty cells (gaps between cell numbers, one byte for
+   every 255 cells of a gap: as the cells grow with the table, so do the messages
+   of a block). A shard adds the sketches of all blocks up. The sum never
    underestimates a window's count.
 2. A shard answers each block with one bit per cell it sent: total of two or
    more. A window with both bits set is estimated to be repeated. Only those
