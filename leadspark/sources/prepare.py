@@ -50,10 +50,12 @@ def _as_float(text: Column) -> Column:
 
 def _as_instant(text: Column) -> Column:
     """ISO date or time as an instant; without a zone it is UTC, whatever the zone of the session."""
+    # A cast to an instant reads a zone only after seconds.
+    full = F.regexp_replace(text, r"([T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})?$", "$1:00$2")
     zoned = (
         F.when(~text.contains(":"), F.concat(text, F.lit("T00:00:00Z")))
-        .when(text.rlike(r"[T ][\d:.]+$"), F.concat(text, F.lit("Z")))
-        .otherwise(text)
+        .when(full.rlike(r"[T ][0-9:.]+$"), F.concat(full, F.lit("Z")))
+        .otherwise(full)
     )
     return F.when(text.rlike(INSTANT_TEXT), zoned.try_cast("timestamp"))
 

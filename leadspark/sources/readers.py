@@ -38,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None)
     Spark renames repeated headers silently, so the header line is read first.
     A row with another number of fields than the header fails the job. Files without
     line breaks inside quotes are split between tasks; the lines are looked through
-    once to find out, unless ``multi_line`` says so (a file with breaks is one task).
+    once to find out, unless ``multi_line`` says so (True: a file is one task; False is
+    for files known to have no such breaks, whose parts would be read as rows).
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:

@@ -191,6 +191,31 @@ def test_readers_agree_on_one_table(spark, tmp_path):
         readers.read_table(spark, "t.xlsx")
 
 
+def test_csv_is_split_unless_quotes_hold_line_breaks(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('id,note\n1,"say ""no"", please"\n2,x\n')
+    broken.write_text('id,note\n1,"two\nlines, ""quoted"""\n2,x\n')
+    assert not readers._breaks_in_quotes(spark, str(plain)) and readers._breaks_in_quotes(spark, str(broken))
+    assert sorted(map(tuple, readers.read_csv(spark, str(plain)).collect())) == [("1", 'say "no", please'), ("2", "x")]
+    assert sorted(map(tuple, readers.read_csv(spark, str(broken)).collect())) == [("1", 'two\nlines, "quoted"'), ("2", "x")]
+
+
+def test_instants_without_a_zone_are_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-03-01", "2024-03-01T12:30", "2024-03-01 12:30:15.5", "2024-03-01T12:30Z", "2024-03-01T12:30+02:00"]
+    want = [1709251200, 1709296200, 1709296215.5, 1709296200, 1709289000]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn(
+            "n", F.when(F.col("i") == 0, F.lit("2024-03-01 00:00:00")).cast("timestamp_ntz")
+        )
+        made = prepare.convert_types(frame, {"i": "integer", "t": "datetime", "n": "datetime"})
+        seen = made.orderBy("i").select(F.unix_micros("t") / 1e6, F.unix_micros("n") / 1e6).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [row[0] for row in seen] == want and seen[0][1] == want[0]
+
+
 def test_strict_sources(spark, tmp_path):
     (tmp_path / "repeat.csv").write_text("a,a\n1,2\n")
     with pytest.raises(readers.SourceError, match="repeats"):
