@@ -2,20 +2,31 @@
 
 Documents with equal shingle sets are one class. A class has one register per
 bucket: of the smallest hash in it, the number of leading zeros and the next
-bits. Bands of registers make groups of classes that may be similar. In a
-group, pivots (those in the largest groups first) are compared with all other
-members; members that are already in one component need no comparison, and a
-pivot that has met its whole group leaves it. After the first round, members
-that hold too many shingles of their own for any further link leave too. Rounds go on with more and more
-pivots until every group lies in one component, so every two members of a group
-are either compared or known to be connected. In a group whose members are not
-linked but share many bands that is up to all pairs of them.
-A comparison is an estimate from the registers first; what may be similar is
-confirmed on the full sets.
+bits. Bands of registers make groups of classes that may be similar.
+
+Two rounds, whatever the data:
+
+1. In each group one leader (the class in the most and largest groups) meets the
+   others: one pair per member at most. A group of two is done then, and so is a
+   group whose members are all linked to each other over leaders.
+2. Members of what is left are split by a prefix filter on their full sets:
+   shingles are ordered by rarity, those that only one component holds first;
+   two classes of different components meet only in a shingle that is early
+   enough in both for the similarity, and only if what follows it can still hold
+   enough common ones. Edited copies of one text or pages of one template begin with
+   shingles of their own, so they do not meet; no link is lost by this.
+
+In both rounds a pair is estimated from the registers first, and what may be
+similar is confirmed on the full sets, which are made and written once. The
+pairs of the second round are bounded by the classes of other components that
+share an early shingle, not by a group's size; many classes that are barely below
+the similarity and have next to no shingles of their own would still meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from leadspark.llm.common import map_texts
-from leadspark.llm.components import component_labels, drawn_in, labels_of, merged
+from leadspark.llm.components import component_labels, merged
 from leadspark.llm.url_filter import bloom_blocks, bloom_hit
 from leadspark.llm.words import WordNumbers, mixed, runs
 from leadspark.session import cut_lineage
@@ -40,8 +51,9 @@ COLLISION = 1 / (3 << MANTISSA)
 # Estimates may fall this many standard deviations short before a pair is given up.
 DEVIATIONS = 5.5
 PROBES = 64
-FILTER_BLOCKS = 16_384
-PIVOT_GROWTH = 4
+# Bits of the Bloom filter for each wanted id; at most FILTER_BLOCKS blocks of 256 bits (8 MB) are broadcast.
+FILTER_BITS = 16
+FILTER_BLOCKS = 262_144
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -168,57 +180,78 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, hashes) of at least the classes of the documents with the ``wanted`` ids, one row for each class.
+    """(key, hashes) of the ``wanted`` classes (key, id: a document of it), one row for each.
 
-    Only documents that pass a Bloom filter (512 kB) of the ids make their sets
-    again; a join on the class key takes the others out. Any number of copies
-    may pass: a task tells a class once, before the shuffle, and what several
-    tasks tell becomes one row.
+    Only documents that pass a Bloom filter of the ids make their sets again (its
+    size follows their number, up to 8 MB: beyond some millions of ids more
+    documents pass). The join on the class key takes the others out. Any number of
+    copies may pass: a task tells a class once, before the shuffle, and what
+    several tasks tell becomes one row.
     """
-    blocks = F.broadcast(bloom_blocks(wanted, FILTER_BLOCKS, "id"))
-    chosen = bloom_hit(docs, blocks, FILTER_BLOCKS, "id").select("id", "text")
+    ids = wanted.select("id")
+    size = min(FILTER_BLOCKS, max(1, ids.count() * FILTER_BITS // 256))
+    blocks = F.broadcast(bloom_blocks(ids, size, "id"))
+    chosen = bloom_hit(docs, blocks, size, "id").select("id", "text")
     made = map_texts(
         chosen, [("key", "binary"), ("hashes", "array<bigint>")], lambda: _sets(width), id_col="id", text_col="text"
     )
-    return made.where("key IS NOT NULL").select("key", "hashes").dropDuplicates(["key"])
-
+    made = made.where("key IS NOT NULL").select("key", "hashes")
+    return made.join(merged(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
 
-def _linkable(groups: DataFrame, active: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``groups`` without the members whose own shingles rule out every link to another component.
 
-    A link needs ``percent`` per cent of a member's shingles in a member of
-    another component. Shingles that only one component of the groups holds can
-    not be among them. Edited copies of one text mostly hold so many of their own
-    that they need no comparison with each other.
-    """
-    nodes = groups.select("key", F.xxhash64("label").alias("part")).distinct()
-    nodes = cut_lineage(nodes.join(merged(active.select("key", "n", F.col("first_id").alias("id"))), "key"))
-    sets = _full_sets(docs, nodes.select("id"), width)
-    held = nodes.select("key", "part").join(merged(sets), "key")
-    held = cut_lineage(held.select(F.xxhash64("key").alias("node"), "part", F.explode("hashes").alias("hash")))
-    owned = held.groupBy("hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = high")
-    private = held.join(merged(owned.select("hash")), "hash").groupBy("node").agg(F.count("*").alias("own"))
-    out = nodes.withColumn("node", F.xxhash64("key")).join(merged(private), "node")
-    out = out.where(100 * (F.col("n") - F.col("own")) < percent * F.col("n")).select("key")
-    return groups.join(merged(out), "key", "left_anti")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    wanted = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
-    made = _full_sets(docs, wanted, width)
-    one = made.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
-    other = made.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full ``sets`` have the similarity."""
+    one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
+    other = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     joined = pairs.select("a", "b").join(merged(other), "b").join(merged(one), "a")
     linked = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
     return joined.where(linked).select("a", "b")
 
 
-def _uneven(groups: DataFrame) -> DataFrame:
-    """The groups that lie in more than one component."""
-    uneven = groups.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return groups.join(merged(uneven.select("band")), "band")
+def _rest(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, part) of the classes of ``groups`` (band, key) that hold more than one component."""
+    parted = groups.join(merged(labels), "key", "left").select(
+        "band", "key", F.xxhash64(F.coalesce("label", "key")).alias("part")
+    )
+    uneven = parted.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return parted.join(merged(uneven.select("band")), "band", "left_semi").select("key", "part").distinct()
+
+
+def _meeting(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of different components in ``rest`` (key, part) that a prefix filter leaves.
+
+    Every pair that has the similarity is among them. With sizes na >= nb it has
+    at least p * (na + nb) / (100 + p) common shingles. So its first common one (in one
+    order of all shingles) is among the first na - p * na / 100 + 1 of the larger and
+    the first nb - 2 * p * nb / (100 + p) + 1 of the smaller set (required numbers rounded up).
+    """
+    held = rest.join(merged(sets), "key").select(
+        "key", "part", F.size("hashes").cast("bigint").alias("n"), F.explode("hashes").alias("shingle")
+    )
+    known = held.groupBy("shingle").agg(
+        F.count("*").alias("times"), (F.min("part") < F.max("part")).alias("common")
+    )
+    order = Window.partitionBy("key").orderBy("common", "times", "shingle")
+    placed = held.join(merged(known), "shingle").withColumn("place", F.row_number().over(order))
+    early = placed.where(f"common AND place <= n - (({percent} * n + 99) DIV 100) + 1")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        columns = [F.col(c).alias(c + name) for c in ("key", "part", "n", "place")]
+        return rows.select(F.col("shingle").alias("shingle" + name), *columns)
+
+    least = 100 + percent
+    larger = side(early, "_a")
+    smaller = side(early.where(f"place <= n - ((2 * {percent} * n + {least - 1}) DIV {least}) + 1"), "_b")
+    met = larger.join(
+        merged(smaller),
+        F.expr(
+            "shingle_a = shingle_b AND part_a <> part_b AND (n_a > n_b OR n_a = n_b AND key_a > key_b)"
+            f" AND 100 * n_b >= {percent} * n_a"
+            f" AND {least} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)"
+        ),
+    )
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def near_components(
@@ -236,8 +269,9 @@ def near_components(
     never the smallest; it is kept only where it is alone. Other columns are not
     read; an empty table gives no rows.
 
-    Which pairs are compared rests on the bands (see BANDS); nothing else loses
-    a link. Registers, groups and links are written to the checkpoint folder.
+    Which classes are compared rests on the bands (see BANDS); nothing else loses
+    a link. Registers, groups, sets of the classes in question and links are written
+    to the checkpoint folder.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sketched = cut_lineage(
@@ -255,32 +289,25 @@ def near_components(
     banded = classes.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(banded.join(merged(shared), "band"))
-    crowd = members.groupBy("key").agg(F.sum("size").alias("crowd"))
-    active = cut_lineage(classes.join(merged(crowd), "key").select("key", "first_id", "n", "registers", "crowd"))
-    groups = members.join(merged(active.select("key", "crowd")), "key").select(
-        "band", "key", "crowd", F.col("key").alias("label")
-    )
-    edges = None
-    pivots = 1
-    while not groups.isEmpty():
-        order = Window.partitionBy("band").orderBy(F.desc("crowd"), "key")
-        leading = groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
-        lead = leading.select("band", F.col("key").alias("a"), F.col("label").alias("la"))
-        pairs = groups.join(merged(lead), "band").where("label <> la AND a <> key").select("a", F.col("key").alias("b"))
-        pairs = cut_lineage(_promising(pairs.distinct(), active, percent))
-        edges = drawn_in(edges, _confirmed(pairs, texts, width, percent))
-        labels = labels_of(edges).withColumnRenamed("node", "key")
-        rest = groups.join(merged(leading.select("band", "key")), ["band", "key"], "left_anti").drop("label")
-        rest = rest.join(merged(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        groups = cut_lineage(_uneven(rest))
-        if pivots == 1 and not groups.isEmpty():
-            groups = cut_lineage(_uneven(_linkable(groups, active, texts, width, percent)))
-        pivots *= PIVOT_GROWTH
-    named = classes.select("key", "first_id", F.col("key").alias("label"))
-    if edges is not None:
-        nothing = active.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        labels = component_labels(nothing, edges).withColumnRenamed("node", "key")
-        named = named.drop("label").join(merged(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    crowd = members.groupBy("key").agg(F.sum("size").alias("crowd"), F.max("size").alias("widest"))
+    active = cut_lineage(classes.join(merged(crowd), "key").select("key", "first_id", "n", "registers", "crowd", "widest"))
+    ranked = members.join(merged(active.select("key", "crowd")), "key")
+    leaders = ranked.groupBy("band").agg(F.max(F.struct("crowd", "key")).getField("key").alias("leader"))
+    led = members.join(merged(leaders), "band").where("key <> leader")
+    first = led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    first = cut_lineage(_promising(first, active, percent))
+    wanted = [first.select(F.col(c).alias("key"), F.col("id" + c).alias("id")) for c in ("a", "b")]
+    wanted += [active.where("widest > 2").select("key", F.col("first_id").alias("id"))]
+    wanted = cut_lineage(reduce(DataFrame.unionByName, wanted).dropDuplicates(["key"]))
+    sets = cut_lineage(_full_sets(texts, wanted, width))
+    stars = cut_lineage(component_labels(_confirmed(first, sets, percent)))
+    labels = stars.withColumnRenamed("node", "key")
+    rest = cut_lineage(_rest(led.where("size > 2").select("band", "key"), labels))
+    second = cut_lineage(_promising(_meeting(rest, sets, percent), active, percent))
+    stars = stars.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    labels = component_labels(_confirmed(second, sets, percent), stars).withColumnRenamed("node", "key")
+    named = classes.select("key", "first_id").join(merged(labels), "key", "left")
+    named = named.withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_key = named.join(merged(smallest), "label").select("key", "component_id")
     found = sketched.select("id", "n", "key").join(merged(of_key), "key", "left")
@@ -297,7 +324,8 @@ def near_components(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id (then text hash).
 
-    Rows are told apart by id and text. Of rows that repeat both, one stays.
+    Rows are told apart by id and text. Of rows that repeat both, the one stays whose
+    columns come first as JSON text.
     """
     mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     marked = docs.select(mark.alias("mark"), F.col(text_col).alias("text"))
@@ -305,5 +333,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = found.groupBy("mark").agg(F.count("*").alias("_times")).withColumnRenamed("mark", "_mark")
     met = docs.select(F.struct("*").alias("_row"), mark.alias("_mark")).join(kept, "_mark")
     once = met.where("_times = 1").select("_row.*")
-    again = met.where("_times > 1").dropDuplicates(["_mark"]).select("_row.*")
+    again = met.where("_times > 1").groupBy("_mark").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return once.unionByName(again)

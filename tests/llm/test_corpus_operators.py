@@ -131,7 +131,38 @@ def test_full_sets_are_one_for_each_class(spark):
     docs = documents(spark, texts).select(F.lit(1).alias("id"), F.col("text").cast("binary").alias("text")).repartition(3)
     made = near_dedup._sets(5)([texts[0].encode(), texts[8].encode()])
     pairs = spark.createDataFrame([(bytearray(made[0][0]), bytearray(made[0][1]), 1, 1)], "a binary, b binary, ida int, idb int")
-    assert near_dedup._confirmed(pairs, docs, 5, 85).count() == 1
+    wanted = pairs.selectExpr("a AS key", "ida AS id").union(pairs.select("b", "idb"))
+    sets = near_dedup._full_sets(docs, wanted, 5)
+    assert sets.count() == 2
+    assert near_dedup._confirmed(pairs, sets, 85).count() == 1
+
+
+def _prefix_pairs(spark, texts, parts=None):
+    """What the prefix filter leaves of the classes of ``texts``, as places in it, and the sets."""
+    of = near_dedup._sets(5)([t.encode() for t in texts])
+    place = {key: i for i, key in enumerate(of[0])}
+    assert None not in place
+    sets = [[int(h) for h in hashes] for hashes in of[1]]
+    rest = spark.createDataFrame([(bytearray(k), parts[i] if parts else i) for k, i in place.items()], "key binary, part long")
+    held = spark.createDataFrame([(bytearray(k), sets[i]) for k, i in place.items()], "key binary, hashes array<long>")
+    rows = near_dedup._meeting(rest, held, 85).collect()
+    return [tuple(sorted((place[bytes(r.a)], place[bytes(r.b)]))) for r in rows], [set(s) for s in sets]
+
+
+def test_prefixes_lose_no_link_and_pages_of_a_template_do_not_meet(spark):
+    texts = list(dict.fromkeys(" ".join(words(t.lower())) for t in _near_texts() if words(t)))
+    got, sets = _prefix_pairs(spark, texts)
+    linked = {
+        (i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    }
+    assert len(got) == len(set(got)) and linked <= set(got) and len(linked) > 15
+    parts = [i // 2 for i in range(len(sets))]
+    got, _ = _prefix_pairs(spark, texts, parts)
+    assert {(i, j) for i, j in linked if parts[i] != parts[j]} <= set(got) and all(parts[i] != parts[j] for i, j in got)
+    rng = random.Random(6)
+    common = prose(rng, 400)
+    pages = [" ".join(common + [f"p{i}w{k}" for k in range(46)]) for i in range(60)]
+    assert _prefix_pairs(spark, pages)[0] == []
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -141,6 +172,8 @@ def test_one_document_of_each_group_stays(spark):
     kept = keep_one(docs.union(docs.limit(3)), percent=80)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    same = spark.createDataFrame([(1, "a b c", "z"), (1, "a b c", "k"), (2, "a b c", "a")], "doc_id long, text string, _row string")
+    assert [tuple(r) for r in keep_one(same).collect()] == [(1, "a b c", "k")]
 
 
 def test_components_of_chains_and_loops(spark):
