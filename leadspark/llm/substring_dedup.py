@@ -4,15 +4,16 @@ Documents lie in blocks of a few megabytes; windows are counted in shards of a
 hash space. Blocks and shards only exchange short binary messages:
 
 1. Every block counts its windows in a sketch of two rows and sends each shard
-   of the sketch its own non-empty cells (gaps between cell numbers, one byte for
-   every 255 cells of a gap: as the cells grow with the table, so do the messages
-   of a block). A shard adds the sketches of all blocks up. The sum never
+   of the sketch its own non-empty cells (gaps between cell numbers, seven bits a
+   byte: at most four bytes a cell, since a shard has 2^22 cells, however large the
+   table is). A shard adds the sketches of all blocks up. The sum never
    underestimates a window's count.
 2. A shard answers each block with one bit per cell it sent: total of two or
    more. A window with both bits set is estimated to be repeated. Only those
    windows are sent on, by their exact 96-bit fingerprint, to be grouped.
 3. The exact groups answer with one bit per window; the block removes the words
-   that windows of two or more occurrences cover.
+   that windows of two or more occurrences cover. Where its candidates start is a
+   message of the block to itself, so texts are hashed twice, not a third time.
 
 A window that occurs in a third of all documents is one entry per block. The
 number of cells and blocks follows from the bytes of the texts.
@@ -38,7 +39,9 @@ BYTES_PER_CELL = 3
 SHARD_BITS = 22
 EXACT_SHARD_BITS = 20
 ROWS = 2
-_STOP = 255
+# A byte holds seven bits of a gap, and a mark if more follow.
+_GROUP = 7
+_MORE = 1 << _GROUP
 
 _MESSAGE = "shard long, block long, gaps binary, twice binary"
 _EXACT_MESSAGE = "shard long, block long, high binary, low binary, twice binary"
@@ -46,17 +49,31 @@ _ANSWER = "block long, shard long, exact boolean, bits binary"
 
 
 def encode_gaps(cells: np.ndarray) -> bytes:
-    """Ascending cell numbers as bytes: each gap as any number of 255s and a rest below 255."""
+    """Ascending cell numbers as bytes: each gap in groups of seven bits, the lowest first; all but its last are marked."""
     gaps = np.diff(cells, prepend=0)
-    ends = np.cumsum(gaps // _STOP + 1)
-    out = np.full(ends[-1] if len(ends) else 0, _STOP, np.uint8)
-    out[ends - 1] = gaps % _STOP
+    sizes = np.ones(len(gaps), np.int64)
+    more = gaps >> _GROUP
+    while more.any():
+        sizes += more > 0
+        more >>= _GROUP
+    ends = np.cumsum(sizes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for i in range(int(sizes.max(initial=0))):
+        has = sizes > i
+        marked = np.where(sizes[has] > i + 1, _MORE, 0)
+        out[ends[has] - sizes[has] + i] = (gaps[has] >> (_GROUP * i)) & (_MORE - 1) | marked
     return out.tobytes()
 
 
 def decode_gaps(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps < _STOP]
+    groups = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(groups < _MORE)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    gaps = np.zeros(len(ends), np.int64)
+    for i in range(int((ends - starts).max(initial=-1)) + 1):
+        has = starts + i <= ends
+        gaps[has] |= (groups[starts[has] + i].astype(np.int64) & (_MORE - 1)) << (_GROUP * i)
+    return np.cumsum(gaps)
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -67,20 +84,36 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def _words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
+    """The words of each text, and where each text ends among all of them."""
+    split = [text.split() if text else [] for text in texts]
+    return split, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+
+
+def pack_candidates(shards: list[tuple[int, int, int]], starts: np.ndarray, of: np.ndarray) -> bytes:
+    """A block's message to itself: (shard, first, end) of its distinct windows, each candidate's first word and window."""
+    parts = [np.array([len(shards)], np.int64), np.array(shards, np.int64).ravel(), starts.astype(np.uint32), of.astype(np.uint32)]
+    return b"".join(part.tobytes() for part in parts)
+
+
+def unpack_candidates(raw: bytes) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    held = int(np.frombuffer(raw, np.int64, 1)[0])
+    shards = np.frombuffer(raw, np.int64, 3 * held, 8).reshape(-1, 3)
+    starts, of = np.frombuffer(raw, np.uint32, offset=8 + 24 * held).reshape(2, -1).astype(np.int64)
+    return list(map(tuple, shards.tolist())), starts, of
+
+
 class _Block:
     """The windows of one block of documents."""
 
     def __init__(self, texts: list[bytes | None], width: int, shards: int, words: WordNumbers):
-        self.texts = [text.split() if text else [] for text in texts]
-        self.width = width
+        split, ends = _words(texts)
         self.shards = shards
-        flat = [word for words in self.texts for word in words]
-        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-        self.ends = np.cumsum(sizes)
+        flat = [word for held in split for word in held]
         numbers = words.of(flat)
         # A run that reaches into the next document is no window.
         inside = np.ones(max(0, len(flat) - width + 1), bool)
-        for end in self.ends[:-1]:
+        for end in ends[:-1]:
             inside[max(0, end - width + 1) : end] = False
         self.at = np.flatnonzero(inside)
         self.high = runs(numbers[:, 0], width, 0)[self.at]
@@ -199,17 +232,17 @@ def remove_repeated_windows(
     def estimated(key, table, answers):
         if not table.num_rows:
             return _table([], exact_message)
-        _, _, high, low, counts = block_of(table).candidates(answers_of(answers, False))
+        held = block_of(table)
+        chosen, of, high, low, counts = held.candidates(answers_of(answers, False))
         block = key[0].as_py()
-        return _table(
-            [
-                (shard, block, high[a:b].tobytes(), low[a:b].tobytes(), _bits(counts[a:b] > 1))
-                for shard, a, b in _exact_shards(high, exact_bits)
-            ],
-            exact_message,
-        )
+        bounds = _exact_shards(high, exact_bits)
+        rows = [(shard, block, high[a:b].tobytes(), low[a:b].tobytes(), _bits(counts[a:b] > 1)) for shard, a, b in bounds]
+        own = pack_candidates(bounds, held.at[chosen], of)
+        return _table([*rows, (-1 - block, block, own, b"", b"")], exact_message)
 
     def grouped(key, table):
+        if key[0].as_py() < 0:  # a block's message to itself
+            return _table([(-1 - key[0].as_py(), 0, False, raw) for raw in table.column("high").to_pylist()], answer)
         highs = [np.frombuffer(raw, np.uint64) for raw in table.column("high").to_pylist()]
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint32)
         twice = [_flags(raw, len(h)) for raw, h in zip(table.column("twice").to_pylist(), highs, strict=True)]
@@ -241,19 +274,19 @@ def remove_repeated_windows(
         schema = to_arrow_schema(output)
         if not table.num_rows:
             return schema.empty_table()
-        block = block_of(table)
-        chosen, of, high, _, _ = block.candidates(answers_of(answers, False))
-        repeated = np.zeros(len(high), bool)
+        texts, ends = _words(table.column("text").to_pylist())
+        bounds, starts, of = unpack_candidates(answers_of(answers, False)[0])
+        repeated = np.zeros(bounds[-1][2] if bounds else 0, bool)
         exact = answers_of(answers, True)
-        for shard, a, b in _exact_shards(high, exact_bits):
+        for shard, a, b in bounds:
             repeated[a:b] = _flags(exact[shard], b - a)
-        starts = block.at[chosen[repeated[of]]]
-        marks = np.zeros((int(block.ends[-1]) if len(block.ends) else 0) + 1, np.int64)
+        starts = starts[repeated[of]]
+        marks = np.zeros(int(ends[-1]) + 1, np.int64)
         np.add.at(marks, starts, 1)
         np.add.at(marks, starts + width, -1)
         gone = np.cumsum(marks)[:-1] > 0
         n_words, n_removed, kept, start = [], [], [], 0
-        for held, end in zip(block.texts, block.ends.tolist(), strict=True):
+        for held, end in zip(texts, ends.tolist(), strict=True):
             lost = int(np.count_nonzero(gone[start:end]))
             if lost:
                 left = [word for word, out in zip(held, gone[start:end].tolist(), strict=True) if not out]
@@ -270,8 +303,7 @@ def remove_repeated_windows(
     cell_answers = by_block.applyInArrow(sketched, _MESSAGE).groupBy("shard").applyInArrow(added, _ANSWER)
     candidates = by_block.cogroup(cell_answers.groupBy("block")).applyInArrow(estimated, _EXACT_MESSAGE)
     exact_answers = candidates.groupBy("shard").applyInArrow(grouped, _ANSWER)
-    answers = cell_answers.unionByName(exact_answers)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(removed, output)
+    return by_block.cogroup(exact_answers.groupBy("block")).applyInArrow(removed, output)
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:

@@ -62,6 +62,26 @@ def test_gaps_round_trip():
         assert decode_gaps(encode_gaps(array)).tolist() == cells
 
 
+def test_messages_of_sparse_cells_stay_small():
+    import numpy as np
+
+    top = 1 << substring_dedup.SHARD_BITS
+    for step in (1, 127, 128, 255, 256, 16_383, 16_384, 1 << 20, top - 1):
+        cells = np.arange(0, top, step)
+        raw = encode_gaps(cells)
+        assert decode_gaps(raw).tolist() == cells.tolist()
+        assert len(raw) <= 4 * len(cells)
+
+
+def test_own_candidates_come_back():
+    import numpy as np
+
+    for bounds, starts, of in (([(3, 0, 2), (9, 2, 5)], [7, 1, 9, 2, 0, 4], [0, 1, 2, 3, 4, 4]), ([], [], [])):
+        raw = substring_dedup.pack_candidates(bounds, np.array(starts, np.int64), np.array(of, np.int64))
+        got = substring_dedup.unpack_candidates(raw)
+        assert (got[0], got[1].tolist(), got[2].tolist()) == (bounds, starts, of)
+
+
 def _brute_components(texts, percent):
     sets = []
     for text in texts:
