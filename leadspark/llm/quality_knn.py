@@ -1,8 +1,7 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
-Terms are words and their shapes, hashed to a fixed number of buckets. Document
-frequencies come from all documents. A bounded sample of labelled documents
-spans the latent space (singular vectors of its weighted term matrix) and stands
+Terms are words and their shapes, hashed to a fixed number of buckets. A bounded
+sample of labelled documents gives their document frequencies, spans the latent space (singular vectors of its weighted term matrix) and stands
 in it as voters; it is broadcast, and every document is compared with all of it
 in blocks of cosine products.
 """
@@ -91,32 +90,6 @@ class Terms:
         return found
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """In how many documents each bucket occurs, and how many there are: over all rows."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("held", T.LongType())])
-
-    def run(batches):
-        arrow = to_arrow_schema(schema)
-        terms = Terms()
-        held = np.zeros(BUCKETS + 1, np.int64)
-        for batch in batches:
-            for part in cut(batch, 0):
-                texts = part.column(0).to_pylist()
-                held[BUCKETS] += len(texts)
-                for buckets, _ in terms.of(texts):
-                    held[buckets] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(held[some])], schema=arrow
-        )
-
-    sums = docs.select(text_col).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("held").alias("held"))
-    held = np.zeros(BUCKETS + 1, np.int64)
-    for row in sums.collect():  # at most BUCKETS + 1 rows
-        held[row["bucket"]] = row["held"]
-    return held[:BUCKETS], int(held[BUCKETS])
-
-
 @dataclass
 class Space:
     """Weights and directions of the buckets; unit vectors and labels of the voters."""
@@ -138,9 +111,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, frequencies, total: int, rank: int) -> Space:
-    """The latent space of the sample: eigenvectors of its Gram matrix, carried over to the buckets."""
-    weights = np.log((1 + total) / (1 + frequencies)).astype(np.float32) + 1
+def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int) -> Space:
+    """The latent space of the sample: eigenvectors of its Gram matrix, carried over to the buckets.
+
+    A bucket weighs more the fewer documents of the sample have it.
+    """
+    frequencies = np.bincount(np.concatenate([buckets for buckets, _ in features]), minlength=BUCKETS)
+    weights = np.log((1 + len(features)) / (1 + frequencies)).astype(np.float32) + 1
     matrix = np.zeros((len(features), BUCKETS), np.float32)
     for row, (buckets, counts) in zip(matrix, features, strict=True):
         row[buckets] = _weighted(buckets, counts, weights)
@@ -202,8 +179,9 @@ def quality_scores(
     """id, held_out, score and predicted for every whole text: how likely ``label_col`` is 1.
 
     Voters are at most ``voters`` labelled rows that are not held out
-    (:func:`held_out`), chosen by a hash; they and the term weights are all that
-    the driver sees and broadcasts. ``score`` is the share of label 1 among the
+    (:func:`held_out`), chosen by a hash, one text (of the smallest hash) for each
+    id and label; they and the term weights from them are all that the driver sees and
+    broadcasts. ``score`` is the share of label 1 among the
     ``neighbours`` nearest voters, each weighted by its cosine to the power of
     ``sharpness``; predicted is 1 from 0.5 on. NULL, empty and unknown texts get
     the voters' mean label, and 0.5 if there are no voters. Labels that are NULL
@@ -215,16 +193,18 @@ def quality_scores(
         F.col("label").isNotNull() & ~held_out(F.col("_id"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # Voters are chosen by id alone; only the texts of the chosen (at most ``voters`` rows to broadcast) go on.
+    # Voters are distinct (id, label), chosen by id alone; only the texts of the chosen (at most ``voters`` rows to
+    # broadcast) go on. Of an id's texts the one with the smallest hash teaches, so repeated ids do not add rows.
     chosen = (
         texts.select("id")
         .join(known, F.col("id") == F.col("_id"))
         .select("_id", "label")
+        .distinct()
         .orderBy(F.xxhash64(F.col("_id").cast("string")), "label")
         .limit(voters)
-        .distinct()
     )
     taught = texts.join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+    taught = taught.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     made = map_texts(
         taught.select(F.struct("id", "label").alias("key"), "text"),
         [("buckets", "array<int>"), ("counts", "array<bigint>")],
@@ -236,8 +216,7 @@ def quality_scores(
     parts = None
     if rows:
         features = [(np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
-        frequencies, total = document_frequencies(docs, text_col)
-        space = fit(features, np.array([r["label"] for r in rows], np.float64), frequencies, total, rank)
+        space = fit(features, np.array([r["label"] for r in rows], np.float64), rank)
         parts = (space.weights, space.directions, space.voters, space.labels, space.prior)
     # At most (BUCKETS + voters) * rank numbers.
     sent = docs.sparkSession.sparkContext.broadcast(parts)

@@ -225,6 +225,38 @@ def test_the_driver_sees_no_features(spark, monkeypatch):
     assert seen and not any({"buckets", "shares"} & set(columns) for columns in seen)
 
 
+def test_votes_are_those_of_plain_cosines():
+    import numpy as np
+
+    from leadspark.llm.quality_knn import BLOCK_ROWS, Space, votes
+
+    rng = np.random.default_rng(5)
+    voters = rng.normal(size=(40, 6))
+    voters /= np.linalg.norm(voters, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 40).astype(float)
+    rows = rng.normal(size=(BLOCK_ROWS + 30, 6))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[7] = 0
+    got = votes(rows, Space(None, None, voters, labels, 0.25), 5, 4.0)
+    for row, score in zip(rows, got, strict=True):
+        near = sorted(((float(row @ v), y) for v, y in zip(voters, labels, strict=True)), reverse=True)[:5]
+        weights = [max(c, 0.0) ** 4 for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else 0.25
+        assert abs(score - want) < 1e-9
+
+
+def test_repeated_ids_add_no_voters(spark, monkeypatch):
+    frame, seen = type(spark.range(0)), []
+    kept = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(kept(self)) or seen[-1])
+    rng = random.Random(7)
+    texts = [(i % 10, _in_language(rng, "en") if i % 2 else "BUY!! " * 30, "x") for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 30, "doc_id long, quality int")
+    quality_scores(docs, labels, voters=20)
+    assert len(seen) == 1 and 0 < len(seen[0]) == len({(r["id"], r["label"]) for r in seen[0]}) <= 10
+
+
 def test_quality_held_out_accuracy_and_edges(spark):
     rng = random.Random(6)
     texts = [_in_language(rng, "en") if i % 3 else "BUY!! " * 30 for i in range(240)] + [None, ""]
