@@ -91,16 +91,21 @@ def _words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
 
 
 def pack_candidates(shards: list[tuple[int, int, int]], starts: np.ndarray, of: np.ndarray) -> bytes:
-    """A block's message to itself: (shard, first, end) of its distinct windows, each candidate's first word and window."""
-    parts = [np.array([len(shards)], np.int64), np.array(shards, np.int64).ravel(), starts.astype(np.uint32), of.astype(np.uint32)]
-    return b"".join(part.tobytes() for part in parts)
+    """A block's message to itself: (shard, first, end) of its distinct windows, each candidate's first word and window.
+
+    Candidates are in the order of their windows, so one bit each tells where the next window begins.
+    """
+    fresh = np.packbits(np.diff(of, prepend=-1) > 0)
+    head = np.array([len(shards), len(starts)], np.int64)
+    return b"".join(part.tobytes() for part in (head, np.array(shards, np.int64).ravel(), starts.astype(np.uint32), fresh))
 
 
 def unpack_candidates(raw: bytes) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    held = int(np.frombuffer(raw, np.int64, 1)[0])
-    shards = np.frombuffer(raw, np.int64, 3 * held, 8).reshape(-1, 3)
-    starts, of = np.frombuffer(raw, np.uint32, offset=8 + 24 * held).reshape(2, -1).astype(np.int64)
-    return list(map(tuple, shards.tolist())), starts, of
+    held, n = np.frombuffer(raw, np.int64, 2).tolist()
+    at = 16 + 24 * held
+    shards = np.frombuffer(raw, np.int64, 3 * held, 16).reshape(-1, 3)
+    starts = np.frombuffer(raw, np.uint32, n, at).astype(np.int64)
+    return list(map(tuple, shards.tolist())), starts, np.cumsum(_flags(raw[at + 4 * n :], n), dtype=np.int64) - 1
 
 
 class _Block:
