@@ -11,7 +11,8 @@ weights and one number of each held-back text, never the texts' features.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadspark.llm.common import map_texts
+from leadspark.llm.words import mixed
 from leadspark.session import cut_lineage
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
+# Ids beyond twice the sample that are ranked for a language: small languages are ranked whole.
+SPARE = 200
+# Characters whose n-grams are made at once, however long a word is.
+BLOCK_CODES = 500_000
 # Chunks remembered in a Python worker, before the memory is emptied.
 REMEMBERED = 250_000
 # The sample is trained on in at most PARTS parts, of about PART_TEXTS texts at least.
@@ -36,16 +42,38 @@ UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def subwords(chunk: str) -> list[int]:
-    """Buckets of the words in a chunk: boundaries count as characters, words as wholes too."""
-    found = []
-    for run in _LETTERS.findall(chunk.lower()):
-        word = run if run.isalpha() else "".join(filter(str.isalpha, run))
-        if word:
-            marked = f"<{word}>"
-            grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-            found += [zlib.crc32(gram.encode()) % BUCKETS for gram in grams]
-    return found
+def words_of(chunk: str) -> list[str]:
+    """The runs of letters in a chunk, in small letters."""
+    runs = _LETTERS.findall(chunk.lower())
+    return [word for word in (r if r.isalpha() else "".join(filter(str.isalpha, r)) for r in runs) if word]
+
+
+def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``words``, buckets) of their n-grams and of whole words, in blocks; boundaries count as characters."""
+    if not words:
+        return
+    codes = np.frombuffer("".join(f"<{word}>" for word in words).encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    starts = np.cumsum(lengths) - lengths
+    whole = np.zeros(len(words), np.uint64)
+    for first in range(0, len(codes), BLOCK_CODES):
+        held = of[first : first + BLOCK_CODES]
+        places = (np.arange(first, first + len(held)) - starts[held]).astype(np.uint64)
+        np.add.at(whole, held, mixed(places << np.uint64(32) | codes[first : first + BLOCK_CODES].astype(np.uint64)))
+        for n in GRAMS:
+            # A gram is known by where it begins; the block lends itself the next codes.
+            last = of[first + n - 1 : first + n - 1 + len(held)]
+            inside = held[: len(last)] == last
+            gram = np.full(len(last), n, np.uint64)
+            for i in range(n):
+                gram = gram * np.uint64(1_114_117) + codes[first + i : first + i + len(last)]
+            yield held[: len(last)][inside], _bucket(gram[inside])
+    yield np.arange(len(words), dtype=np.int32), _bucket(whole)
+
+
+def _bucket(hashed: np.ndarray) -> np.ndarray:
+    return (mixed(hashed) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 @dataclass
@@ -210,10 +238,14 @@ def parts_of(n_texts: int) -> int:
 def _features(texts: list[str | None]) -> list[list]:
     buckets, shares = [], []
     for text in texts:
-        ids = [bucket for chunk in (text or "").split() for bucket in subwords(chunk)]
-        distinct, counts = np.unique(np.array(ids, np.int64), return_counts=True)
+        words = Counter(word for chunk in (text or "").split() for word in words_of(chunk))
+        times = np.fromiter(words.values(), np.float64, len(words))
+        counts = np.zeros(BUCKETS)
+        for of, ids in subwords(list(words)):
+            counts += np.bincount(ids, times[of], BUCKETS)
+        distinct = np.flatnonzero(counts)
         buckets.append(distinct.tolist())
-        shares.append((counts / max(1, counts.sum())).tolist())
+        shares.append((counts[distinct] / max(1.0, counts.sum())).tolist())
     return [buckets, shares]
 
 
@@ -236,21 +268,25 @@ def learn(
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where(~held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    held = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Distinct ids, so that a row repeated many times is one text of the sample; 2 % off at most as a rule.
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.col("id").cast("string"), 0.02).alias("n"))
+    held = {row["lang"]: max(1, row["n"]) for row in counts.collect()}
     if not held:
         return None
     most = max(1, min(sample_per_language, sample_total // len(held)))
     n_texts = sum(min(n, most) for n in held.values())
-    # Chosen by id alone; only the texts of the chosen (a bounded number of ids to broadcast) go on.
-    mixed = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")))
-    chosen = (
-        labelled.select("id", "lang")
-        .withColumn("place", F.row_number().over(mixed))
-        .where(F.col("place") <= most)
-        .dropDuplicates(["id", "lang"])
-    )
+    # Chosen by id alone, and ranked only below a hash that about twice the wanted number of ids have; only the
+    # texts of the chosen (a bounded number of ids to broadcast) go on.
+    below = [(lang, min(2**63 - 1, int(2**64 * min(1.0, (2 * most + SPARE) / n)) - 2**63)) for lang, n in held.items()]
+    below = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    drawn = labelled.select("id", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("id").cast("string")).alias("drawn"))
+    drawn = drawn.join(F.broadcast(below), "lang").where("drawn <= below").select("id", "lang", "drawn").distinct()
+    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "id")))
+    chosen = chosen.where(F.col("place") <= most).drop("drawn")
+    texts = labelled.join(F.broadcast(chosen), ["id", "lang"])
+    texts = texts.groupBy(F.struct("lang", "place").alias("key")).agg(F.min("text").alias("text"))
     made = map_texts(
-        labelled.join(F.broadcast(chosen), ["id", "lang"]).select(F.struct("lang", "place").alias("key"), "text"),
+        texts,
         [("buckets", "array<int>"), ("shares", "array<float>")],
         lambda: _features,
         id_col="key",
@@ -273,6 +309,19 @@ def learn(
     return train(sample, n_texts, langs, **training)
 
 
+def _sums(chunks: list[str], model: Model | None, width: int) -> np.ndarray:
+    """For each chunk, the sum of its subwords' embeddings and, last, their number."""
+    rows = np.zeros((len(chunks), width + 1))
+    split = list(map(words_of, chunks))
+    owner = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, split), np.int64, len(split)))
+    for of, ids in subwords([word for words in split for word in words]) if model else ():
+        at = owner[of]
+        for column in range(width):
+            rows[:, column] += np.bincount(at, model.embedding[ids, column], len(chunks))
+        rows[:, width] += np.bincount(at, minlength=len(chunks))
+    return rows
+
+
 def _predictor(model: Model | None):
     width = model.embedding.shape[1] if model else 0
     place: dict[str, int] = {}
@@ -285,14 +334,8 @@ def _predictor(model: Model | None):
             place.clear()
             table = table[:0]
         new = list({chunk for chunks in split for chunk in chunks}.difference(place))
-        rows = np.zeros((len(new), width + 1))
-        for row, chunk in zip(rows, new, strict=True):
-            ids = subwords(chunk)
-            row[width] = len(ids)
-            if ids and model:
-                row[:width] = model.embedding[ids].sum(axis=0)
+        table = np.concatenate([table, _sums(new, model, width)])
         place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        table = np.concatenate([table, rows])
         langs, scores, rejected = [], [], []
         for chunks in split:
             total = table[np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)

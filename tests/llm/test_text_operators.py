@@ -270,3 +270,47 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     none = {r.score for r in quality_scores(docs, labels.limit(0)).collect()}
     assert none == {0.5}
+
+
+def test_subwords_in_blocks_are_each_words_own(monkeypatch):
+    from leadspark.llm import language_id
+
+    def of(words):
+        found = [[] for _ in words]
+        for places, buckets in language_id.subwords(words):
+            for place, bucket in zip(places.tolist(), buckets.tolist(), strict=True):
+                found[place].append(bucket)
+        return [sorted(held) for held in found]
+
+    words = ["a", "straße", "año", "word", "a", "x" * 50, "日本語", "𝔘ñ"]
+    alone = [of([word])[0] for word in words]
+    # Marks at both ends: n-grams of 2, 3 and 4 characters, and the word itself.
+    assert [len(held) for held in alone] == [sum(max(0, len(w) + 3 - n) for n in (2, 3, 4)) + 1 for w in words]
+    assert of(words) == alone
+    monkeypatch.setattr(language_id, "BLOCK_CODES", 3)
+    assert of(words) == alone
+    assert of([]) == []
+    assert language_id.words_of("L'Été-2x_y,") == ["l", "été", "x", "y"]
+
+
+def test_language_sums_are_those_of_the_features():
+    from leadspark.llm import language_id
+
+    rng = np.random.default_rng(5)
+    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.eye(2), np.zeros(2), 1.0, 0.0)
+    texts = ["The cat's hat, the cat!", "der Hund", "12 34", ""]
+    buckets, shares = language_id._features(texts)
+    for text, ids, weights in zip(texts, buckets, shares, strict=True):
+        sums = language_id._sums(text.split(), model, 2).sum(axis=0)
+        if ids:
+            assert np.allclose(sums[:2] / sums[2], np.array(weights) @ model.embedding[ids])
+        else:
+            assert sums[2] == 0
+
+
+def test_repeated_ids_are_one_text_of_the_sample(spark):
+    rows = [(1, "ein Haus am Fluss", "de")] * 400 + [(i, "a house by the river", "en") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs, sample_per_language=5)
+    assert got.count() == len(rows)
+    assert {r.lang_pred for r in got.where("doc_id = 1").collect()} <= {"de", "en"}
