@@ -374,7 +374,8 @@ def identify(
 
     Learned from texts and languages of the rows that are not held out
     (:func:`held_out`): at most ``sample_per_language`` of each language, or an
-    equal part of ``sample_total`` if that is less, chosen by a hash. The sample's
+    equal part of ``sample_total`` if that is less, chosen by a hash of the id (rows
+    that repeat id and language: the smallest of their texts). The sample's
     features stay in the tasks; the driver averages their weights. ``score`` is the calibrated
     probability of ``lang_pred``. ``rejected`` marks scores below the lowest
     ``reject_share`` of the calibration texts; the prediction is still told.
