@@ -308,9 +308,20 @@ def test_language_sums_are_those_of_the_features():
             assert sums[2] == 0
 
 
-def test_repeated_ids_are_one_text_of_the_sample(spark):
-    rows = [(1, "ein Haus am Fluss", "de")] * 400 + [(i, "a house by the river", "en") for i in range(2, 40)]
+def test_repeated_ids_are_one_text_of_the_sample(spark, monkeypatch):
+    from leadspark.llm import language_id
+
+    rows = [(1, f"ein Haus am Fluss {chr(97 + i % 26)}", "de") for i in range(400)]
+    rows += [(i, "a house by the river", "en") for i in range(4, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = identify(docs, sample_per_language=5)
-    assert got.count() == len(rows)
-    assert {r.lang_pred for r in got.where("doc_id = 1").collect()} <= {"de", "en"}
+    learned = []
+    train = language_id.train
+
+    def seen(sample, *args, **kwargs):
+        learned.extend(sample.select("lang", "place").collect())
+        return train(sample, *args, **kwargs)
+
+    monkeypatch.setattr(language_id, "train", seen)
+    assert zlib.crc32(b"1") % 3 != 1
+    assert identify(docs, sample_per_language=5).count() == len(rows)
+    assert sorted(learned) == [("de", 1)] + [("en", place) for place in range(1, 6)]
