@@ -14,6 +14,8 @@ hash space. Blocks and shards only exchange short binary messages:
 3. The exact groups answer with one bit per window; the block removes the words
    that windows of two or more occurrences cover. Where its candidates start is a
    message of the block to itself, so texts are hashed twice, not a third time.
+   A shuffle hands a block its documents in any order, another one at each reading,
+   so places are counted over the texts in ascending order.
 
 A window that occurs in a third of all documents is one entry per block. The
 number of cells and blocks follows from the bytes of the texts.
@@ -25,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,6 +93,11 @@ def _words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
     return split, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """The documents of a block by their text, NULL last: what a place in the block means. Equal texts have the same words."""
+    return table.take(pc.sort_indices(table.column("text")))
+
+
 def pack_candidates(shards: list[tuple[int, int, int]], starts: np.ndarray, of: np.ndarray) -> bytes:
     """A block's message to itself: (shard, first, end) of its distinct windows, each candidate's first word and window.
 
@@ -237,7 +245,7 @@ def remove_repeated_windows(
     def estimated(key, table, answers):
         if not table.num_rows:
             return _table([], exact_message)
-        held = block_of(table)
+        held = block_of(in_order(table))
         chosen, of, high, low, counts = held.candidates(answers_of(answers, False))
         block = key[0].as_py()
         bounds = _exact_shards(high, exact_bits)
@@ -279,6 +287,7 @@ def remove_repeated_windows(
         schema = to_arrow_schema(output)
         if not table.num_rows:
             return schema.empty_table()
+        table = in_order(table)
         texts, ends = _words(table.column("text").to_pylist())
         bounds, starts, of = unpack_candidates(answers_of(answers, False)[0])
         repeated = np.zeros(bounds[-1][2] if bounds else 0, bool)

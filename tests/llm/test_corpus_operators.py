@@ -54,6 +54,28 @@ def test_repeated_windows_equal_brute_force(spark, monkeypatch, small):
     assert remove_repeated_windows(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_repeated_windows_whatever_the_order_of_reading(spark):
+    """A shuffle between executors hands out the rows of a block in another order at each reading."""
+    rng = random.Random(2)
+    shared = prose(rng, 60, 5000)
+    texts = [" ".join(prose(rng, rng.randint(0, 120), 5000) + (shared if k % 5 == 0 else [])) for k in range(60)] + [None, "", None]
+
+    def stirred(batches):
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    once = documents(spark, texts).coalesce(1)
+    docs = once.mapInPandas(stirred, once.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.doc_id: r for r in remove_repeated_windows(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for k, text in enumerate(texts):
+        left = words(text)[:-60] if k % 5 == 0 and text else words(text)
+        assert (got[k].n_words, got[k].kept) == (len(words(text)), " ".join(left)), k
+
+
 def test_gaps_round_trip():
     import numpy as np
 
