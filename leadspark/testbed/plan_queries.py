@@ -34,7 +34,8 @@ def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("amount"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("observed_at"),
         F.when(F.col("user_id") % 7 == 0, F.lit("  ")).otherwise(F.col("event_type")).alias("name"),
-        F.lpad(F.col("user_id").cast("string"), 4, "0").alias("code"),
+        # Four digits at least; lpad alone would cut longer numbers.
+        F.lpad(F.col("user_id").cast("string"), F.greatest(F.lit(4), F.length(F.col("user_id").cast("string"))), "0").alias("code"),
     )
 
 

@@ -258,6 +258,15 @@ def test_type_inference(spark):
     assert sorted(rows(seen, "v")) == [("2024-01-01 08:00",), ("2024-01-02 00:00",)]
 
 
+def test_long_codes_of_the_type_query_stay_whole(spark, tmp_path):
+    from leadspark.testbed.plan_queries import _infer_types
+
+    users = [7, 9999, 10_000, 89_999]
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1), u, "view", 1.0) for i, u in enumerate(users)], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(rows(_infer_types(spark, str(tmp_path)), "id", "code")) == [(i, float(u)) for i, u in enumerate(users)]
+
+
 def test_nested_values_become_text(spark):
     df = spark.createDataFrame([([1, 2], {"k": "v"}, " x ")], "a array<int>, m map<string,string>, s string")
     assert rows(prepare.prepare(df), "a", "m", "s") == [("[1,2]", '{"k":"v"}', "x")]
