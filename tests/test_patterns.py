@@ -84,6 +84,15 @@ def test_an_entity_of_everybody_pairs_nobody(spark):
     assert networks.cross_commit_overlap(frame, minimum_common=3).count() == 0
 
 
+def test_an_entity_of_many_small_sets_leads_to_pairs_with_a_second_only(spark):
+    edges = [(m, e) for m in range(400) for e in (0, 1 + m % 7, 10 + m % 11, 30 + m % 13, 50 + m % 17)]
+    placed = setjoin.by_rarity(setjoin.distinct_sets(spark.createDataFrame(edges, "member long, entity long"))[1])
+    tokens = setjoin._tokens(placed, lambda size: size - 3 + 1)
+    assert tokens.where("second IS NULL").count() == 0
+    # Places 1 to 3 of five, each with the later ones up to 4.
+    assert tokens.count() == 400 * 6
+
+
 def test_places_number_the_entities_from_the_rarest(spark):
     edges = random_edges(9)
     kept = {m for m in classes(edges)}
