@@ -162,72 +162,60 @@ def _by_month(spans: DataFrame) -> DataFrame:
     return usable.withColumn("month", F.explode(months))
 
 
-def _voters(field: str, order: int, position: str) -> Column:
+_ROLL = "array<struct<voting_id:string,vote_day:date,order:int>>"
+
+
+def _voters(field: str, order: int) -> Column:
     people = F.coalesce(F.col(field), F.array().cast("array<string>"))
-    return F.transform(
-        people,
-        lambda person: F.struct(
-            tail(person).alias("member_id"), F.lit(order).alias("order"), F.lit(position).alias("position")
-        ),
-    )
+    return F.transform(people, lambda person: F.struct(tail(person).alias("member_id"), F.lit(order).alias("order")))
 
 
 def ep_member_votes(decisions: DataFrame, people: DataFrame, bodies: DataFrame, term: int) -> DataFrame:
     """One row per voting and member: voters, and the members with a mandate that day who did not vote.
 
-    The group is the first one that covers the day. Days meet spans in a range
-    join: an equality on the month, then the exact days.
+    The group is the first one that covers the day (of several labels the smallest). Votes, mandates and
+    groups meet once, by member and month; the month's votings (broadcast, a name and a
+    day each) are lent to them, and what follows stays in the task. Only votes and spans are shuffled, never the rows of the members who were absent.
     """
     roll_calls = _roll_calls(decisions).withColumn("voting_id", _voting_id()).withColumn("vote_day", day("activity_date"))
-    votings = roll_calls.select("voting_id", "vote_day", F.trunc("vote_day", "month").alias("month"))
+    month = F.trunc("vote_day", "month").alias("month")
+    votings = roll_calls.where("vote_day IS NOT NULL").select(month, F.struct("voting_id", "vote_day").alias("voting"))
+    votings = votings.groupBy("month").agg(F.collect_set("voting").alias("votings"))
     last_day = roll_calls.agg(F.max("vote_day").alias("d")).scalar()
     spans = _roster(people, term).withColumn("last_day", last_day)
 
-    voters = [_voters(field, order, position) for order, (field, position) in enumerate(EP_VOTERS.items())]
-    # Later lists win when a member is on two.
-    cast = (
-        roll_calls.select("voting_id", "vote_day", F.explode(F.concat(*voters)).alias("v"))
-        .groupBy("voting_id", "vote_day", "v.member_id")
-        .agg(F.max_by("v.position", "v.order").alias("position"))
+    positions = list(EP_VOTERS.values())
+    voters = [_voters(field, order) for order, field in enumerate(EP_VOTERS)]
+    cast = roll_calls.select("voting_id", "vote_day", F.explode(F.concat(*voters)).alias("v"))
+    cast = cast.select("v.member_id", month, F.struct("voting_id", "vote_day", "v.order").alias("vote"))
+    mandates = _by_month(spans.filter((F.col("role") == EP_MANDATE) & (F.col("organization") == f"org/ep-{term}")))
+    mandates = mandates.select("member_id", "month", F.struct("start_date", "end_date").alias("seat"))
+    labels = _group_labels(bodies).groupBy("org_id").agg(F.min("org_name").alias("org_name"))
+    groups = _by_month(spans.filter("affiliation_type = 'group'")).withColumn("org_id", tail("organization"))
+    groups = groups.join(labels, "org_id", "left").select(
+        "member_id", "month", F.struct("position", "org_name", "start_date", "end_date").alias("group")
     )
-    covered = F.col("vote_day").between(F.col("start_date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")))
-    mandates = _by_month(
-        spans.filter((F.col("role") == EP_MANDATE) & (F.col("organization") == f"org/ep-{term}"))
-    )
-    sitting = (
-        votings.join(mandates.select("member_id", "month", "start_date", "end_date"), "month")
-        .filter(covered)
-        .select("voting_id", "vote_day", "member_id")
-        .distinct()
-    )
-    on_roll = cast.join(sitting, ["voting_id", "vote_day", "member_id"], "full_outer").select(
-        "voting_id",
-        "vote_day",
-        F.trunc("vote_day", "month").alias("month"),
-        "member_id",
-        F.coalesce("position", F.lit("absent")).alias("position"),
+    told = cast.unionByName(mandates, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+    per_month = told.groupBy("member_id", "month").agg(
+        F.collect_list("vote").alias("votes"), F.collect_set("seat").alias("seats"), F.array_sort(F.collect_set("group")).alias("groups")
     )
-    groups = _by_month(spans.filter("affiliation_type = 'group'")).select(
-        "member_id",
-        "month",
-        F.col("position").alias("span_position"),
-        tail("organization").alias("org_id"),
-        "start_date",
-        "end_date",
-    )
-    of_the_day = (
-        on_roll.join(groups, ["member_id", "month"])
-        .filter(covered)
-        .groupBy("voting_id", "vote_day", "member_id")
-        .agg(F.min_by("org_id", "span_position").alias("org_id"))
-        .join(_group_labels(bodies), "org_id", "left")
-        .select("voting_id", "vote_day", "member_id", F.col("org_name").alias("group_at_vote"))
+
+    def covers(span: Column, on: Column) -> Column:
+        return on.between(span["start_date"], F.coalesce(span["end_date"], F.lit("9999-12-31").cast("date")))
+
+    seated = F.filter("votings", lambda v: F.exists("seats", lambda seat: covers(seat, v["vote_day"])))
+    absent = F.transform(seated, lambda v: F.struct(v["voting_id"].alias("voting_id"), v["vote_day"].alias("vote_day"), F.lit(-1).alias("order")))
+    lent = per_month.join(F.broadcast(votings), "month", "left")
+    rolled = lent.select(
+        "member_id", "month", "groups", F.explode(F.concat("votes", F.coalesce(absent, F.array().cast(_ROLL)))).alias("r")
     )
+    of_the_day = F.get(F.filter("groups", lambda group: covers(group, F.col("r.vote_day"))), 0)["org_name"]
+    rolled = rolled.select("member_id", "month", "r.voting_id", "r.vote_day", "r.order", of_the_day.alias("group_at_vote"))
+    # Later lists win when a member is on two.
+    found = rolled.groupBy("member_id", "month", "voting_id", "vote_day", "group_at_vote").agg(F.max("order").alias("order"))
+    position = F.coalesce(F.get(F.array(*map(F.lit, positions)), F.nullif(F.col("order"), F.lit(-1))), F.lit("absent"))
     return as_contract(
-        on_roll.join(of_the_day, ["voting_id", "vote_day", "member_id"], "left").withColumn(
-            "parliament", F.lit(EP_PARLIAMENT)
-        ),
-        "parl_member_votes",
+        found.withColumn("position", position).withColumn("parliament", F.lit(EP_PARLIAMENT)), "parl_member_votes"
     )
 
 

@@ -415,6 +415,19 @@ def test_european_parliament(spark, tmp_path):
     ]
 
 
+def test_a_voting_and_member_are_one_row(spark, tmp_path):
+    """Two labels of a group, lists that name a member twice and repeated decisions add no rows."""
+    member = [{"organization": "org/ep-10", "role": parliament.EP_MANDATE, "memberDuring": {"startDate": "2024-07-16"}},
+              {"organization": "org/1", "membershipClassification": "def/ep-entities/EU_POLITICAL_GROUP", "memberDuring": {"startDate": "2024-07-16"}}]
+    people = read_json(spark, tmp_path, parliament.EP_PERSON, [{"identifier": i, "label": i, "hasMembership": member} for i in "12"])
+    bodies = spark.createDataFrame([("1", "G1"), ("1", "G0")], "identifier string, label string")
+    roll = {"id": "eli/d1", "notation_votingId": "v1", "activity_date": "2024-10-09", "decision_method": parliament.EP_ROLL_CALL,
+            "had_voter_favor": ["person/1"], "had_voter_abstention": ["person/1"]}
+    decisions = read_json(spark, tmp_path, parliament.EP_DECISION, [roll, roll])
+    votes = parliament.ep_member_votes(decisions, people, bodies, 10)
+    assert sorted(rows(votes, "voting_id", "member_id", "position", "group_at_vote")) == [("v1", "1", "abstain", "G0"), ("v1", "2", "absent", "G0")]
+
+
 def test_swiss_parliament(spark):
     groups = spark.createDataFrame([("g", None, "Conseil")], "id string, name_de string, name_fr string")
     votings = spark.createDataFrame(
