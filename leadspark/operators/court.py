@@ -27,7 +27,7 @@ def _with_name_key(rows: DataFrame, name: str, key: str) -> DataFrame:
     return rows.join(keyed, F.col(name) == F.col("_name")).drop("_name")
 
 
-def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min_name_length: int, year_slack: int):
+def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min_name_length: int):
     """Names of a case that equal, start or continue a name on its judge's disclosure.
 
     "One name is the other plus more words" becomes two equalities: a word
@@ -57,14 +57,15 @@ def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min
     pairs = judged.join(disclosed, ["judge_id", "_key"]).drop("_key")
     pairs = pairs.withColumn("match_type", F.when(F.col("interest_key") == F.col("name_key"), "exact").otherwise("prefix"))
     pairs = pairs.distinct()
-    return (
-        long_interests.join(pairs, ["judge_id", "interest_key"])
-        .join(long_names.join(cases, "case_id"), ["judge_id", "name_key"])
-        .filter(
-            (F.col("report_year") >= F.year("date_filed") - year_slack)
-            & (F.col("date_terminated").isNull() | (F.col("report_year") <= F.year("date_terminated") + year_slack))
-        )
-    )
+    # Names that match nothing leave before their case is looked up: what is matched at all is a short list.
+    matched = long_names.join(pairs.select("name_key").distinct(), "name_key", "left_semi")
+    return long_interests.join(pairs, ["judge_id", "interest_key"]).join(matched.join(cases, "case_id"), ["judge_id", "name_key"])
+
+
+def _around(report_year: Column, year_slack: int) -> Column:
+    """Whether a report is of the years of the case, with some slack."""
+    ended = F.col("date_terminated").isNull() | (report_year <= F.year("date_terminated") + year_slack)
+    return (report_year >= F.year("date_filed") - year_slack) & ended
 
 
 def gift_from_litigant_or_counsel(
@@ -118,7 +119,7 @@ def gift_from_litigant_or_counsel(
         F.col("url").alias("report_url"),
         name_key("counterparty").alias("interest_key"),
     ).distinct()
-    matches = _matched_names(cases, named, benefits, min_name_length, year_slack)
+    matches = _matched_names(cases, named, benefits, min_name_length).filter(_around(F.col("report_year"), year_slack))
     columns = [
         "case_id", "court_id", "case_name", "date_filed", "date_terminated", "judge_id", "judge_name",
         "matched_name", "matched_as", "interest_type", "benefit_source", "benefit_description", "report_year",
@@ -158,7 +159,8 @@ def judge_holds_party_stock(
         url=F.min("url"),
     )
     parties = _with_name_key(case_parties.select("case_id", "party_name", "party_role").distinct(), "party_name", "name_key")
-    # The report rows of one year say the same; only bounds and one link are reported.
+    # The report rows of one year say the same; only bounds and one link are reported. A holding's years are one row,
+    # so a case and party meet it once and nothing of theirs is grouped again.
     holdings = (
         judge_interests.filter((F.lower("interest_type") == "investment") & F.col("report_year").isNotNull())
         .groupBy("judge_id", "report_year", F.col("counterparty").alias("holding"))
@@ -167,25 +169,24 @@ def judge_holds_party_stock(
             F.max("value_high").alias("value_high"),
             F.min("url").alias("report_url"),
         )
+        .groupBy("judge_id", "holding")
+        .agg(F.collect_list(F.struct("report_year", "value_low", "value_high", "report_url")).alias("reports"))
         .withColumn("interest_key", name_key("holding"))
     )
-    matches = _matched_names(cases, parties, holdings, min_name_length, year_slack)
+    around = F.filter("reports", lambda report: _around(report["report_year"], year_slack))
+    matches = _matched_names(cases, parties, holdings, min_name_length).withColumn("reports", around).filter("size(reports) > 0")
     keys = [
         "case_id", "court_id", "case_name", "docket_number", "date_filed", "date_terminated", "judge_id",
         "judge_name", "party_name", "party_role", "holding", "match_type",
     ]
-    leads = (
-        matches.groupBy(*keys, "url")
-        .agg(
-            F.min("report_year").alias("first_report_year"),
-            F.max("report_year").alias("last_report_year"),
-            F.max("value_low").alias("max_value_low"),
-            F.max("value_high").alias("max_value_high"),
-            F.min("report_url").alias("report_url"),
-        )
-        .select(
-            *keys, "first_report_year", "last_report_year", "max_value_low", "max_value_high", "report_url", "url"
-        )
+    leads = matches.select(
+        *keys,
+        F.array_min("reports.report_year").alias("first_report_year"),
+        F.array_max("reports.report_year").alias("last_report_year"),
+        F.array_max("reports.value_low").alias("max_value_low"),
+        F.array_max("reports.value_high").alias("max_value_high"),
+        F.array_min("reports.report_url").alias("report_url"),
+        "url",
     )
     return top(
         leads,

@@ -327,6 +327,18 @@ def test_judge_holds_party_stock(spark):
     ]
 
 
+def test_stock_matches_are_not_grouped_again(spark):
+    cases = table(spark, "court_cases", [case("1", "2020-05-05")])
+    parties = table(spark, "case_parties", [{"case_id": "1", "party_name": "Acme Inc", "party_role": role} for role in (None, "Defendant")])
+    years = [(2018, 9), (2019, 1), (2020, None), (2021, 3)]
+    interests = table(spark, "judge_interests", [interest("investment", "Acme", year, value_low=low) for year, low in years])
+    found = court.judge_holds_party_stock(cases, parties, interests)
+    # The years of a holding meet a case as one row: no aggregate lies above the joins.
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    got = {tuple(row) for row in rows(found, "party_role", "first_report_year", "last_report_year", "max_value_low")}
+    assert got == {(None, 2019, 2021, 3.0), ("Defendant", 2019, 2021, 3.0)}
+
+
 def test_long_pending_cases(spark):
     cases = table(
         spark,
