@@ -591,17 +591,23 @@ def revolving_door_committee_match(
     ).select(
         "registration_id", "period_start", "registrant_name", "client_name", F.col("spend_high").alias("spend"), "url"
     )
-    # (filing, code) narrows the activities: lobbyists never meet activities of other issues.
+    # A filing and its activities are one row. Lobbyists meet the codes of their filings first, and only those whose
+    # committee has one of them meet the texts: what is shuffled for the others is keys and codes.
     all_codes = sorted({code for issue_codes in COMMITTEE_ISSUE_CODES.values() for code in issue_codes})
     activities = lobbying_activities.filter(F.col("general_issue_code").isin(*all_codes)).select(
-        "registration_id", "general_issue_code", "description"
+        "registration_id", F.struct("general_issue_code", "description").alias("_activity")
     )
-    leads = (
+    worked = filings.join(activities.groupBy("registration_id").agg(F.collect_list("_activity").alias("_activities")), "registration_id")
+    asked = worked.select("registration_id", F.array_distinct("_activities.general_issue_code").alias("_codes"))
+    met = (
         lobbyists.select("registration_id", "lobbyist_id")
-        .join(filings, "registration_id")
+        .join(asked.dropDuplicates(["registration_id"]), "registration_id")
         .join(positions, "lobbyist_id")
-        .join(activities, ["registration_id", "general_issue_code"])
+        .filter(F.array_contains("_codes", F.col("general_issue_code")))
+        .drop("_codes")
     )
+    own = F.filter("_activities", lambda activity: activity["general_issue_code"] == F.col("general_issue_code"))
+    leads = met.join(worked, "registration_id").withColumn("_activity", F.explode(own)).withColumn("description", F.col("_activity.description"))
     columns = [
         "lobbyist_id", "name", "former_committee", "former_public_office", "registration_id", "period_start",
         "registrant_name", "client_name", "general_issue_code", "description", "spend", "url",

@@ -537,6 +537,18 @@ def test_revolving_door_committee_match(spark):
     assert found.count() == 0
 
 
+def test_committee_match_meets_texts_last(spark):
+    person = {"registration_id": "1", "lobbyist_id": "y", "name": "Yan", "former_public_office": "Senate Finance Committee"}
+    acts = [{"registration_id": "1", "general_issue_code": "TAX", "description": text} for text in ("a", "a", None)]
+    filings = [filing("1", spend=5, filing_type="Q1"), filing("1", spend=5, filing_type="Q1")]
+    found = lobbying.revolving_door_committee_match(
+        table(spark, "lobbyists", [person, person]), table(spark, "lobbying_registrations", filings), table(spark, "lobbying_activities", acts)
+    )
+    # Every repeated row counts, and activities are unfolded above the joins, for leads only.
+    assert sorted(rows(found, "description"), key=str) == [("a",)] * 8 + [(None,)] * 4
+    assert "Generate explode" in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_committee_say_vs_pay(spark):
     people = [{"registration_id": "1", "lobbyist_id": "y", "name": "Yan", "former_public_office": "Finance aide"}]
     seats = [{"bioguide_id": "A", "committee_name": "Finance", "role": "Chair"}, {"bioguide_id": "B", "committee_name": "Rules", "role": "Member"}]
