@@ -11,7 +11,6 @@ from leadspark.functions import checks
 from leadspark.functions.ordered import day_number, with_highest_before, with_previous_row
 
 EARTH_KM = 6371.0
-DAY_SECONDS = 86_400
 
 
 def backdated_records(df: DataFrame, *, minimum_days: int = 1, partitions: int | None = None) -> DataFrame:
@@ -65,14 +64,17 @@ def timezone_activity_shifts(
     checks.number("minimum_shift_hours", minimum_shift_hours, 0.01, 12.0)
     checks.number("minimum_concentration", minimum_concentration, 0.0, 1.0)
     timed = df.select("entity", "observed_at").filter("entity IS NOT NULL AND observed_at IS NOT NULL")
-    turn = (F.hour("observed_at") * 3600 + F.minute("observed_at") * 60 + F.second("observed_at")) * (2 * math.pi / DAY_SECONDS)
-    sums = timed.groupBy("entity", F.date_trunc(period, "observed_at").cast("date").alias("period_start")).agg(
-        F.count("*").alias("events"), F.sum(F.sin(turn)).alias("_sin"), F.sum(F.cos(turn)).alias("_cos")
+    # Whole hours are exact numbers here, and each step is rounded as in plain arithmetic on hours: a shift of exactly
+    # the minimum is decided by the last digit.
+    hours = (F.hour("observed_at") * 3600 + F.minute("observed_at") * 60 + F.second("observed_at")) / 3600
+    turn = F.lit(2 * math.pi) * hours / 24
+    means = timed.groupBy("entity", F.date_trunc(period, "observed_at").cast("date").alias("period_start")).agg(
+        F.count("*").alias("events"), F.avg(F.sin(turn)).alias("_sin"), F.avg(F.cos(turn)).alias("_cos")
     )
-    hour = F.atan2("_sin", "_cos") * (12 / math.pi)
+    hour = F.atan2("_sin", "_cos") * 12 / math.pi
     # Directions without a resultant are noise of the last digits.
-    steady = F.round(F.hypot("_sin", "_cos") / F.col("events"), 9)
-    counted = sums.select("entity", "period_start", "events", F.when(hour < 0, hour + 24).otherwise(hour).alias("mean_hour"), steady.alias("concentration"))
+    steady = F.round(F.sqrt(F.col("_sin") * F.col("_sin") + F.col("_cos") * F.col("_cos")), 9)
+    counted = means.select("entity", "period_start", "events", F.when(hour < 0, hour + 24).otherwise(hour).alias("mean_hour"), steady.alias("concentration"))
     counted = counted.filter((F.col("events") >= minimum_events) & (F.col("concentration") >= minimum_concentration) & (F.col("concentration") > 0))
     order = Window.partitionBy("entity").orderBy("period_start")
     names = ["period_start", "events", "mean_hour", "concentration"]

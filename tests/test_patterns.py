@@ -234,6 +234,26 @@ def test_activity_shifts_cross_midnight(spark):
         sequences.timezone_activity_shifts(frame, period="day")
 
 
+def test_activity_shifts_of_exactly_the_minimum_follow_the_arithmetic_on_hours(spark):
+    """The last digit decides at a shift of three hours, so steps are those of the reference SQL."""
+
+    def mean_hour(hours):
+        angles = [2 * math.pi * h / 24 for h in hours]
+        y, x = (sum(map(f, angles)) / len(hours) for f in (math.sin, math.cos))
+        return (24 if math.atan2(y, x) < 0 else 0) + math.atan2(y, x) * 12 / math.pi
+
+    rows, want = [], set()
+    for first in range(24):
+        before, after, entity = [first] * 2, [(first + 3) % 24] * 2, str(first)
+        rows += [(entity, dt.datetime(2024, 1, 2, h)) for h in before] + [(entity, dt.datetime(2024, 1, 9, h)) for h in after]
+        shift = mean_hour(after) - mean_hour(before)
+        if abs(shift + 24 if shift <= -12 else shift) >= 3:
+            want.add(entity)
+    frame = spark.createDataFrame(rows, "entity string, observed_at timestamp")
+    found = sequences.timezone_activity_shifts(frame, period="week", minimum_events=2).collect()
+    assert {row.entity for row in found} == want
+
+
 def kilometres(a, b):
     (la, lo), (lb, lp) = a, b
     la, lo, lb, lp = map(math.radians, (la, lo, lb, lp))
