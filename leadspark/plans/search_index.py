@@ -38,12 +38,18 @@ def grams_of(text: Column, longest: int = GRAM, shortest: int = 1) -> Column:
     """The distinct runs of ``shortest`` to ``longest`` letters of a text."""
 
     def found(letters: Column) -> Column:
-        def runs(length: int) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.size(letters) - length + 1, F.lit(1)))
-            made = F.transform(places, lambda i: F.array_join(F.slice(letters, i, F.lit(length)), ""))
-            return F.when(F.size(letters) >= length, made).otherwise(F.array().cast("array<string>"))
+        def cut(runs: Column, start: int, length: int) -> Column:
+            return F.slice(runs, F.lit(start), F.greatest(F.size(letters) - length + 1, F.lit(0)))
 
-        return F.array_distinct(F.concat(*[runs(length) for length in range(shortest, longest + 1)]))
+        def grown(runs: Column, length: int, shorter: list[Column]) -> Column:
+            """Runs of one letter more are those of ``length``, each with the letter that follows."""
+            made = [*shorter, runs] if length >= shortest else shorter
+            if length == longest:
+                return F.array_distinct(F.concat(*made))
+            more = F.zip_with(cut(runs, 1, length + 1), cut(letters, length + 1, length + 1), lambda run, letter: F.concat(run, letter))
+            return F.transform(F.array(more), lambda longer: grown(longer, length + 1, made))[0]
+
+        return grown(letters, 1, [])
 
     # The letters are split off once, not once for each place.
     made = F.transform(F.array(F.split(text, "")), found)[0]
@@ -58,10 +64,12 @@ def write_index(search_rows: DataFrame, folder: str) -> SearchIndex:
     """Write the index of ``search_rows`` (see ``build_search_rows``) and open it.
 
     The numbers of the texts are fixed by writing them first. A run that is repeated
-    replaces the folder's tables as a whole.
+    replaces the folder's tables as a whole. Rows are dealt out first: a file that
+    comes as one block of rows would otherwise be one block of texts, and its grams one task.
     """
     spark = search_rows.sparkSession
-    numbered = search_rows.withColumn("folded", folded(F.col("text"))).withColumn("row_id", F.monotonically_increasing_id())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    numbered = search_rows.repartition(parts).withColumn("folded", folded(F.col("text"))).withColumn("row_id", F.monotonically_increasing_id())
     block = F.shiftright("row_id", _TASK_BITS).cast("int")
     numbered = numbered.withColumn("block", block)
     stored = numbered.schema

@@ -59,6 +59,13 @@ def test_a_search_reads_the_postings_of_its_grams_only(index):
     assert all("dynamicpruning" in scan for scan in texts)
 
 
+def test_texts_of_one_task_become_many_blocks(spark, rows):
+    index = search_index.write_index(rows.coalesce(1), shared_folder(spark, "index"))
+    blocks = [row["count"] for row in index.texts.groupBy("block").count().collect()]
+    assert len(blocks) > 1 and max(blocks) < sum(blocks) / 2
+    assert plain(search_index.match_indexed(index, "ab ba")) == plain(search.match_terms(rows, "ab ba"))
+
+
 def test_a_repeated_run_replaces_the_index(spark, rows):
     folder = shared_folder(spark, "index")
     search_index.write_index(rows, folder)
