@@ -337,8 +337,16 @@ def eu_registrations(representatives: DataFrame, register: str = "eu/transparenc
     )
 
 
+def _distinct(records: str, *fields: str) -> Column:
+    """The distinct records of a list, by the text of some fields."""
+    return F.array_distinct(F.transform(records, lambda item: F.struct(*[text(item[name]).alias(name) for name in fields])))
+
+
 def eu_contacts(meetings: DataFrame, export_name: str) -> DataFrame:
-    """Organisations times officials of each meeting; repeated meetings collapse on a content hash."""
+    """Organisations times officials of each meeting; repeated meetings collapse on a content hash.
+
+    Meetings are brought together with their lists and expanded there, so the product is never shuffled.
+    """
     institution = F.coalesce(
         F.when(
             text("dgname").isNotNull(),
@@ -354,17 +362,19 @@ def eu_contacts(meetings: DataFrame, export_name: str) -> DataFrame:
             text("date").alias("contact_date"),
             institution.alias("institution"),
             text("subject").alias("subject"),
-            F.col("representatives.representative").alias("people"),
-            F.explode("entities.entity").alias("e"),
+            _distinct("representatives.representative", "name", "title").alias("people"),
+            _distinct("entities.entity", "id", "name").alias("organisations"),
         )
+        .repartition("contact_id")
+        .withColumn("e", F.explode("organisations"))
         .withColumn("p", F.explode("people"))
         .select(
             "contact_id",
-            text("e.id").alias("registrant_id"),
-            text("e.name").alias("registrant_name"),
+            F.col("e.id").alias("registrant_id"),
+            F.col("e.name").alias("registrant_name"),
             "contact_date",
-            text("p.name").alias("official_name"),
-            text("p.title").alias("official_title"),
+            F.col("p.name").alias("official_name"),
+            F.col("p.title").alias("official_title"),
             "institution",
             "subject",
         )

@@ -158,6 +158,22 @@ def test_european_union(spark, tmp_path):
     assert len({row.contact_id for row in met.collect()}) == 1
 
 
+def test_eu_contacts_shuffle_meetings_only(spark, tmp_path):
+    meeting = {
+        "date": "2024-04-04", "cabinet": "C", "subject": "s",
+        "entities": {"entity": [{"id": " 1-1", "name": "Org"}, {"id": "1-1", "name": "Org"}, {"id": "2-2"}]},
+        "representatives": {"representative": [{"name": "Q"}, {"name": "Q"}, {"name": "R"}]},
+    }
+    other = {**meeting, "entities": {"entity": [{"id": "3-3", "name": "New"}]}, "representatives": {"representative": [{"name": "Q"}]}}
+    empty = [{**meeting, "subject": "t", "entities": {"entity": []}}, {**meeting, "subject": "u", "representatives": None}]
+    met = lobbying.eu_contacts(read_json(spark, tmp_path, lobbying.EU_MEETING, [meeting, other, meeting, *empty]), "dg")
+    assert sorted((row.registrant_id, row.official_name) for row in met.collect()) == [
+        ("1-1", "Q"), ("1-1", "R"), ("2-2", "Q"), ("2-2", "R"), ("3-3", "Q"),
+    ]
+    plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
 def test_us_politics(spark, tmp_path):
     one = json.dumps({"REGISTRANTS_ACTIVE": {"ROW": {"Name": " Solo "}}})
     two = json.dumps({"REGISTRANTS_ACTIVE": {"ROW": [{"Name": "A"}, {"Name": "B"}]}})
