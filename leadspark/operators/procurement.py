@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
 from leadspark.functions.relational import in_order, one_row, top, with_joined_list
 from leadspark.functions.text import decimal_round
+from leadspark.session import cut_lineage
 
 COMPETITIVE_METHODS = ("open", "selective")
 NON_OPEN_METHODS = ("limited", "direct")
@@ -167,27 +168,40 @@ def supplier_share_outlier(
         "category_key",
     )
     market = ["buyer_key", "category_key", "award_year", "currency_key"]
-    # One shuffle of the rows; suppliers and markets are both sums of these.
-    per_award = valued.filter("buyer_key IS NOT NULL").groupBy(*market, "supplier_id", "award_id").agg(
-        F.sum("value").alias("value"),
-        F.min("supplier_name").alias("supplier_name"),
-        F.min("buyer_name").alias("buyer_name"),
+    # One shuffle of the rows, by market and award; markets are sums of the suppliers' rows. An award is counted with the
+    # first of its suppliers in a market, so no distinct count multiplies the rows.
+    per_award = (
+        valued.filter("buyer_key IS NOT NULL")
+        .repartition(*market, "award_id")
+        .groupBy(*market, "supplier_id", "award_id")
+        .agg(
+            F.sum("value").alias("value"),
+            F.min("supplier_name").alias("supplier_name"),
+            F.min("buyer_name").alias("buyer_name"),
+        )
+    )
+    nth = F.row_number().over(Window.partitionBy(*market, "award_id").orderBy("supplier_id"))
+    first = (nth == 1) & F.col("award_id").isNotNull()
+    suppliers = cut_lineage(
+        per_award.withColumn("_first", first)
+        .groupBy(*market, "supplier_id")
+        .agg(
+            F.min("supplier_name").alias("supplier_name"),
+            F.min("buyer_name").alias("buyer_name"),
+            F.sum("value").alias("supplier_value"),
+            F.count("award_id").alias("supplier_awards"),
+            F.count_if("_first").alias("_awards"),
+        )
     )
     markets = (
-        per_award.groupBy(*market)
+        suppliers.groupBy(*market)
         .agg(
-            F.sum("value").alias("market_value"),
-            F.count_distinct("award_id").alias("market_awards"),
-            F.count_distinct("supplier_id").alias("market_suppliers"),
+            F.sum("supplier_value").alias("market_value"),
+            F.sum("_awards").alias("market_awards"),
+            F.count("supplier_id").alias("market_suppliers"),
         )
         .filter(F.col("market_awards") >= min_awards)
     )
-    suppliers = per_award.groupBy(*market, "supplier_id").agg(
-        F.min("supplier_name").alias("supplier_name"),
-        F.min("buyer_name").alias("buyer_name"),
-        F.sum("value").alias("supplier_value"),
-        F.count("award_id").alias("supplier_awards"),
-    )
     share = F.col("supplier_value") / F.col("market_value")
     return top(
         suppliers.join(markets, market)

@@ -751,6 +751,17 @@ def test_supplier_share_outlier(spark):
     assert rows(found, *columns) == [("S", "EUR", 450.0, 500.0, 0.9, 5, 2)]
 
 
+def test_supplier_shares_count_an_award_once_without_more_rows(spark):
+    processes = table(spark, "procurement_processes", [process("p1", currency="EUR"), process("p2", "b2", currency="EUR")])
+    awards = [award(f"a{i}", s, 100 if s == "S" else 10) for i in range(4) for s in ("S", "T", None)]
+    awards += [award("a0", "S", 100, day="2023-05-05"), award(None, "S", 100), award("e", None, 10)]
+    awards += [award(f"x{i}", s, 50, "p2") for i in range(4) for s in ("S", "T", "U")]  # twelve rows, four awards
+    found = procurement.supplier_share_outlier(processes, table(spark, "procurement_awards", awards))
+    columns = ["supplier_id", "award_year", "supplier_awards", "market_awards", "market_suppliers"]
+    assert rows(found, *columns) == [("S", 2024, 4, 5, 2)]
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_value_growth_after_award(spark):
     processes = table(spark, "procurement_processes", [process("p1")])
     awards = [award("a", "S", 100), award("a", "T", 100), award("a", None, None, None, None, final_value=150)]
