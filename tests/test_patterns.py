@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -93,6 +94,51 @@ def test_an_entity_of_many_small_sets_leads_to_pairs_with_a_second_only(spark):
     assert tokens.count() == 400 * 6
 
 
+def test_two_entities_that_many_sets_show_lead_to_pairs_with_a_third_only(spark):
+    sets = [{0, 1, *rest} for size in (2, 3) for rest in combinations(range(10, 20), size)]
+    sets += [{10 + n % 10, 100 + 2 * n, 101 + 2 * n} for n in range(2500)]
+    edges = [(m, e) for m, entities in enumerate(sets) for e in entities]
+    frame = spark.createDataFrame(edges, "member long, entity long")
+    made = []
+    candidates = setjoin._candidates
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(setjoin, "_candidates", lambda *given: made.append(candidates(*given)) or made[-1])
+        found = networks.portfolio_cloning(frame, minimum_similarity=0.7).collect()
+    # 45 sets of four in 120 of five; all of them show 0 and 1, each small one is in eight large ones.
+    assert {(row.member_id, row.other_id) for row in found} == {
+        (a, b) for a in range(45) for b in range(45, 165) if sets[a] < sets[b]
+    }
+    assert len(found) == 360
+    assert made[0].count() < 45 * 120 / 2
+
+
+def test_sets_that_fit_no_other_set_look_for_none(spark):
+    edges = [(m, e) for m in range(50) for e in (0, 1 + m)] + [(m, e) for m in range(50, 60) for e in (0, 1, m, m + 1)]
+    frame = spark.createDataFrame(edges, "member long, entity long")
+    placed = []
+    with pytest.MonkeyPatch.context() as patch:
+        number = setjoin.by_rarity
+        patch.setattr(setjoin, "by_rarity", lambda held: placed.append(number(held)) or placed[-1])
+        assert networks.portfolio_cloning(frame, minimum_similarity=0.7).count() == 0
+    # Two of three are less than 0.7: sets of two entities have no partner.
+    assert {row.member for row in placed[0].collect()} == set(range(50, 60))
+
+
+def test_members_in_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "ONE_PART", 3)
+    edges = random_edges(5)
+    placed = defaultdict(list)
+    for row in setjoin.by_rarity(setjoin.distinct_sets(edge_frame(spark, edges))[1]).collect():
+        placed[row.member].append((row.place, row.sets))
+    assert any(len(held) > 3 for held in placed.values())
+    for held in placed.values():
+        held.sort()
+        assert [p for p, _ in held] == list(range(1, len(held) + 1))
+        assert [s for _, s in held] == sorted(s for _, s in held)
+    found = networks.portfolio_cloning(edge_frame(spark, edges), minimum_similarity=0.6).collect()
+    assert {tuple(row[n] for n in NAMES) for row in found} == pairs(edges, lambda c, a, b: 10 * c >= 6 * (a + b - c))
+
+
 def test_places_number_the_entities_from_the_rarest(spark):
     edges = random_edges(9)
     kept = {m for m in classes(edges)}
