@@ -59,7 +59,9 @@ def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min
     pairs = pairs.distinct()
     # Names that match nothing leave before their case is looked up: what is matched at all is a short list.
     matched = long_names.join(pairs.select("name_key").distinct(), "name_key", "left_semi")
-    return long_interests.join(pairs, ["judge_id", "interest_key"]).join(matched.join(cases, "case_id"), ["judge_id", "name_key"])
+    # Cases stream and a name's interests, which are fewer, wait in memory. The rows of a case also follow each other, so
+    # that a file of leads holds what they repeat once: there are as many as cases times fitting interests.
+    return matched.join(cases, "case_id").join(long_interests.join(pairs, ["judge_id", "interest_key"]), ["judge_id", "name_key"])
 
 
 def _around(report_year: Column, year_slack: int) -> Column:

@@ -305,6 +305,24 @@ def test_gift_from_litigant_or_counsel(spark):
     ]
 
 
+def test_all_gifts_of_a_case_follow_each_other(spark):
+    ids = [str(n) for n in range(12)]
+    cases = table(spark, "court_cases", [case(id, "2020-05-05") for id in ids])
+    parties = table(spark, "case_parties", [{"case_id": id, "party_name": "Acme Inc"} for id in ids])
+    counsel = table(spark, "case_counsel", [{"case_id": "none", "counsel_name": "Jo Doe"}])
+    interests = table(spark, "judge_interests", [interest("gift", "Acme", 2020, value_low=n) for n in range(40)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = court.gift_from_litigant_or_counsel(cases, parties, counsel, interests).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(row.case_id, row.value_low) for row in found} == {(id, float(n)) for id in ids for n in range(40)}
+    # Cases are read once, one after the other; what waits in memory are the interests of a name.
+    assert len(found) == 12 * 40
+    assert sum(one.case_id != other.case_id for one, other in zip(found, found[1:])) == 11
+
+
 def test_judge_holds_party_stock(spark):
     cases = table(spark, "court_cases", [case("1", "2020-05-05"), case("1", "2020-06-05")])
     parties = table(spark, "case_parties", [{"case_id": "1", "party_name": "Acme Widgets Inc", "party_role": "Defendant"}])
