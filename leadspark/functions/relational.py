@@ -37,6 +37,40 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns).alias("row")).scalar()
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, pairs: DataFrame) -> DataFrame:
+    """Inner join whose pairs are dealt out evenly over the tasks, however few keys most of them have.
+
+    ``pairs``: at most one row per key, with the number of its pairs as a double
+    in ``pairs``. A key with a sixteenth of a task's share or more gets a stretch
+    of the tasks as long as its share: its left rows lie there by a hash of ``by``
+    and its right rows, best the fewer, are repeated for each task of the stretch.
+    Other keys lie in one task each, by their hash. Partitions are numbered, because
+    adaptive execution would merge them by their size, which says nothing about the
+    pairs.
+    """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # At most 16 rows per task are left in these windows.
+    total = F.broadcast(pairs.agg(F.sum("pairs").alias("_all")))
+    heavy = pairs.join(total).filter(F.col("pairs") * (16 * tasks) >= F.col("_all"))
+    ended = F.sum("pairs").over(Window.orderBy(*keys))
+    scale = F.lit(float(tasks)) / F.sum("pairs").over(Window.partitionBy())
+    stretches = F.broadcast(
+        heavy.select(*keys, ((ended - F.col("pairs")) * scale).alias("_from"), (F.col("pairs") * scale).alias("_long"))
+    )
+    other = F.pmod(F.hash(*keys), F.lit(tasks))
+
+    def task(at: Column) -> Column:
+        return F.coalesce(F.least(F.floor(at).cast("int"), F.lit(tasks - 1)), other)
+
+    spread = F.pmod(F.xxhash64(by), F.lit(1 << 20)) / float(1 << 20)
+    start, end = F.col("_from"), F.col("_from") + F.col("_long")
+    placed = left.join(stretches, list(keys), "left").withColumn("_task", task(start + spread * F.col("_long")))
+    repeated = right.join(stretches, list(keys), "left").withColumn("_task", F.explode(F.sequence(task(start), task(end))))
+    placed, repeated = (side.drop("_from", "_long").repartitionById(tasks, F.col("_task")) for side in (placed, repeated))
+    return placed.join(repeated, [*keys, "_task"]).drop("_task")
+
+
 def with_joined_list(
     leads: DataFrame,
     source: DataFrame,

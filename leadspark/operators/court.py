@@ -2,72 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.functions import checks
-from leadspark.functions.relational import in_order, top
+from leadspark.functions.relational import dealt_join, in_order, top
 from leadspark.functions.text import decimal_round, name_key, word_prefixes
+from leadspark.session import cut_lineage
 
 # Fixed value: parties that appear in so many cases that they say nothing.
 GOVERNMENT_PARTIES = (
     "^(UNITED STATES|USA|U S A|STATE OF|COMMISSIONER OF SOCIAL SECURITY|SOCIAL SECURITY ADMINISTRATION)( |$)"
 )
 
+# Fixed value: so many gifts of a name in one list, or few more.
+_LISTED_GIFTS = 1024
+
 
 def _cases(court_cases: DataFrame, **columns: Column) -> DataFrame:
     """One row per case, whatever number of docket rows describe it."""
     return court_cases.groupBy("case_id").agg(*[value.alias(name) for name, value in columns.items()])
 
 
-def _with_name_key(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """``key``: the name key of column ``name``, worked out once for each distinct name."""
-    keyed = rows.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct().withColumn(key, name_key("_name"))
-    # A frequent name is split by adaptive execution: the other side has one row for it.
-    return rows.join(keyed, F.col(name) == F.col("_name")).drop("_name")
+def _keyed(rows: DataFrame, name: str, key: str, min_name_length: int) -> DataFrame:
+    """The distinct texts of column ``name`` as ``_name``, with their name key if that is long enough to match."""
+    names = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("_rows"))
+    # The count keeps the key above the grouping: the optimizer would filter by it, and so work it out, on every row.
+    return names.select("_name", F.when(F.col("_rows") > 0, name_key("_name")).alias(key)).filter(F.length(key) >= min_name_length)
 
 
-def _matched_names(cases: DataFrame, names: DataFrame, interests: DataFrame, min_name_length: int):
+def _matched_names(
+    cases: DataFrame, names: DataFrame, name: str, interests: DataFrame, interest: str, min_name_length: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Names of a case that equal, start or continue a name on its judge's disclosure.
 
     "One name is the other plus more words" becomes two equalities: a word
     prefix of the case name equals the disclosed name (A), or a proper word
     prefix of the disclosed name equals the case name (B). Both run in one hash
-    join on (judge, key, A or B) of distinct keys alone, so the names of a judge are
-    never paired with all interests of that judge; cases and interests are
-    joined to the pairs of keys that match.
+    join on distinct keys alone: first on (key, A or B), so that names that no
+    judge discloses leave before their case is looked up, then on (judge, key, A or B),
+    so that the names of a judge are never paired with all interests of that judge.
+    Cases and interests are joined to the pairs of keys that match. Returned are the sides of a join on
+    (judge, name key), which gives as many rows as cases times fitting interests, and how many those are.
     """
-    long_names = names.filter(F.length("name_key") >= min_name_length)
-    long_interests = interests.filter(F.length("interest_key") >= min_name_length)
 
     def marked(keys: Column, side: str) -> Column:
         return F.transform(keys, lambda key: F.struct(key.alias("key"), F.lit(side).alias("side")))
 
     name_key_column, interest_key_column = F.col("name_key"), F.col("interest_key")
     proper_prefixes = F.filter(word_prefixes(interest_key_column), lambda key: key != interest_key_column)
-    heard = long_names.join(cases.select("case_id", "judge_id"), "case_id").select("judge_id", "name_key").distinct()
-    judged = heard.withColumn(
-        "_key",
-        F.explode(F.concat(marked(word_prefixes(name_key_column), "A"), marked(F.array(name_key_column), "B"))),
-    )
-    disclosed = long_interests.select("judge_id", "interest_key").distinct().withColumn(
-        "_key", F.explode(F.concat(marked(F.array(interest_key_column), "A"), marked(proper_prefixes, "B")))
+    of_name = F.explode(F.concat(marked(word_prefixes(name_key_column), "A"), marked(F.array(name_key_column), "B")))
+    of_interest = F.explode(F.concat(marked(F.array(interest_key_column), "A"), marked(proper_prefixes, "B")))
+
+    listed = _keyed(interests, interest, "interest_key", min_name_length)
+    known = _keyed(names, name, "name_key", min_name_length).withColumn("_key", of_name)
+    known = cut_lineage(
+        known.join(listed.select(of_interest.alias("_key")), "_key", "left_semi").select("_name", "name_key").distinct()
     )
+    # A frequent name is split by adaptive execution: the other side has one row for it.
+    matched = names.join(known, F.col(name) == F.col("_name")).drop("_name").distinct().join(cases, "case_id")
+    listed = interests.join(listed, F.col(interest) == F.col("_name")).drop("_name")
+    heard = matched.groupBy("judge_id", "name_key").agg(F.count(F.lit(1)).alias("_names"))
+    disclosed = listed.groupBy("judge_id", "interest_key").agg(F.count(F.lit(1)).alias("_interests"))
     # Equal keys meet by A and by their whole name, so pairs are made distinct.
-    pairs = judged.join(disclosed, ["judge_id", "_key"]).drop("_key")
+    pairs = heard.withColumn("_key", of_name).join(disclosed.withColumn("_key", of_interest), ["judge_id", "_key"]).drop("_key")
     pairs = pairs.withColumn("match_type", F.when(F.col("interest_key") == F.col("name_key"), "exact").otherwise("prefix"))
-    pairs = pairs.distinct()
-    # Names that match nothing leave before their case is looked up: what is matched at all is a short list.
-    matched = long_names.join(pairs.select("name_key").distinct(), "name_key", "left_semi")
-    # Cases stream and a name's interests, which are fewer, wait in memory. The rows of a case also follow each other, so
-    # that a file of leads holds what they repeat once: there are as many as cases times fitting interests.
-    return matched.join(cases, "case_id").join(long_interests.join(pairs, ["judge_id", "interest_key"]), ["judge_id", "name_key"])
+    pairs = cut_lineage(pairs.distinct())
+    sizes = pairs.groupBy("judge_id", "name_key").agg(F.sum(F.col("_names").cast("double") * F.col("_interests")).alias("pairs"))
+    return matched, listed.join(pairs.drop("_names"), ["judge_id", "interest_key"]), sizes
 
 
-def _around(report_year: Column, year_slack: int) -> Column:
-    """Whether a report is of the years of the case, with some slack."""
-    ended = F.col("date_terminated").isNull() | (report_year <= F.year("date_terminated") + year_slack)
-    return (report_year >= F.year("date_filed") - year_slack) & ended
+def _with_years(cases: DataFrame, year_slack: int) -> DataFrame:
+    """The years of a case with some slack, worked out before it meets its reports."""
+    return cases.withColumn("_first_year", F.year("date_filed") - year_slack).withColumn(
+        "_last_year", F.year("date_terminated") + year_slack
+    )
+
+
+def _around(report_year: Column) -> Column:
+    """Whether a report is of the years of the case."""
+    return (report_year >= F.col("_first_year")) & (F.col("_last_year").isNull() | (report_year <= F.col("_last_year")))
 
 
 def gift_from_litigant_or_counsel(
@@ -78,9 +94,13 @@ def gift_from_litigant_or_counsel(
     *,
     min_name_length: int = 4,
     year_slack: int = 2,
+    amounts: Callable[[Column], Column] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Gifts or paid trips from a party, counsel or law firm in a case of the receiving judge."""
+    """Gifts or paid trips from a party, counsel or law firm in a case of the receiving judge.
+
+    ``amounts`` shapes both values of a gift (rounds them, say) once for each gift, not for each of its leads.
+    """
     checks.integer("min_name_length", min_name_length, 1, 50)
     checks.integer("year_slack", year_slack, 0, 10)
     checks.row_limit(limit)
@@ -106,9 +126,7 @@ def gift_from_litigant_or_counsel(
                 "case_id", F.col("firm_name").alias("matched_name"), F.lit("firm").alias("matched_as")
             )
         )
-        .distinct()
     )
-    named = _with_name_key(named, "matched_name", "name_key")
     interest = F.lower("interest_type")
     benefits = judge_interests.filter(interest.isin("gift", "reimbursement") & F.col("report_year").isNotNull()).select(
         "judge_id",
@@ -119,9 +137,20 @@ def gift_from_litigant_or_counsel(
         "value_low",
         "value_high",
         F.col("url").alias("report_url"),
-        name_key("counterparty").alias("interest_key"),
     ).distinct()
-    matches = _matched_names(cases, named, benefits, min_name_length).filter(_around(F.col("report_year"), year_slack))
+    cases = _with_years(cases, year_slack)
+    matched, fitting, sizes = _matched_names(cases, named, "matched_name", benefits, "benefit_source", min_name_length)
+    if amounts is not None:
+        fitting = fitting.withColumns({value: amounts(F.col(value)) for value in ("value_low", "value_high")})
+    # A case meets a name's gifts of a year as lists. Gifts that differ in their link alone stand together in them and the
+    # rows of a case follow each other, so that a file of leads holds what they repeat once.
+    gift = ["interest_type", "benefit_description", "value_low", "value_high", "benefit_source", "report_url"]
+    piece = F.pmod(F.hash(*gift), F.ceil(F.col("_interests") / _LISTED_GIFTS))
+    lists = fitting.groupBy("judge_id", "name_key", "match_type", "report_year", piece.alias("_piece")).agg(
+        F.array_sort(F.collect_list(F.struct(*gift))).alias("_gifts")
+    )
+    matches = dealt_join(matched, lists.drop("_piece"), ["judge_id", "name_key"], "case_id", sizes)
+    matches = matches.filter(_around(F.col("report_year"))).select("*", F.inline("_gifts"))
     columns = [
         "case_id", "court_id", "case_name", "date_filed", "date_terminated", "judge_id", "judge_name",
         "matched_name", "matched_as", "interest_type", "benefit_source", "benefit_description", "report_year",
@@ -160,7 +189,7 @@ def judge_holds_party_stock(
         judge_name=F.min("assigned_judge_name"),
         url=F.min("url"),
     )
-    parties = _with_name_key(case_parties.select("case_id", "party_name", "party_role").distinct(), "party_name", "name_key")
+    parties = case_parties.select("case_id", "party_name", "party_role")
     # The report rows of one year say the same; only bounds and one link are reported. A holding's years are one row,
     # so a case and party meet it once and nothing of theirs is grouped again.
     holdings = (
@@ -173,10 +202,12 @@ def judge_holds_party_stock(
         )
         .groupBy("judge_id", "holding")
         .agg(F.collect_list(F.struct("report_year", "value_low", "value_high", "report_url")).alias("reports"))
-        .withColumn("interest_key", name_key("holding"))
     )
-    around = F.filter("reports", lambda report: _around(report["report_year"], year_slack))
-    matches = _matched_names(cases, parties, holdings, min_name_length).withColumn("reports", around).filter("size(reports) > 0")
+    around = F.filter("reports", lambda report: _around(report["report_year"]))
+    cases = _with_years(cases, year_slack)
+    matched, fitting, sizes = _matched_names(cases, parties, "party_name", holdings, "holding", min_name_length)
+    matches = dealt_join(matched, fitting.drop("_interests"), ["judge_id", "name_key"], "case_id", sizes)
+    matches = matches.withColumn("reports", around).filter("size(reports) > 0")
     keys = [
         "case_id", "court_id", "case_name", "docket_number", "date_filed", "date_terminated", "judge_id",
         "judge_name", "party_name", "party_role", "holding", "match_type",

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import d, rows, table
 from leadspark.functions.checks import ParameterError
@@ -323,6 +324,40 @@ def test_all_gifts_of_a_case_follow_each_other(spark):
     assert sum(one.case_id != other.case_id for one, other in zip(found, found[1:])) == 11
 
 
+def test_leads_of_one_name_are_dealt_over_tasks(spark):
+    ids = [str(n) for n in range(600)]
+    cases = table(spark, "court_cases", [case(id, "2020-05-05") for id in ids])
+    parties = table(spark, "case_parties", [{"case_id": id, "party_name": "Acme Inc"} for id in ids])
+    counsel = table(spark, "case_counsel", [{"case_id": "none", "counsel_name": "Jo Doe"}])
+    interests = table(spark, "judge_interests", [interest("gift", "Acme", 2020, value_low=n) for n in range(40)])
+    holdings = table(spark, "judge_interests", [interest("investment", "Acme", 2020)])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    for found, expected in (
+        (court.gift_from_litigant_or_counsel(cases, parties, counsel, interests), 600 * 40),
+        (court.judge_holds_party_stock(cases, parties, holdings), 600),
+    ):
+        dealt = [row["count"] for row in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(dealt) == expected
+        assert max(dealt) < 2 * expected / tasks
+
+
+def test_all_gifts_of_long_lists_are_leads(spark):
+    cases = table(spark, "court_cases", [case("1", "2020-05-05"), case("2", "2015-05-05", date_terminated="2016-01-01")])
+    parties = table(spark, "case_parties", [{"case_id": id, "party_name": "Acme Inc"} for id in "12"])
+    counsel = table(spark, "case_counsel", [{"case_id": "none", "counsel_name": "Jo Doe"}])
+    # Values that round to the same are different gifts.
+    gifts = [interest("gift", name, 2018 + n % 2, value_low=1 + n / 1e7) for name in ("Acme", "Acme Fund") for n in range(3000)]
+    found = court.gift_from_litigant_or_counsel(
+        cases, parties, counsel, table(spark, "judge_interests", gifts), amounts=lambda value: F.round(value, 2)
+    )
+    counted = found.groupBy("case_id", "match_type", "report_year", "value_low").count().collect()
+    counts = {tuple(row)[:4]: row["count"] for row in counted}
+    assert counts == {
+        ("1", "exact", 2018, 1.0): 1500, ("1", "exact", 2019, 1.0): 1500, ("1", "prefix", 2018, 1.0): 1500,
+        ("1", "prefix", 2019, 1.0): 1500, ("2", "exact", 2018, 1.0): 1500, ("2", "prefix", 2018, 1.0): 1500,
+    }
+
+
 def test_judge_holds_party_stock(spark):
     cases = table(spark, "court_cases", [case("1", "2020-05-05"), case("1", "2020-06-05")])
     parties = table(spark, "case_parties", [{"case_id": "1", "party_name": "Acme Widgets Inc", "party_role": "Defendant"}])
