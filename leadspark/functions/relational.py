@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: up to so many keys are lent to every task.
+_FEW_KEYS = 100_000
+
 
 def top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
     """The first ``limit`` rows in a total order (TakeOrderedAndProject); None keeps them all, in no order.
@@ -46,7 +49,8 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     and its right rows, best the fewer, are repeated for each task of the stretch.
     Other keys lie in one task each, by their hash. Partitions are numbered, because
     adaptive execution would merge them by their size, which says nothing about the
-    pairs.
+    pairs. Rows whose key has no pairs leave before they are dealt, if there are few
+    keys (counted first).
     """
     spark = left.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -55,18 +59,19 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     heavy = pairs.join(total).filter(F.col("pairs") * (16 * tasks) >= F.col("_all"))
     ended = F.sum("pairs").over(Window.orderBy(*keys))
     scale = F.lit(float(tasks)) / F.sum("pairs").over(Window.partitionBy())
-    stretches = F.broadcast(
-        heavy.select(*keys, ((ended - F.col("pairs")) * scale).alias("_from"), (F.col("pairs") * scale).alias("_long"))
-    )
+    stretches = heavy.select(*keys, ((ended - F.col("pairs")) * scale).alias("_from"), (F.col("pairs") * scale).alias("_long"))
+    few = pairs.limit(_FEW_KEYS + 1).count() <= _FEW_KEYS
+    stretches = F.broadcast(pairs.select(*keys).join(F.broadcast(stretches), list(keys), "left") if few else stretches)
     other = F.pmod(F.hash(*keys), F.lit(tasks))
 
     def task(at: Column) -> Column:
-        return F.coalesce(F.least(F.floor(at).cast("int"), F.lit(tasks - 1)), other)
+        return F.when(at.isNull(), other).otherwise(F.least(F.floor(at).cast("int"), F.lit(tasks - 1)))
 
     spread = F.pmod(F.xxhash64(by), F.lit(1 << 20)) / float(1 << 20)
     start, end = F.col("_from"), F.col("_from") + F.col("_long")
-    placed = left.join(stretches, list(keys), "left").withColumn("_task", task(start + spread * F.col("_long")))
-    repeated = right.join(stretches, list(keys), "left").withColumn("_task", F.explode(F.sequence(task(start), task(end))))
+    placed, repeated = (side.join(stretches, list(keys), "inner" if few else "left") for side in (left, right))
+    placed = placed.withColumn("_task", task(start + spread * F.col("_long")))
+    repeated = repeated.withColumn("_task", F.explode(F.sequence(task(start), task(end))))
     placed, repeated = (side.drop("_from", "_long").repartitionById(tasks, F.col("_task")) for side in (placed, repeated))
     return placed.join(repeated, [*keys, "_task"]).drop("_task")
 

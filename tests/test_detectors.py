@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import d, rows, table
+from leadspark.functions import relational
 from leadspark.functions.checks import ParameterError
 from leadspark.operators import campaign_finance, companies, court, lobbying, parliamentary, procurement, statistical
 from leadspark.plans.registry import RELEASED
@@ -341,6 +342,21 @@ def test_leads_of_one_name_are_dealt_over_tasks(spark):
         assert max(dealt) < 2 * expected / tasks
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_keys_with_few_pairs_are_dealt_over_tasks_too(spark, monkeypatch, few):
+    monkeypatch.setattr(relational, "_FEW_KEYS", few)
+    left = spark.range(1500).selectExpr("id % 750 AS key", "id AS by")
+    right = spark.range(500).selectExpr("id AS key", "id AS value")
+    pairs = spark.range(500).selectExpr("id AS key", "2.0D AS pairs")
+    found = relational.dealt_join(left, right, ["key"], "by", pairs)
+    joined = {tuple(row) for row in found.select("key", "by", "value").collect()}
+    assert joined == {(n % 750, n, n % 750) for n in range(1500) if n % 750 < 500}
+    dealt = [row["count"] for row in found.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert sum(dealt) == 1000
+    assert max(dealt) < 2 * 1000 / tasks
+
+
 def test_all_gifts_of_long_lists_are_leads(spark):
     cases = table(spark, "court_cases", [case("1", "2020-05-05"), case("2", "2015-05-05", date_terminated="2016-01-01")])
     parties = table(spark, "case_parties", [{"case_id": id, "party_name": "Acme Inc"} for id in "12"])
